@@ -3,7 +3,7 @@
 A table's key is a pair (left i, right j), each of them a few minhashes. M left and M right collections make M * M tables
 from 2 * M * WIDTH minhashes, where independent tables would take M * M * 2 * WIDTH. Candidates are confirmed on the full
 sets of shingles, so there are no false links; a pair of similarity s is missed with a probability of at most
-2 * (1 - s**WIDTH)**M (4e-4 at 0.8 itself, 2e-5 at 0.85, 1e-6 at 0.9).
+2 * (1 - s**WIDTH)**M (1.2e-3 at 0.8 itself, 7e-5 at 0.85, 7e-7 at 0.9).
 
 Documents with equal sets are one class from the start. In each bucket, all members are compared with the smallest one;
 then, in buckets whose members still belong to several components, all members of different components are compared. A
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import components, mixed, pair_hashes, packed, saved, signed, slices, table, word_hashes
 
-M, WIDTH = 12, 3
+M, WIDTH = 14, 4
 _SEEDS = np.random.default_rng(4).integers(1, 1 << 63, (2 * M * WIDTH, 2), dtype=np.uint64) | np.uint64(1)
 BANDS = [f"{side}{i}" for side in "lr" for i in range(M)]
 
@@ -115,14 +115,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     signature = saved(docs.mapInArrow(_signatures(words), fields), "minhash")
     # documents with equal sets have equal minhashes: a minimum over the class takes them along
     classes = saved(signature.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in BANDS)), "classes")
+    # a document has M * M keys, so the tasks are more than its bytes ask for: maps of keys should fit in memory
+    spread = classes.repartition(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep")
     half = lambda side: F.posexplode(F.array(*(f"{side}{i}" for i in range(M))))
-    keys = classes.select("rep", F.col("n_shingles").alias("n"), F.array(*(f"r{i}" for i in range(M))).alias("rs"), half("l").alias("i", "l")).select("rep", "n", "i", "l", F.posexplode("rs").alias("j", "r")).select(F.xxhash64("i", "j", "l", "r").alias("key"), "rep", "n")
+    keys = spread.select("rep", F.array(*(f"r{i}" for i in range(M))).alias("rs"), half("l").alias("i", "l")).select("rep", "i", "l", F.posexplode("rs").alias("j", "r")).select(F.xxhash64("i", "j", "l", "r").alias("key"), "rep")
     shared = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).where("centre <> other").select("key", "centre")
     hits = saved(keys.join(shared, "key"), "buckets")
 
-    sizes = classes.select(F.col("rep").alias("centre"), F.col("n_shingles").alias("m"))
+    size = lambda x, n: classes.select(F.col("rep").alias(x), F.col("n_shingles").alias(n))
     alike = lambda p, q: (F.least(p, q) * 100 >= F.greatest(p, q) * percent)  # noqa: E731  else even a subset is not linked
-    star = hits.where("rep <> centre").groupBy("centre", "rep").agg(F.min("n").alias("n")).join(sizes, "centre").where(alike(F.col("n"), F.col("m"))).select(F.col("centre").alias("a"), F.col("rep").alias("b"))
+    star = hits.where("rep <> centre").select("centre", "rep").distinct().join(size("rep", "n"), "rep").join(size("centre", "m"), "centre").where(alike(F.col("n"), F.col("m"))).select(F.col("centre").alias("a"), F.col("rep").alias("b"))
     star = saved(star, "star")
     members = hits.select(F.col("rep").alias("doc_id")).distinct()
     sets = saved(docs.join(members, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets")
@@ -134,9 +136,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     links = saved(confirmed(star), "links")
     found = components(links, "a", "b")
-    within = hits.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "centre", F.coalesce("root", "rep").alias("root"))
+    within = hits.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "centre", F.coalesce("root", "rep").alias("root"))
     open_ = within.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = saved(within.where("rep <> centre").join(open_, "key").select("key", "rep", "n", "root"), "open")
+    rest = saved(within.where("rep <> centre").join(open_, "key").join(size("rep", "n"), "rep").select("key", "rep", "n", "root"), "open")
     x, y = rest.alias("x"), rest.alias("y")
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & alike(F.col("x.n"), F.col("y.n")))
     more = more.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
