@@ -1,8 +1,8 @@
 """All queries of the subpackage by name, and SQL for those that SQL can express."""
 
-from . import decontaminate, near_dedup, quality, suffix_dedup
+from . import decontaminate, near_dedup, piece_codec, quality, suffix_dedup
 
-_MODULES = (quality, suffix_dedup, near_dedup, decontaminate)
+_MODULES = (quality, suffix_dedup, near_dedup, decontaminate, piece_codec)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
