@@ -107,10 +107,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents whose sets of `words`-word shingles have 100 * intersection >= percent * union are linked. Null and empty texts,
-    and texts without words, have an empty set and are linked with nothing. doc_id must be unique; columns other than doc_id
-    and text are not read. An empty table gives an empty table.
+    and texts without words, have an empty set and are linked with nothing. Rows without a doc_id are left out; rows of equal
+    doc_id must be equal, and give equal rows. Columns other than doc_id and text are not read. An empty table gives an empty table.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
     fields = ", ".join(f"{c} long" for c in ("doc_id", "n_shingles", "f1", "f2", *BANDS))
     signature = saved(docs.mapInArrow(_signatures(words), fields), "minhash")
     # documents with equal sets have equal minhashes: a minimum over the class takes them along
@@ -127,7 +127,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     star = hits.where("rep <> centre").select("centre", "rep").distinct().join(size("rep", "n"), "rep").join(size("centre", "m"), "centre").where(alike(F.col("n"), F.col("m"))).select(F.col("centre").alias("a"), F.col("rep").alias("b"))
     star = saved(star, "star")
     members = hits.select(F.col("rep").alias("doc_id")).distinct()
-    sets = saved(docs.join(members, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets")
+    sets = saved(docs.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))

@@ -193,7 +193,7 @@ def encode_pieces(docs: DataFrame, model_path: str | None = None) -> DataFrame:
 
     ids are those of the SentencePiece model at model_path (by default the public piece_bpe_32k.model), decoded is what they stand
     for: the text itself, but for U+2581, which the model doesn't tell from a space. Null and empty texts have no ids and an empty
-    decoded text. Columns other than doc_id and text are not read. The driver reads the model; executors need no file.
+    decoded text. Rows come out one for one, without a doc_id or repeated as they are. Columns other than doc_id and text are not read. The driver reads the model; executors need no file.
     """
     path = model_path or public_tokenizers.path("piece_bpe_32k.model")
     model = model_pieces(path)

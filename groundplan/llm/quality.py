@@ -184,7 +184,7 @@ def classify(docs: DataFrame, sample_rows: int = 4096, threshold: float = 0.5) -
     """One row per document: doc_id, posterior (of being good, from the votes), score (the scorer's, 0 to 1), kept.
 
     sample_rows bounds the documents that train the scorer: those with the smallest xxhash64(doc_id). Votes are counted over all
-    documents. Null and empty texts have score 0 and aren't kept. Columns other than doc_id and text are not read.
+    documents. Rows come out one for one, without a doc_id or repeated as they are. Null and empty texts have score 0 and aren't kept. Columns other than doc_id and text are not read.
     An empty table gives an empty table.
     """
     docs = docs.select("doc_id", "text")

@@ -79,6 +79,8 @@ def _samples(length: int):
             by = np.argsort(context, kind="stable")
             again = np.zeros(len(by), bool)
             again[by[1:]] = context[by[1:]] == context[by[:-1]]
+            head = by[np.maximum.accumulate(np.where(again[by], 0, np.arange(len(by))))]  # the first with the same context
+            again[by] &= (doc[by] != doc[head]) | (lo[by] != lo[head])  # a row that is there twice is no copy of itself
             word = (lo << 33) | (span << 17) | (off << 1) | again
             anchor = np.where(again, mixed(mixed(doc.view(np.uint64)) + word.view(np.uint64)), anchor)  # these need no group
             context = np.where(again, np.uint64(0), context)
@@ -93,6 +95,7 @@ def _first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Rows by anchor, context, place. Repeated contexts come out as whole; first contexts of anchors that have several, as not whole."""
     last = None  # anchor and context of the row before
     held = None  # the only context so far of the last anchor
+    before = None  # the row before; the same row again is no copy
 
     def out(doc, word, whole):
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(word), pa.array(whole)], names=["doc_id", "word", "whole"])
@@ -102,6 +105,13 @@ def _first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         again = (word & 1).astype(bool)
         yield out(doc[again], word[again], np.ones(again.sum(), bool))
         anchor, context, doc, word = (x[~again] for x in (anchor, context, doc, word))
+        if not len(doc):
+            continue
+        twice = np.zeros(len(doc), bool)
+        twice[1:] = (anchor[1:] == anchor[:-1]) & (context[1:] == context[:-1]) & (doc[1:] == doc[:-1]) & (word[1:] == word[:-1])
+        twice[0] = (anchor[0], context[0], doc[0], word[0]) == before
+        before = anchor[-1], context[-1], doc[-1], word[-1]
+        anchor, context, doc, word = (x[~twice] for x in (anchor, context, doc, word))
         if not len(doc):
             continue
         several = False  # the last anchor had several contexts before this batch
@@ -166,11 +176,20 @@ def _last_digits(length: int):
     """Rows by share, place: the runs of windows that came before, as (doc_id, lo, hi) in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share_before, before = None, np.zeros(0, np.uint64)
+        share_before, before, row_before = None, np.zeros(0, np.uint64), None
         for batch in batches:
             if not batch.num_rows:
                 continue
             share, doc, first = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            twice = np.zeros(len(doc), bool)
+            twice[1:] = (share[1:] == share[:-1]) & (doc[1:] == doc[:-1]) & (first[1:] == first[:-1])
+            twice[0] = (share[0], doc[0], first[0]) == row_before
+            row_before = share[-1], doc[-1], first[-1]
+            if twice.any():
+                batch = batch.filter(pa.array(~twice))
+                share, doc, first = share[~twice], doc[~twice], first[~twice]
+                if not len(doc):
+                    continue
             data, offsets = packed(batch.column(3))
             count = np.diff(offsets) - length + 1
             sums, down = prefix_hashes(data)
@@ -199,7 +218,11 @@ def _last_digits(length: int):
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(text: bool):
+    return lambda batches: _cut_batches(batches, text)
+
+
+def _cut_batches(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         for s in range(0, batch.num_rows, 500):
@@ -218,19 +241,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     text = text[~gone]
                 else:
                     spans.append([])
-                kept.append(text.tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(kept, pa.binary()), pa.array(spans, spans_type)], names=["doc_id", "n_bytes", "kept", "spans"])
+                kept.append(text.tobytes().decode("utf-8", "ignore") if as_text else text.tobytes())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(spans, spans_type)], names=["doc_id", "n_bytes", "kept", "spans"])
 
 
-def repeated_spans_removed(docs: DataFrame, length: int = 100) -> DataFrame:
+def repeated_spans_removed(docs: DataFrame, length: int = 100, as_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, kept (the bytes that stay), spans (the maximal removed runs, [start, end) in bytes).
 
     A byte goes if a `length`-byte string that covers it also starts earlier, in a document of smaller doc_id or in the same one.
-    Null texts count as empty; shorter texts stay whole. doc_id must be unique; columns other than doc_id and text are not read.
+    With as_text, kept is a string, without characters that were cut in two. Null texts count as empty; shorter texts stay whole. Rows
+    without a doc_id are left out; rows of equal doc_id must be equal, and count as one document. Columns other than doc_id and text
+    are not read. An empty table gives an empty table.
     """
     if not ANCHOR < length < 60_000:
         raise ValueError(f"length must be over {ANCHOR} and under 60000")
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
     samples = docs.mapInArrow(_samples(length), "anchor long, context long, doc_id long, word long")
     marks = saved(samples.repartition("anchor").sortWithinPartitions("anchor", "context", "doc_id", "word").mapInArrow(_first_digits, "doc_id long, word long, whole boolean"), "marks")
     left = marks.where(~F.col("whole")).groupBy("doc_id").agg(F.collect_list("word").alias("words"))
@@ -239,7 +264,7 @@ def repeated_spans_removed(docs: DataFrame, length: int = 100) -> DataFrame:
     lo = F.shiftright("word", 33)
     whole = marks.where("whole").select("doc_id", lo.alias("lo"), (lo + F.shiftright("word", 17).bitwiseAND(0xFFFF) + length).alias("hi"))
     spans = whole.union(last).groupBy("doc_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    return docs.join(spans, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")
+    return docs.join(spans, "doc_id", "left").mapInArrow(_cut(as_text), f"doc_id long, n_bytes long, kept {'string' if as_text else 'binary'}, spans array<struct<start: long, end: long>>")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,3 +41,16 @@ def test_edges(spark):
     got = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in out}
     assert got == brute(list(zip(ids, texts)))
     assert repeated_spans_removed(docs.limit(0)).count() == 0
+
+
+def test_rows_that_are_there_twice(spark):
+    rng = np.random.default_rng(3)
+    base = "".join(rng.choice(list("abcdé "), 600))
+    texts = [base, "x" + base[100:400] + "é!", "y" * 200, None]
+    twice = documents(spark, texts).union(documents(spark, texts)).union(documents(spark, [base], [None])).repartition(3)
+    out = repeated_spans_removed(twice, as_text=True).collect()
+    assert len(out) == 8
+    for r in out:
+        n, removed, spans, _ = brute(list(enumerate(texts)))[r.doc_id]
+        assert (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans)) == (n, removed, spans)
+    assert {r.kept for r in out if r.doc_id == 1} == {"xé!"}
