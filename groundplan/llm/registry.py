@@ -1,8 +1,8 @@
 """All queries of the subpackage by name, and SQL for those that SQL can express."""
 
-from . import decontaminate, embedding_dedup, near_dedup, piece_codec, quality, suffix_dedup, token_files
+from . import decontaminate, embedding_dedup, html_text, license_scan, near_dedup, piece_codec, quality, suffix_dedup, token_files
 
-_MODULES = (quality, suffix_dedup, near_dedup, embedding_dedup, token_files, decontaminate, piece_codec)
+_MODULES = (quality, suffix_dedup, html_text, near_dedup, embedding_dedup, token_files, piece_codec, decontaminate, license_scan)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
