@@ -1,15 +1,17 @@
 """Language-model scores: smoothed bigrams as a weighted automaton with failure arcs.
 
-The states are the training words and the start of a text; an arc from a to b holds log10 p(b | a), with absolute discounting, for each
-bigram seen in training. A failure arc holds log10 of the mass left over and leads to the state without context, which has
-an arc for every word (add-0.1 estimates, unknown words included). The text is read once from left to right.
+The states are the training words and the start of a text. An arc from a to b, for each bigram seen in training, holds
+log10 (c(ab) + M p(b)) / (c(a) + M) (a Dirichlet prior of weight M on the word estimates). A failure arc holds log10 M / (c(a) + M) and leads
+to the state without context, which has an arc for every word (add-0.1 estimates, unknown words included). The text is read once from left to right.
 
-The model grows with the corpus, so it is never sent to all tasks: documents are dealt into blocks, and each block is joined with those arcs
-that its own words need. Counts are added up within a block before any shuffle, so the most frequent word is one row per block.
+The model grows with the corpus, so it is never sent to all tasks. Texts are packed into blocks; a block asks for the counts of its own
+distinct words and bigrams, sorted by hash and cut at fixed hash ranges; each range adds up what all blocks ask for and answers each
+block in its own order, so only counts travel back and no key does. A frequent word is one key per block.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,17 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, packed, pair_hashes, saved, signed, slices, table, word_hashes
+from .common import mixed, packed, pair_hashes, saved, slices, table, word_hashes
 
-#: Bytes of text of a block, on average.
-BLOCK = 8 << 20
-ADD, DISCOUNT = 0.1, 0.75
+#: Bytes of text of a block (a longer text is a block of its own), and of text per hash range.
+BLOCK, RANGE = 8 << 20, 16 << 20
+#: Hash ranges at least.
+RANGES = 64
+ADD, PRIOR = 0.1, 2.0
 START, END = (mixed(np.array([x], np.uint64))[0] for x in (101, 102))
 
 
-def tokens_of(texts: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token hashes, contexts, first token of each row and the end): the words of each row and its end; the context is the token before."""
-    data, offsets = packed(texts)
     parts, sizes = [], []
     for i, j in slices(offsets):
         h, _, _, first = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -40,68 +43,140 @@ def tokens_of(texts: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray
     return h, before.astype(np.uint64), starts
 
 
-def _counted(key: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    found, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-    return found, at, np.bincount(inverse, weights=train, minlength=len(found)).astype(np.int64)
+def squeezed(x: np.ndarray) -> bytes:
+    """Integers as compressed byte planes; sorted ones are given as differences."""
+    raw = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(x).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
-def _grams(t: pa.Table) -> pa.Table:
-    """The distinct words and bigrams of a block, with their counts in training documents; a bigram carries its first word."""
-    h, before, starts = tokens_of(t.column("text"))
-    train = np.repeat(~t.column("held_out").to_numpy(zero_copy_only=False), np.diff(starts))
-    words, _, n1 = _counted(h, train)
-    pairs, at, n2 = _counted(pair_hashes(before, h), train)
-    block = np.full(len(words) + len(pairs), t.column("block")[0].as_py(), np.int32)
-    first = pa.array(np.r_[np.zeros(len(words), np.int64), signed(before[at])], mask=np.arange(len(block)) < len(words))
-    return pa.table({"block": pa.array(block), "gram": pa.array(signed(np.r_[words, pairs])), "first": first, "n": pa.array(np.r_[n1, n2])})
+def unsqueezed(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    if not n:
+        return np.zeros(0, np.uint64)
+    raw = np.frombuffer(pa.decompress(b[8:], decompressed_size=8 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, n).T).reshape(-1).view("<u8")
 
 
-def _placed(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(sorted_keys):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return at, sorted_keys[at] == keys
+BLOCKS = "block binary, doc_id binary, held_out binary, ends binary, texts binary, n_bytes long"
 
 
-class Automaton:
-    """The states and arcs that a block needs; gram, count, and for states the count as context and its number of followers."""
+def _blocks(limit: int):
+    """Packs documents, as they come, into rows of about limit bytes of text."""
 
-    def __init__(self, gram: np.ndarray, count: np.ndarray, context: np.ndarray, followers: np.ndarray, n: int, v: int):
-        order = np.argsort(gram)
-        self.gram, self.count, self.context, self.followers = gram[order], count[order], context[order], followers[order]
-        self.total = n + ADD * (v + 1)
+    def pack(parts: list[pa.Table]) -> pa.RecordBatch:
+        t = pa.concat_tables(parts).combine_chunks()
+        data, offsets = packed(t.column("text"))
+        ids = t.column("doc_id").to_numpy().astype(np.int64)
+        row = {"block": uuid.uuid4().bytes, "doc_id": squeezed(ids.view(np.uint64)), "held_out": np.packbits(t.column("held_out").to_numpy(zero_copy_only=False)).tobytes(), "ends": squeezed(np.diff(offsets).astype(np.uint64)), "texts": pa.compress(data.tobytes(), codec="zstd", asbytes=True) if len(data) else b"", "n_bytes": len(data)}
+        return pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64() if k == "n_bytes" else pa.binary()) for k, v in row.items()})
 
-    def score(self, h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token: its count, the base log10 probability, and that of the arc (or failure arc and word) taken."""
-        at, known = _placed(self.gram, h)
-        c = np.where(known, self.count[at], 0) if len(self.gram) else np.zeros(len(h), np.int64)
-        base = (c + ADD) / self.total
-        if not len(self.gram):
-            return c, np.log10(base), np.log10(base)
-        state, is_state = _placed(self.gram, before)
-        context = np.where(is_state, self.context[state], 0)
-        arc, has_arc = _placed(self.gram, pair_hashes(before, h))
-        seen = np.where(has_arc & (context > 0), self.count[arc], 0)
-        below = np.maximum(context, 1)
-        left = np.where(context > 0, DISCOUNT * self.followers[state] / below, 1.0)
-        return c, np.log10(base), np.log10(np.where(seen > 0, (seen - DISCOUNT) / below, 0) + left * base)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            _, offsets = packed(t.column("text"))
+            for i, j in slices(offsets, limit):
+                n = int(offsets[j] - offsets[i])
+                if held and size + n > limit:
+                    yield pack(held)
+                    held, size = [], 0
+                held.append(t.slice(i, j - i))
+                size += n
+        if held:
+            yield pack(held)
+
+    return run
+
+
+class Block:
+    """The tokens of a packed block, and its distinct words and bigrams in hash order."""
+
+    def __init__(self, row: dict):
+        ends = np.r_[0, np.cumsum(unsqueezed(row["ends"]).astype(np.int64))]
+        n = row["n_bytes"]
+        data = np.frombuffer(pa.decompress(row["texts"], decompressed_size=n, codec="zstd"), np.uint8) if n else np.zeros(0, np.uint8)
+        self.doc_id = unsqueezed(row["doc_id"]).view(np.int64)
+        self.held_out = np.unpackbits(np.frombuffer(row["held_out"], np.uint8), count=len(self.doc_id)).astype(bool)
+        self.h, self.before, self.starts = tokens_of(data, ends)
+        self.words, self.word = np.unique(self.h, return_inverse=True)
+        self.pairs, self.pair = np.unique(pair_hashes(self.before, self.h), return_inverse=True)
+
+    def trained(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often each word and bigram stands in training documents of the block."""
+        train = np.repeat(~self.held_out, np.diff(self.starts))
+        return tuple(np.bincount(at[train], minlength=len(keys)).astype(np.uint64) for keys, at in ((self.words, self.word), (self.pairs, self.pair)))
+
+
+def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The hash range of each key; it grows with the key."""
+    return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+ASKED = "block binary, part int, words binary, word_n binary, pairs binary, pair_n binary"
+
+
+def _asked(ranges: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                b = Block(row)
+                n_words, n_pairs = b.trained()
+                cuts = [np.searchsorted(range_of(keys, ranges), np.arange(ranges + 1)) for keys in (b.words, b.pairs)]
+                full = np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0))
+                columns = {"words": [], "word_n": [], "pairs": [], "pair_n": []}
+                for k in full:
+                    for (name, keys), (name_n, n), cut in zip((("words", b.words), ("pairs", b.pairs)), (("word_n", n_words), ("pair_n", n_pairs)), cuts):
+                        part = slice(cut[k], cut[k + 1])
+                        columns[name].append(squeezed(np.diff(keys[part], prepend=np.uint64(0))))
+                        columns[name_n].append(squeezed(n[part]))
+                yield pa.RecordBatch.from_pydict({"block": pa.array([row["block"]] * len(full), pa.binary()), "part": pa.array(full.astype(np.int32))} | {k: pa.array(v, pa.binary()) for k, v in columns.items()})
+
+    return run
+
+
+ANSWERS = "block binary, part int, words binary, pairs binary, n long, v long"
+
+
+def _answered(t: pa.Table) -> pa.Table:
+    """Adds up a hash range's counts over all blocks; each block gets those it asked for. n and v are in the first row only."""
+    out, n = {}, 0
+    for name, name_n in (("words", "word_n"), ("pairs", "pair_n")):
+        keys = [np.cumsum(unsqueezed(x.as_py()), dtype=np.uint64) for x in t.column(name)]
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(found), np.int64)
+        np.add.at(total, at, np.concatenate([unsqueezed(x.as_py()) for x in t.column(name_n)]).astype(np.int64))
+        ends = np.cumsum([len(k) for k in keys])
+        out[name] = pa.array([squeezed(total[x]) for x in np.split(at, ends[:-1])], pa.binary())
+        if name == "words":
+            n, v = int(total.sum()), int((total > 0).sum())
+    first = np.arange(t.num_rows) == 0
+    return pa.table({"block": t.column("block"), "part": t.column("part"), **out, "n": pa.array(first * n), "v": pa.array(first * v)})
+
+
+def arc_scores(c: np.ndarray, context: np.ndarray, pair: np.ndarray, n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each token read: the base log10 probability, and that of its arc, or of the failure arc and the word's arc."""
+    word = (c + ADD) / (n + ADD * (v + 1))
+    fail = PRIOR / (context + PRIOR)
+    return np.log10(word), np.where(pair > 0, np.log10(pair / (context + PRIOR) + fail * word), np.log10(fail) + np.log10(word))
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _scored(n: int, v: int):
-    def run(docs: pa.Table, arcs: pa.Table) -> pa.Table:
-        column = lambda name: arcs.column(name).fill_null(0).to_numpy()
-        automaton = Automaton(column("gram").astype(np.int64).view(np.uint64), column("count"), column("context"), column("followers"), n, v)
-        if not docs.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "train_tokens": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-        h, before, starts = tokens_of(docs.column("text"))
-        c, base, score = automaton.score(h, before)
-        total = lambda x: np.add.reduceat(x, starts[:-1])  # noqa: E731  every row has its end token
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        b = Block(blocks.slice(0, 1).to_pylist()[0])
+        answers = answers.sort_by("part")
+        words, pairs = (np.concatenate([unsqueezed(x.as_py()) for x in answers.column(k)]).astype(np.int64) for k in ("words", "pairs"))
+        c, pair = words[b.word], pairs[b.pair]
+        context = np.r_[0, c[:-1]]  # the state reached by the token before
+        context[b.starts[:-1]] = words[np.searchsorted(b.words, END)]  # texts begin as often as they end
+        base, score = arc_scores(c, context, pair, n, v)
+        total = lambda x: np.add.reduceat(x, b.starts[:-1])  # noqa: E731  every row has its end token
         return pa.table({
-            "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(np.diff(starts)), "n_known": pa.array(total((c > 0).astype(np.int64))),
-            "train_tokens": pa.array(np.full(len(starts) - 1, n, np.int64)), "base_score": pa.array(total(base)), "score": pa.array(total(score)),
+            "doc_id": pa.array(b.doc_id), "held_out": pa.array(b.held_out), "n_tokens": pa.array(np.diff(b.starts)), "n_known": pa.array(total((c > 0).astype(np.int64))),
+            "train_tokens": pa.array(np.full(len(b.doc_id), n, np.int64)), "base_score": pa.array(total(base)), "score": pa.array(total(score)),
         })
 
     return run
@@ -114,19 +189,13 @@ def lm_scores(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     doc_id are left out; repeated rows count and are returned as often as they occur. Only doc_id and text are read. Without training
     data, all words have the same probability. An empty table gives an empty table.
     """
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = docs.select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).alias("held_out"), F.pmod(F.xxhash64("doc_id"), F.lit(-(-size // block) or 1)).cast("int").alias("block"))
-    grams = saved(dealt.groupBy("block").applyInArrow(_grams, "block int, gram long, first long, n long"), "grams")
-    counts = saved(grams.where("n > 0").groupBy("gram").agg(F.min("first").alias("first"), F.sum("n").alias("count")), "gram-counts")
-    n, v = counts.where("first is null").agg(F.sum("count"), F.count("*")).first()
-    contexts = counts.where("first is not null").groupBy(F.col("first").alias("gram")).agg(F.sum("count").alias("context"), F.count("*").alias("followers"))
-    words, pairs = counts.where("first is null").select("gram", "count"), counts.where("first is not null").select("gram", "count")
-    model = words.join(contexts, "gram", "full").select("gram", F.coalesce("count", F.lit(0)).alias("count"), "context", "followers").unionByName(pairs, allowMissingColumns=True)
-    start = int(np.array([START]).view(np.int64)[0])  # every block begins texts
-    needed = grams.select("block", "gram").union(grams.select("block", F.lit(start).alias("gram")).distinct())
-    arcs = needed.join(model, "gram").select("block", "gram", "count", "context", "followers")
-    return dealt.groupBy("block").cogroup(arcs.groupBy("block")).applyInArrow(_scored(n or 0, v or 0), SCORES)
+    docs = docs.select("doc_id", "text").where("doc_id is not null").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0)
+    blocks = saved(docs.mapInArrow(_blocks(block), BLOCKS), "blocks")
+    size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    asked = blocks.mapInArrow(_asked(max(RANGES, -(-size // RANGE))), ASKED)
+    answers = saved(asked.groupBy("part").applyInArrow(_answered, ANSWERS), "answers")
+    n, v = answers.agg(F.sum("n"), F.sum("v")).first()
+    return blocks.groupBy("block").cogroup(answers.select("block", "part", "words", "pairs").groupBy("block")).applyInArrow(_scored(n or 0, v or 0), SCORES)
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

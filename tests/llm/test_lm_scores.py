@@ -11,19 +11,18 @@ from .helpers import SF, documents, real
 def plain(rows):
     texts = [(i, [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]) for i, t in rows]
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in texts}
-    one, two, context, followers = Counter(), Counter(), Counter(), Counter()
+    one, two, context = Counter(), Counter(), Counter()
     for i, words in texts:
         if not held[i]:
             one.update(words)
             two.update(zip(["<s>", *words], words))
     for (a, _), c in two.items():
         context[a] += c
-        followers[a] += 1
     n, v = sum(one.values()), len(one)
     out = {}
     for i, words in texts:
         base = [(one[w] + 0.1) / (n + 0.1 * (v + 1)) for w in words]
-        full = [max(two[a, w] - 0.75, 0) / context[a] + 0.75 * followers[a] / context[a] * p if context[a] else p for a, w, p in zip(["<s>", *words], words, base)]
+        full = [(two[a, w] + 2 * p) / (context[a] + 2) for a, w, p in zip(["<s>", *words], words, base)]
         out[i] = (held[i], len(words), sum(one[w] > 0 for w in words), n, sum(map(math.log10, base)), sum(map(math.log10, full)))
     return out
 
