@@ -27,6 +27,8 @@ END = 1
 FREQUENT = 16
 #: Characters given to the tokenizer at once; longer texts are cut at a space, which never stands within a token.
 PIECE = 1 << 16
+#: Words whose ids a task keeps; then it begins anew.
+KEPT_WORDS = 1 << 18
 _HASHED = (1 << 20) - 1
 
 SCHEMA = "part int, seq int, n_ids long, rules binary, symbols binary, doc_ids binary, doc_sizes binary"
@@ -118,12 +120,31 @@ def pieces(text: str) -> list[str]:
     return [*out, text[at:]]
 
 
+class Words(dict):
+    """The ids, as bytes, of words met so far. The tokenizer drops spaces before it looks for tokens, so words are encoded one by one."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.encode = Tokenizer.from_file(path).encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array(self.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+        if len(word) <= 64:
+            if len(self) == KEPT_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def ids(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.split(" ")))
+
+
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer, end = Tokenizer.from_file(path), np.array([END], np.uint32).tobytes()
+        words, end = Words(path), np.array([END], np.uint32).tobytes()
         for batch in batches:
             texts = batch.column(1)
             i = 0
@@ -134,8 +155,7 @@ def _encoded(path: str):
                     size += sum(map(len, cut[-1]))
                 out = []
                 for parts in cut:
-                    ids = [np.array(tokenizer.encode(p, add_special_tokens=False).ids, np.uint32).tobytes() for p in parts]
-                    out.append(b"".join([*ids, end]))
+                    out.append(b"".join([*map(words.ids, parts), end]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(cut)), pa.array(out, pa.binary())], names=["doc_id", "ids"])
                 i += len(cut)
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from groundplan.llm.token_files import BASE, compressed, decode, op6_token_files, read_documents, write_shards
+from groundplan.llm.token_files import BASE, Words, compressed, decode, op6_token_files, read_documents, write_shards
 
 from .helpers import SF, documents, real
 
@@ -52,3 +53,12 @@ def test_edges(spark, tmp_path, shard):
     assert [tuple(r) for r in read_documents(spark, f"file://{tmp_path}/a").orderBy("doc_id").collect()] == plain(rows)
     write_shards(docs.limit(0), PATH, f"file://{tmp_path}/b")
     assert read_documents(spark, f"file://{tmp_path}/b").count() == 0
+
+
+def test_words_one_by_one_give_the_ids_of_the_text():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, whole, rng = Words(path), Tokenizer.from_file(path), random.Random(5)
+    parts = [" ", "  ", "\t", "\n", "\x0b", "\x1c", "\x85", " ", "　", "e", "́", "̧", "É", "İ", "Σ", "ΑΣ", "ß", "ﬁ", "I'LL", "'s", "12", "!?", "<|endoftext|>", "<|start", "oftext|>", "日本", "한", "하", "🙂", "‍", "The", "cat", "\0"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randrange(12)))
+        assert np.frombuffer(words.ids(text), np.uint32).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
