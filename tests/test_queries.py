@@ -4,7 +4,9 @@ import os
 import duckdb
 import pytest
 
-from groundplan.plans.driver_queries import ORACLES, QUERIES
+from groundplan.plans import driver_queries, frame_queries
+
+QUERIES, ORACLES = driver_queries.QUERIES | frame_queries.QUERIES, driver_queries.ORACLES | frame_queries.ORACLES
 
 SF = "/root/testdata/sf0.001"
 
