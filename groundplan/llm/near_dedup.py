@@ -3,7 +3,9 @@
 A table's key is a pair (left i, right j), each of them a few minhashes. M left and M right collections make M * M tables
 from 2 * M * WIDTH minhashes, where independent tables would take M * M * 2 * WIDTH. Candidates are confirmed on the full
 sets of shingles, so there are no false links; a pair of similarity s is missed with a probability of at most
-2 * (1 - s**WIDTH)**M (1.2e-3 at 0.8 itself, 7e-5 at 0.85, 7e-7 at 0.9).
+2 * (1 - s**WIDTH)**M (8e-7 at 0.8 itself, 2e-9 at 0.85, 2e-13 at 0.9).
+
+Half keys that only one document has can't be part of a shared key, so pairs (i, j) are made of shared halves only.
 
 Documents with equal sets are one class from the start. In each bucket, all members are compared with the smallest one;
 then, in buckets whose members still belong to several components, all members of different components are compared. A
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import components, mixed, pair_hashes, packed, saved, signed, slices, table, word_hashes
 
-M, WIDTH = 14, 4
+M, WIDTH = 28, 4
 _SEEDS = np.random.default_rng(4).integers(1, 1 << 63, (2 * M * WIDTH, 2), dtype=np.uint64) | np.uint64(1)
 BANDS = [f"{side}{i}" for side in "lr" for i in range(M)]
 
@@ -115,10 +117,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     signature = saved(docs.mapInArrow(_signatures(words), fields), "minhash")
     # documents with equal sets have equal minhashes: a minimum over the class takes them along
     classes = saved(signature.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in BANDS)), "classes")
-    # a document has M * M keys, so the tasks are more than its bytes ask for: maps of keys should fit in memory
-    spread = classes.repartition(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep")
-    half = lambda side: F.posexplode(F.array(*(f"{side}{i}" for i in range(M))))
-    keys = spread.select("rep", F.array(*(f"r{i}" for i in range(M))).alias("rs"), half("l").alias("i", "l")).select("rep", "i", "l", F.posexplode("rs").alias("j", "r")).select(F.xxhash64("i", "j", "l", "r").alias("key"), "rep")
+    halves = classes.select("rep", F.posexplode(F.array(*BANDS)).alias("i", "v"))
+    several = halves.groupBy("i", "v").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("i", "v")
+    side = lambda on: F.collect_list(F.when(on, F.struct("i", "v")))
+    own = saved(halves.join(several, ["i", "v"]).groupBy("rep").agg(side(F.col("i") < M).alias("ls"), side(F.col("i") >= M).alias("rs")), "halves")
+    # a document has up to M * M keys, so the tasks are more than its bytes ask for: maps of keys should fit in memory
+    spread = own.repartition(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep")
+    keys = spread.select("rep", "rs", F.explode("ls").alias("l")).select("rep", "l", F.explode("rs").alias("r")).select(F.xxhash64("l", "r").alias("key"), "rep")
     shared = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).where("centre <> other").select("key", "centre")
     hits = saved(keys.join(shared, "key"), "buckets")
 

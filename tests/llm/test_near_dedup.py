@@ -47,3 +47,12 @@ def test_components_of_paths_and_hubs(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     nodes = {n for e in edges for n in e}
     assert got == roots(nodes, edges)
+
+
+def test_no_pair_at_the_threshold_is_missed(spark):
+    texts = []
+    for k in range(8000):  # 8 words in common of 10
+        both = " ".join(f"p{k}w{j}" for j in range(8))
+        texts += [f"{both} p{k}a", f"{both} p{k}b"]
+    got = {r.doc_id: r.component_id for r in near_duplicates(documents(spark, texts), 1).collect()}
+    assert [i for i in got if got[i] != i - i % 2] == []
