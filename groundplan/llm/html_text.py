@@ -23,6 +23,12 @@ BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table tr td th blo
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 FRAME = frozenset("ad ads advert adverts advertisement sponsored promo banner sidebar menu nav navbar navigation footer comment comments discussion cookie cookies consent notice popup modal newsletter subscribe share social related breadcrumb breadcrumbs masthead".split())
 MAIN = ("article", "main")
+#: Elements whose end tag may be missing: the start tags that end one, and the elements within it that keep them from doing so.
+_CELL, _ROW = frozenset("td th tr tbody thead tfoot".split()), frozenset("tr tbody thead tfoot".split())
+OPTIONAL = {"p": (BLOCKS, frozenset())} | {"li": (frozenset({"li"}), frozenset({"ul", "ol"}))} | {t: (frozenset({"dt", "dd"}), frozenset({"dl"})) for t in ("dt", "dd")}
+OPTIONAL |= {t: (_CELL, frozenset({"table"})) for t in ("td", "th")} | {"tr": (_ROW, frozenset({"table"})), "option": (frozenset({"option", "optgroup"}), frozenset())}
+#: Elements whose end tag ends such an element within them.
+OUTER = (BLOCKS | {"tbody", "thead", "tfoot", "optgroup"}) - {"p"}
 _SPACE = re.compile(r"\s+")
 
 
@@ -36,6 +42,7 @@ class Lines(HTMLParser):
         self.open: list[str] = []
         self.dropped: str | None = None  # tag of the outermost dropped element, and how many of its kind are open
         self.depth = self.inner = 0
+        self.within: list[str] = []  # open elements of a dropped one with an optional end tag, itself first
 
     def end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.held)).strip()
@@ -44,6 +51,13 @@ class Lines(HTMLParser):
             self.lines.append((text, self.inner > 0))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.dropped in OPTIONAL:
+            ends, keeps = OPTIONAL[self.dropped]
+            if tag not in ends or not keeps.isdisjoint(self.within):
+                if tag not in VOID:
+                    self.within.append(tag)
+                return
+            self.dropped = None
         if self.dropped:
             self.depth += tag == self.dropped
             return
@@ -53,14 +67,30 @@ class Lines(HTMLParser):
             self.held.append(" ")
         if tag in VOID:
             return
-        words = {w for k, v in attrs if k in ("class", "id", "role") and v for w in re.split(r"[^a-z]+", v.lower())}
-        if tag in DROPPED or (tag == "header" and not self.inner) or (tag not in (*MAIN, "body", "html") and words & FRAME):
+        names = [w for k, v in attrs if k in ("class", "id", "role") and v for w in v.lower().split()]
+        words = [set(re.split(r"[^a-z]+", w)) - {""} for w in names]
+        # within the article all words of a name must be of a frame: 'related-work' is none
+        frame = any(w and w <= FRAME if self.inner else w & FRAME for w in words)
+        if tag in DROPPED or (tag == "header" and not self.inner) or (tag not in (*MAIN, "body", "html") and frame):
             self.end_line() if tag in BLOCKS else None
-            self.dropped, self.depth = tag, 1
-        elif tag in MAIN:
+            self.dropped, self.depth, self.within = tag, 1, [tag]
+            return
+        if tag in MAIN:
             self.inner += 1
+        if tag in OUTER:
+            self.open.append(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if self.dropped in OPTIONAL:
+            if tag in self.within:
+                while self.within.pop() != tag:
+                    pass
+                if not self.within:
+                    self.dropped = None
+                return
+            if tag not in self.open:
+                return
+            self.dropped = None
         if self.dropped:
             self.depth -= tag == self.dropped
             if not self.depth:
@@ -70,9 +100,14 @@ class Lines(HTMLParser):
             self.end_line()
         if tag in MAIN and self.inner:
             self.inner -= 1
+        if tag in self.open:
+            while self.open.pop() != tag:
+                pass
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if not self.dropped and tag in BLOCKS:
+        if self.dropped in OPTIONAL and tag in VOID:
+            self.handle_starttag(tag, attrs)
+        elif not self.dropped and tag in BLOCKS:
             self.end_line()
 
     def handle_data(self, data: str) -> None:

@@ -3,7 +3,7 @@ import itertools
 import random
 import re
 
-from groundplan.llm.html_text import common_lines, extract_text, op3_html_extraction
+from groundplan.llm.html_text import common_lines, extract_text, lines_of, op3_html_extraction
 
 from .helpers import SF, real
 
@@ -44,3 +44,23 @@ def test_common_lines_are_longest():
         best = max(n for n in range(len(a) + 1) for c in itertools.combinations(a, n) if all(x in it for it in [iter(b)] for x in c))
         it = iter(b)
         assert len(got) == best and all(a[i] in it for i in sorted(got))
+
+
+def test_dropped_elements_without_end_tags():
+    kept = lambda body: [text for text, _ in lines_of(f"<body><article>{body}</article><p>End</p></body>")]
+    assert kept("<p class='notice'>x<p>Real</p><p>More") == ["Real", "More", "End"]
+    assert kept("<p class='notice'>x <b>y</b><br/>z<div>Real</div>") == ["Real", "End"]
+    assert kept("<p class='notice'>x<hr/>Real") == ["Real", "End"]
+    assert kept("<p class='notice'>x") == ["End"]
+    assert kept("<ul><li class='ad'>x<ul><li>y<li>z</ul>w<li>Real</ul>More") == ["Real", "More", "End"]
+    assert kept("<ul><li class='ad'><div>x</li></ul>Real") == ["Real", "End"]
+    assert kept("<ul><li class='ad'>x</ul>Real") == ["Real", "End"]
+    assert kept("<dl><dt>T<dd class='ad'>x<dt>U<dd>Real</dl>") == ["T", "U", "Real", "End"]
+    assert kept("<table><tr><td class='ad'>x<table><tr><td>y</table>z<td>Real<tr><td class='ad'>x<tr><td>More</table>") == ["Real", "More", "End"]
+    assert kept("<div class='ad'>x<p>y</div>Real") == ["Real", "End"]
+
+
+def test_names_within_the_article():
+    kept = lambda name: [text for text, _ in lines_of(f"<article><p>Text</p><section id='{name}'><p>Own</p></section></article>")]
+    assert kept("related-work") == kept("social-history") == ["Text", "Own"]
+    assert kept("related") == kept("social-share") == kept("wide ad") == ["Text"]
