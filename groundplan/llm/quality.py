@@ -195,7 +195,7 @@ def classify(docs: DataFrame, sample_rows: int = 4096, threshold: float = 0.5) -
         posterior[code] = accuracies(code, n, len(LABELLERS))[2]
     sample = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     chosen = docs.join(F.broadcast(sample), "doc_id", "left_semi")  # sample_rows ids at most
-    trained = chosen.coalesce(1).mapInArrow(_train(posterior), "weights binary").first()
+    trained = chosen.repartition(1).mapInArrow(_train(posterior), "weights binary").first()
     weights = np.frombuffer(trained.weights) if trained else np.zeros(BUCKETS + 2)
     return docs.mapInArrow(_score(weights, posterior), "doc_id long, posterior double, score double").withColumn("kept", F.col("score") >= threshold)
 
