@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundplan.operators import statistics
+
 #: Axis forms, fixed values: which of u, v, 1-u and 1-v gives the column and which the row.
 FORMS = ["uv", "1-uv", "u1-v", "1-u1-v", "vu", "1-vu", "v1-u", "1-v1-u"]
 
@@ -54,14 +56,35 @@ def polygons(corners: DataFrame, key: str, place: str, x: str, y: str) -> DataFr
     return corners.withColumn("turn", turn).groupBy(key).agg(F.count("*").alias("corners"), (F.abs(F.sum("turn")) / 2).alias("area"), F.avg(x).alias("centre_x"), F.avg(y).alias("centre_y"))
 
 
-def configuration(df: DataFrame, metric: str, density: str, tie: str, by: list[str]) -> DataFrame:
-    """Mean density of the top and the bottom fifth by metric, and their ratio (null if the lower mean is 0)."""
+def configuration(df: DataFrame, metric: str, density: str, tie: str, by: list[str], choice: str | None = None, count: str | None = None) -> DataFrame:
+    """Mean density of the top and the bottom fifth by metric, and their ratio (null if the lower mean is 0).
+
+    With choice and count, also rho and r of metric and density, rho of choice and density, and of metric and count.
+    """
     ranked = df.withColumns({
         "place": F.row_number().over(Window.partitionBy(*by).orderBy(metric, tie)),
         "n": F.count("*").over(Window.partitionBy(*by)),
     }).withColumn("k", F.greatest(F.floor(F.col("n") / 5), F.lit(1)))
     low, high = F.avg(F.when(F.col("place") <= F.col("k"), F.col(density))), F.avg(F.when(F.col("place") > F.col("n") - F.col("k"), F.col(density)))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), low.alias("low"), high.alias("high")).withColumn("ratio", F.try_divide("high", "low"))
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), low.alias("low"), high.alias("high")).withColumn("ratio", F.try_divide("high", "low"))
+    if choice is None or count is None:
+        return out
+    for c in (metric, density, choice, count):
+        df = statistics.with_average_rank(df, c, by, f"_rank_{c}")
+    rho = lambda a, b: statistics.corr(f"_rank_{a}", f"_rank_{b}")
+    found = df.groupBy(*by).agg(rho(metric, density).alias("rho"), statistics.corr(metric, density).alias("r"), rho(choice, density).alias("choice_rho"), rho(metric, count).alias("count_rho"))
+    return out.join(found, by)
+
+
+def polygon_sizes(polygons: DataFrame) -> DataFrame:
+    """By map: how many polygons have so many corners. polygons has corner_idx, an array."""
+    return polygons.groupBy("map_name", F.size("corner_idx").cast("long").alias("corners")).agg(F.count("*").alias("polygons"))
+
+
+def polygon_corners(polygons: DataFrame, corners: DataFrame) -> DataFrame:
+    """(map_name, poly_id, place, x, y): the places of each polygon's corners, in order."""
+    at = polygons.select("map_name", "poly_id", F.posexplode("corner_idx").alias("place", "corner_id"))
+    return at.join(corners.select("map_name", "corner_id", "x", "y"), ["map_name", "corner_id"]).select("map_name", "poly_id", "place", "x", "y")
 
 
 def transposed(df: DataFrame, group: str, groups: list[str], metrics: list[str]) -> DataFrame:

@@ -48,11 +48,22 @@ def visits(samples: DataFrame) -> DataFrame:
     return samples.groupBy(*CELL).agg(F.count_distinct("demo", "round").alias("visits_rounds"))
 
 
+def presence(samples: DataFrame, window: float = 120) -> DataFrame:
+    """Occupancy and visits in one pass: counts per (cell, round) first, then per cell."""
+    early = F.col("seconds_after_freeze").between(0, window)
+    counts = [F.count("*").alias("occ_all"), F.count_if(side() == "CT").alias("occ_ct"), F.count_if(side() == "T").alias("occ_t"), F.count_if(early).alias("occ_early")]
+    once = samples.groupBy(*CELL, "demo", "round").agg(*counts)
+    return once.groupBy(*CELL).agg(*(F.sum(c).alias(c) for c in ("occ_all", "occ_ct", "occ_t", "occ_early")), F.count("*").alias("visits_rounds"))
+
+
 def behaviour_grid(samples: DataFrame, kills: DataFrame) -> DataFrame:
-    out = occupancy(samples)
-    for df in (kills_grid(kills), flow(samples), visits(samples)):
-        out = out.join(df, CELL, "full")
-    return out.fillna(0)
+    """All counts of each cell, from one union of partial counts, so the cells are shuffled once."""
+    parts = [presence(samples), kills_grid(kills), flow(samples)]
+    names = [c for df in parts for c in df.columns if c not in CELL]
+    both = parts[0]
+    for df in parts[1:]:
+        both = both.unionByName(df, allowMissingColumns=True)
+    return both.groupBy(*CELL).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names))
 
 
 def coarse_grid(kills: DataFrame, samples: DataFrame, n: int = 16) -> DataFrame:
@@ -73,3 +84,32 @@ def territory(grid: DataFrame) -> DataFrame:
     ct, t = F.col("occ_ct") > 0, F.col("occ_t") > 0
     counts = {"ct_only": ct & ~t, "t_only": t & ~ct, "both": ct & t, "with_kills": F.col("kills") > 0, "with_occupancy": F.col("occ_all") > 0}
     return grid.groupBy("map_id").agg(*(F.count_if(c).alias(k) for k, c in counts.items()), F.floor(F.sum("flow") / 2).alias("moves"))
+
+
+def coverage(grid: DataFrame) -> DataFrame:
+    """By map: cells with occupancy, their share of all cells, and moves."""
+    used = F.count_if(F.col("occ_all") > 0)
+    return grid.groupBy("map_id").agg(used.alias("with_occupancy"), (used / F.count("*")).alias("share"), F.floor(F.sum("flow") / 2).alias("moves"))
+
+
+def ranges(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """The smallest and largest value of each column; values that are no numbers are ignored."""
+    value = lambda c: F.col(c).try_cast("double")
+    return df.groupBy(*by).agg(*(f(value(c)).alias(f"{name}_{c}") for c in columns for name, f in (("min", F.min), ("max", F.max))))
+
+
+def sample_accounting(samples: DataFrame, kills: DataFrame, cells: DataFrame, by: str = "map_name") -> DataFrame:
+    """By map: samples in all, shares within the frame and the grid, early ones and their share in the grid, kills in all and in the grid, cells.
+
+    samples have inside and early; both have row and col. Rows without a place count in the totals.
+    """
+    known = cells.select(by, "row", "col", F.lit(True).alias("found"))
+    key = [by, "row", "col"]
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    # counts by cell first: a cell is then one row whatever it holds
+    s = samples.groupBy(*key, "inside", "early").agg(F.count("*").alias("k")).join(known, key, "left")
+    total = lambda on: F.sum(F.when(F.coalesce(on, F.lit(False)), F.col("k")).otherwise(0))
+    s = s.groupBy(by).agg(F.sum("k").alias("samples"), total(F.col("inside")).alias("inside"), total(F.col("found")).alias("in_grid"), total(F.col("early")).alias("early"), total(F.col("early") & F.col("found")).alias("early_in_grid"))
+    k = kills.join(known, key, "left").groupBy(by).agg(F.count("*").alias("kills"), count(F.col("found")).alias("kills_in_grid"))
+    out = s.join(k, by, "left").join(cells.groupBy(by).agg(F.count("*").alias("cells")), by, "left").fillna(0, ["kills", "kills_in_grid", "cells"])
+    return out.select(by, "samples", (F.col("inside") / F.col("samples")).alias("inside_share"), (F.col("in_grid") / F.col("samples")).alias("in_grid_share"), "early", F.try_divide("early_in_grid", "early").alias("early_in_grid_share"), "kills", "kills_in_grid", "cells")

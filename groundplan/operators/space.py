@@ -1,57 +1,197 @@
-"""Cells that see each other, distances on their graph, integration; morphology; lines and points."""
+"""Cells that see each other, distances on their graph, integration, choice; morphology; lines and points.
+
+The graph operators work on (map, chunk of sources) in numpy; a map's graph must fit in a task (nodes * nodes / 8 bytes, and as a matrix of
+floats while its distances are computed). Many maps are many rows, and a large map is many chunks.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundplan.operators import kernels
+
+#: Sources that a kernel handles at once.
+CHUNK = 64
+
 
-def visibility_edges(cells: DataFrame) -> DataFrame:
-    """(map_name, r, c, r2, c2): every point of the straight line, one per step of its longer side, is walkable.
+def _chunks(maps: DataFrame, nodes: str, chunk: int) -> DataFrame:
+    """One row for each map and chunk of its nodes, dealt over as many tasks as there are chunks (1,000 at most, as a chunk takes a second)."""
+    total = maps.agg(F.sum(F.ceil(F.col(nodes) / chunk))).first()[0] or 1
+    starts = F.explode(F.sequence(F.lit(0), F.col(nodes) - 1, F.lit(chunk))).alias("start")
+    return maps.select("*", starts).repartition(min(int(total), 1000), "map_name", "start")
 
-    A map's cells meet each other, nothing else does; the points of a line are looked up in the map's cells, and lines with all of them stay.
+
+def visibility_edges(cells: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(map_name, r, c, r2, c2): every point of the straight line from one to the other, one per step of its longer side, is walkable.
+
+    Lines are tried from both ends. A map's cells meet each other, nothing else does.
     """
-    a, b = cells.alias("a"), cells.alias("b")
-    pairs = a.join(b, (F.col("a.map_name") == F.col("b.map_name")) & ((F.col("a.r") != F.col("b.r")) | (F.col("a.c") != F.col("b.c"))))
-    pairs = pairs.select("a.map_name", "a.r", "a.c", F.col("b.r").alias("r2"), F.col("b.c").alias("c2"))
-    pairs = pairs.withColumn("n", F.greatest(F.abs(F.col("r2") - F.col("r")), F.abs(F.col("c2") - F.col("c"))))
-    points = pairs.withColumn("k", F.explode(F.sequence(F.lit(1), "n")))
-    along = lambda p, q: F.rint(F.col(p) + (F.col(q) - F.col(p)) * F.col("k") / F.col("n")).cast("long")
-    points = points.withColumns({"pr": along("r", "r2"), "pc": along("c", "c2")})
-    walk = cells.select("map_name", F.col("r").alias("pr"), F.col("c").alias("pc"))
-    seen = points.join(walk, ["map_name", "pr", "pc"], "left_semi").groupBy("map_name", "r", "c", "r2", "c2", "n").count().where(F.col("count") == F.col("n")).drop("n", "count")
-    return seen.union(seen.select("map_name", "r2", "c2", "r", "c")).distinct()
+    maps = cells.groupBy("map_name").agg(F.array_sort(F.collect_set(F.struct(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")))).alias("cells")).withColumn("n", F.size("cells"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = np.array([(x["r"], x["c"]) for x in row["cells"]], np.int64)
+                i, j = np.nonzero(kernels.visible(own, row["start"], min(row["start"] + chunk, len(own))))
+                a, b = own[row["start"] + i], own[j]
+                yield pa.RecordBatch.from_pydict({"map_name": pa.array([row["map_name"]] * len(i), pa.string()), "r": a[:, 0], "c": a[:, 1], "r2": b[:, 0], "c2": b[:, 1]})
+
+    return _chunks(maps, "n", chunk).mapInArrow(run, "map_name string, r long, c long, r2 long, c2 long")
 
 
 def connectivity(edges: DataFrame) -> DataFrame:
     return edges.groupBy("map_name", "r", "c").agg(F.count("*").alias("connectivity"))
 
 
-def hop_distance(edges: DataFrame, limit: int = 64) -> DataFrame:
-    """(map_name, r, c, r2, c2, d): fewest steps between cells, one round for each distance. Each round is checkpointed."""
-    reached = edges.withColumn("d", F.lit(1).cast("long")).checkpoint()
-    frontier = reached
-    step = edges.select("map_name", F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("r2").alias("r3"), F.col("c2").alias("c3"))
-    for d in range(2, limit):
-        nxt = frontier.join(step, ["map_name", "r2", "c2"]).select("map_name", "r", "c", F.col("r3").alias("r2"), F.col("c3").alias("c2")).where("r <> r2 OR c <> c2").distinct()
-        frontier = nxt.join(reached, ["map_name", "r", "c", "r2", "c2"], "left_anti").withColumn("d", F.lit(d).cast("long")).checkpoint()
-        if frontier.isEmpty():
-            break
-        reached = reached.union(frontier)
-    return reached
+def _graphs(edges: DataFrame) -> DataFrame:
+    """One row per map: its nodes and the bits of its adjacency matrix. Edges go both ways."""
+
+    def run(t: pa.Table) -> pa.Table:
+        a, b = (np.stack([t.column(k).to_numpy() for k in names], axis=1) for names in (("r", "c"), ("r2", "c2")))
+        nodes, at = np.unique(np.concatenate([a, b]), axis=0, return_inverse=True)
+        at = at.reshape(-1)
+        matrix = np.zeros((len(nodes), len(nodes)), bool)
+        matrix[at[: len(a)], at[len(a) :]] = matrix[at[len(a) :], at[: len(a)]] = True
+        np.fill_diagonal(matrix, False)
+        one = lambda x: pa.array([x], pa.binary())
+        return pa.table({"map_name": t.column("map_name").slice(0, 1).cast(pa.string()), "n": pa.array([len(nodes)], pa.int64()), "nodes": one(nodes.astype(np.int64).tobytes()), "bits": one(np.packbits(matrix).tobytes())})
+
+    longs = [F.col(c).cast("long").alias(c) for c in ("r", "c", "r2", "c2")]
+    return edges.select("map_name", *longs).groupBy("map_name").applyInArrow(run, "map_name string, n long, nodes binary, bits binary")
+
+
+def _by_source(edges: DataFrame, kernel, schema: str, chunk: int) -> DataFrame:
+    """kernel(adjacency, nodes, sources) gives columns; map_name goes in front of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                n = row["n"]
+                nodes = np.frombuffer(row["nodes"], np.int64).reshape(n, 2)
+                adjacency = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=n * n).reshape(n, n).astype(bool)
+                columns = kernel(adjacency, nodes, np.arange(row["start"], min(row["start"] + chunk, n)))
+                size = len(next(iter(columns.values())))
+                yield pa.RecordBatch.from_pydict({"map_name": pa.array([row["map_name"]] * size, pa.string()), **columns})
+
+    return _chunks(_graphs(edges), "n", chunk).mapInArrow(run, f"map_name string, {schema}")
+
+
+def _distance(cell: float | None):
+    """Distances by hops, or by length where cell is the side of a cell; unreachable nodes have inf."""
 
+    def run(adjacency: np.ndarray, nodes: np.ndarray, sources: np.ndarray) -> np.ndarray:
+        if cell is not None:
+            return kernels.metric(adjacency, nodes * float(cell), sources)
+        d = kernels.hops(adjacency, sources)
+        return np.where(d < 0, np.inf, d)
 
-def integration_hh(distances: DataFrame, cells: DataFrame) -> DataFrame:
-    """Integration of each cell; cells that can't be reached count as the map's largest distance."""
+    return run
+
+
+def distances(edges: DataFrame, cell: float | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(map_name, r, c, r2, c2, d) for all pairs with a path: fewest steps, or with cell, the shortest length in its unit."""
+    distance = _distance(cell)
+
+    def pairs(adjacency: np.ndarray, nodes: np.ndarray, sources: np.ndarray) -> dict:
+        d = distance(adjacency, nodes, sources)
+        d[np.arange(len(sources)), sources] = np.inf
+        i, j = np.nonzero(np.isfinite(d))
+        a, b = nodes[sources[i]], nodes[j]
+        return {"r": a[:, 0], "c": a[:, 1], "r2": b[:, 0], "c2": b[:, 1], "d": d[i, j] if cell is not None else d[i, j].astype(np.int64)}
+
+    return _by_source(edges, pairs, f"r long, c long, r2 long, c2 long, d {'long' if cell is None else 'double'}", chunk)
+
+
+def hop_distance(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    return distances(edges, None, chunk)
+
+
+def metric_distance(edges: DataFrame, cell: float = 16, chunk: int = CHUNK) -> DataFrame:
+    return distances(edges, cell, chunk)
+
+
+def distance_sums(edges: DataFrame, cell: float | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(map_name, r, c, s, m, far): the sum, number and largest of a node's distances. No pairs leave the tasks."""
+    distance = _distance(cell)
+
+    def sums(adjacency: np.ndarray, nodes: np.ndarray, sources: np.ndarray) -> dict:
+        d = distance(adjacency, nodes, sources)
+        d = np.where(np.isfinite(d), d, 0)
+        d[np.arange(len(sources)), sources] = 0
+        return {"r": nodes[sources, 0], "c": nodes[sources, 1], "s": d.sum(axis=1), "m": (d > 0).sum(axis=1), "far": d.max(axis=1)}
+
+    return _by_source(edges, sums, "r long, c long, s double, m long, far double", chunk)
+
+
+def integration_hh(sums: DataFrame, cells: DataFrame, name: str = "integration_hh", fill: bool = True) -> DataFrame:
+    """Integration of each cell; with fill, cells that can't be reached count as the map's largest distance, else they are left out.
+
+    NaN on maps of under four cells, inf where the mean distance is one.
+    """
     n = cells.groupBy("map_name").agg(F.count("*").alias("n"))
-    far = distances.groupBy("map_name").agg(F.max("d").alias("far"))
-    sums = distances.groupBy("map_name", "r", "c").agg(F.sum("d").alias("s"), F.count("*").alias("m"))
-    x = cells.join(sums, ["map_name", "r", "c"], "left").join(n, "map_name").join(far, "map_name").fillna(0, ["s", "m"])
-    md = (F.col("s") + (F.col("n") - 1 - F.col("m")) * F.col("far")) / (F.col("n") - 1)
-    ra = 2 * (md - 1) / (F.col("n") - 2)
-    dn = 2 * (F.col("n") * (F.log2((F.col("n") + 2) / 3) - 1) + 1) / ((F.col("n") - 1) * (F.col("n") - 2))
+    far = sums.groupBy("map_name").agg(F.max("far").alias("far"))
+    x = cells.join(sums.drop("far"), ["map_name", "r", "c"], "left").join(n, "map_name").join(far, "map_name", "left").fillna(0, ["s", "m", "far"])
+    missing = (F.col("n") - 1 - F.col("m")) * F.col("far") if fill else F.lit(0.0)
+    md = (F.col("s") + missing) / F.nullif(F.col("n") - 1, F.lit(0))
+    ra = 2 * (md - 1) / F.nullif(F.col("n") - 2, F.lit(0))
+    dn = 2 * (F.col("n") * (F.log2((F.col("n") + 2) / 3) - 1) + 1) / F.nullif((F.col("n") - 1) * (F.col("n") - 2), F.lit(0))
     value = F.when(F.col("n") < 4, F.lit(float("nan"))).when(ra == 0, F.lit(float("inf"))).otherwise(dn / F.nullif(ra, F.lit(0.0)))
-    return x.select("map_name", "r", "c", value.alias("integration_hh"))
+    return x.select("map_name", "r", "c", value.alias(name))
+
+
+def choice(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(map_name, r, c, choice): for each node, its share in the shortest paths between all others, each pair once."""
+
+    def shares(adjacency: np.ndarray, nodes: np.ndarray, sources: np.ndarray) -> dict:
+        return {"r": nodes[:, 0], "c": nodes[:, 1], "share": kernels.dependencies(adjacency, sources)}
+
+    return _by_source(edges, shares, "r long, c long, share double", chunk).groupBy("map_name", "r", "c").agg((F.sum("share") / 2).alias("choice"))
+
+
+def syntax_grid(cells: DataFrame, edges: DataFrame, perimeter: DataFrame, cell: float = 16) -> DataFrame:
+    """All measures of each cell. edges are those of cells and are read several times: pass a saved table."""
+    key = ["map_name", "r", "c"]
+    out = cells.select(*key).join(connectivity(edges), key, "left").fillna(0, ["connectivity"]).withColumn("isovist_area", F.col("connectivity") * F.lit(cell * cell))
+    out = out.join(perimeter.withColumnRenamed("perimeter", "isovist_perimeter"), key, "left").fillna(0, ["isovist_perimeter"])
+    for name, size in (("integration_hh_t", None), ("integration_hh_m", cell)):
+        out = out.join(integration_hh(distance_sums(edges, size), cells, name), key)
+    return out.join(choice(edges).withColumnRenamed("choice", "choice_t"), key, "left").fillna(0, ["choice_t"])
+
+
+def islands(cells: DataFrame) -> DataFrame:
+    """(map_name, r, c, island): the smallest cell number r * 2**20 + c of the cells that are connected by sides. Each round is checkpointed.
+
+    A cell takes the smallest number of its neighbours, and then that cell's own number, so rounds grow with the logarithm of a path.
+    """
+    key = ["map_name", "r", "c"]
+    number = lambda r, c: F.col(r).cast("long") * (1 << 20) + F.col(c)
+    sides = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))))
+    own = cells.select(*key, number("r", "c").alias("node")).distinct()
+    beside = own.withColumn("s", F.explode(sides)).select("map_name", F.col("node").alias("a"), (number("r", "c") + F.col("s.i") * (1 << 20) + F.col("s.j")).alias("b"))
+    links = beside.join(own.select("map_name", F.col("node").alias("b")), ["map_name", "b"]).checkpoint()
+    roots = own.withColumn("island", F.col("node")).checkpoint()
+    while True:
+        near = links.join(roots.select("map_name", F.col("node").alias("b"), "island"), ["map_name", "b"]).groupBy("map_name", F.col("a").alias("node")).agg(F.min("island").alias("m"))
+        step = roots.join(near, ["map_name", "node"], "left").withColumn("m", F.least("island", F.coalesce("m", "island")))
+        hook = step.groupBy("map_name", F.col("island").alias("m")).agg(F.min("m").alias("h"))
+        step = step.join(hook, ["map_name", "m"], "left").withColumn("m", F.least("m", F.coalesce("h", "m")))
+        step = step.checkpoint()
+        if step.where("m <> island").isEmpty():
+            return step.select(*key, "island")
+        roots = step.select(*key, "node", F.col("m").alias("island"))
+
+
+def drop_islands(cells: DataFrame, min_share: float = 0.01) -> DataFrame:
+    """Cells of islands that have at least min_share of their map's cells."""
+    found = islands(cells)
+    size = found.groupBy("map_name", "island").agg(F.count("*").alias("size"))
+    total = found.groupBy("map_name").agg(F.count("*").alias("total"))
+    return found.join(size.join(total, "map_name").where(F.col("size") >= F.col("total") * min_share), ["map_name", "island"]).select("map_name", "r", "c")
 
 
 def _around(cells: DataFrame) -> DataFrame:
@@ -59,22 +199,45 @@ def _around(cells: DataFrame) -> DataFrame:
     return cells.withColumn("o", F.explode(offsets)).select("map_name", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"))
 
 
-def erode_cells(cells: DataFrame) -> DataFrame:
-    """Cells whose 3 x 3 neighbourhood is walkable."""
-    return _around(cells).groupBy("map_name", "r", "c").count().where("count = 9").drop("count")
+def erode_cells(cells: DataFrame, times: int = 1) -> DataFrame:
+    """Cells whose 3 x 3 neighbourhood is walkable; what is left is eroded again."""
+    for _ in range(times):
+        cells = _around(cells).groupBy("map_name", "r", "c").count().where("count = 9").drop("count")
+    return cells
 
 
 def close_cells(cells: DataFrame) -> DataFrame:
     return erode_cells(_around(cells).distinct())
 
 
-def nearest_segment(points: DataFrame, lines: DataFrame) -> DataFrame:
-    """The line next to each point (ties: smallest line_id) and the distance. lines must be a bounded set: it is sent to all tasks."""
+def _to_segment(px: Column, py: Column) -> Column:
+    """Distance of a point to the row's segment."""
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    t = ((F.col("px") - F.col("x1")) * dx + (F.col("py") - F.col("y1")) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-9))
+    t = ((px - F.col("x1")) * dx + (py - F.col("y1")) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-9))
     t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-    d = F.sqrt((F.col("px") - F.col("x1") - t * dx) ** 2 + (F.col("py") - F.col("y1") - t * dy) ** 2)
-    met = points.join(F.broadcast(lines), F.lit(True)).select("point_id", F.struct(F.round(d, 9).alias("d"), "line_id").alias("s"))
+    return F.sqrt((px - F.col("x1") - t * dx) ** 2 + (py - F.col("y1") - t * dy) ** 2)
+
+
+def nearest_segment(points: DataFrame, lines: DataFrame, sizes: tuple[float, ...] = (32, 8, 2)) -> DataFrame:
+    """The line of the same map next to each point (ties: smallest line_id) and the distance; points without a place or lines have no row.
+
+    Points fall into squares. A square keeps the lines that can be next to any point in it: those no further from its centre than the
+    nearest one plus the square's diagonal. Smaller squares begin with the lines of the square around them, so points only meet few lines.
+    """
+    points = points.where("px is not null and py is not null and not isnan(px) and not isnan(py)")
+    square = lambda size: (F.floor(F.col("px") / size), F.floor(F.col("py") / size))
+    found, key = lines.select("map_id", "line_id", "x1", "y1", "x2", "y2"), ["map_id"]
+    for size in sizes:
+        gx, gy = (c.alias(n) for c, n in zip(square(size), (f"gx{size:g}", f"gy{size:g}"), strict=True))
+        keyed = points.select("map_id", *([] if len(key) == 1 else [c.alias(n) for c, n in zip(square(last), key[1:], strict=True)]), gx, gy).distinct()
+        inner = ["map_id", f"gx{size:g}", f"gy{size:g}"]
+        centre = _to_segment((F.col(inner[1]) + 0.5) * size, (F.col(inner[2]) + 0.5) * size)
+        met = keyed.join(found, key).withColumn("d", centre)
+        met = met.withColumn("least", F.min("d").over(Window.partitionBy(*inner)))
+        found = met.where(F.col("d") <= F.col("least") + size * 2**0.5 + 1e-6).select(*inner, "line_id", "x1", "y1", "x2", "y2")
+        key, last = inner, size
+    own = points.select("point_id", "map_id", "px", "py", *(c.alias(n) for c, n in zip(square(last), key[1:], strict=True)))
+    met = own.join(found, key).select("point_id", F.struct(F.round(_to_segment(F.col("px"), F.col("py")), 9).alias("d"), "line_id").alias("s"))
     return met.groupBy("point_id").agg(F.min("s").alias("s")).select("point_id", "s.line_id", F.col("s.d").alias("distance"))
 
 
@@ -83,3 +246,67 @@ def line_density(lines: DataFrame, assigned: DataFrame, scale: float = 0.01905)
     metres = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) * scale
     out = lines.join(count, "line_id", "left").fillna(0, ["crossfire"]).withColumn("length_m", F.when(metres > 0, metres).otherwise(1e-9))
     return out.select("line_id", "crossfire", "length_m", (F.col("crossfire") / F.col("length_m")).alias("crossfire_per_m"))
+
+
+def line_contacts(lines: DataFrame, size: float = 16) -> DataFrame:
+    """(map_name, r, c, r2, c2) as of graphs, with r the line's id and c 0: lines of a map whose segments cross or touch.
+
+    Lines meet only within squares that both of their bounding boxes touch.
+    """
+    span = lambda a, b: F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size))
+    spread = lines.select("map_name", "line_id", "x1", "y1", "x2", "y2", F.explode(span("x1", "x2")).alias("gx"), span("y1", "y2").alias("ys")).withColumn("gy", F.explode("ys")).drop("ys")
+    a, b = spread.alias("a"), spread.alias("b")
+    both = a.join(b, ["map_name", "gx", "gy"]).where("a.line_id < b.line_id")
+
+    def turn(p: str, q: str, r: str) -> Column:
+        """Sign of the turn p -> q -> r; points are named by line and end."""
+        at = lambda name: (F.col(f"{name[0]}.x{name[1]}"), F.col(f"{name[0]}.y{name[1]}"))
+        (px, py), (qx, qy), (rx, ry) = at(p), at(q), at(r)
+        return F.signum((qx - px) * (ry - py) - (qy - py) * (rx - px))
+
+    overlap = F.lit(True)
+    for k in "xy":
+        low, high = (lambda t, k=k: F.least(f"{t}.{k}1", f"{t}.{k}2")), (lambda t, k=k: F.greatest(f"{t}.{k}1", f"{t}.{k}2"))
+        overlap &= (low("a") <= high("b")) & (low("b") <= high("a"))
+    meet = overlap & (turn("a1", "a2", "b1") * turn("a1", "a2", "b2") <= 0) & (turn("b1", "b2", "a1") * turn("b1", "b2", "a2") <= 0)
+    pairs = both.where(meet).select("map_name", F.col("a.line_id").alias("r"), F.col("b.line_id").alias("r2")).distinct()
+    zero = F.lit(0).cast("long")
+    edge = lambda p, q: pairs.select("map_name", F.col(p).alias("r"), zero.alias("c"), F.col(q).alias("r2"), zero.alias("c2"))
+    return edge("r", "r2").union(edge("r2", "r"))
+
+
+def line_graph(lines: DataFrame, contacts: DataFrame) -> DataFrame:
+    """connectivity, integration_hh and choice of each line on the graph of contacts; lines without a contact have -1 in all.
+
+    Integration counts the lines of the map that have contacts. contacts is read several times: pass a saved table.
+    """
+    nodes = contacts.select("map_name", "r", "c").distinct()
+    key = ["map_name", "r", "c"]
+    found = connectivity(contacts).join(integration_hh(distance_sums(contacts), nodes), key).join(choice(contacts), key)
+    out = lines.select("map_name", F.col("line_id").alias("r")).join(found.drop("c"), ["map_name", "r"], "left").fillna(-1, ["connectivity", "integration_hh", "choice"])
+    return out.withColumnRenamed("r", "line_id")
+
+
+def simplify(points: DataFrame, tolerance: float) -> DataFrame:
+    """(polyline, place, x, y): the points of each polyline that stay. A polyline must fit in a task."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("place")
+        xy = np.stack([t.column("x").to_numpy(), t.column("y").to_numpy()], axis=1)
+        return t.filter(pa.array(kernels.simplified(xy, tolerance)))
+
+    own = points.select("polyline", F.col("place").cast("long").alias("place"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null")
+    return own.groupBy("polyline").applyInArrow(run, own.schema)
+
+
+def rasterise(polygons: DataFrame, cell: float) -> DataFrame:
+    """(map_name, r, c): cells whose centre is within a polygon, by even and odd crossings. polygons has map_name and corners, an array of (x, y) in pixels."""
+    axis = lambda k: F.transform("corners", lambda p: p[k])
+    first = lambda k: F.floor(F.array_min(axis(k)) / cell)
+    last = lambda k: F.floor(F.array_max(axis(k)) / cell)
+    cells = polygons.where(F.size("corners") > 2).select("map_name", "corners", F.explode(F.sequence(first("y"), last("y"))).alias("r"), first("x").alias("lo"), last("x").alias("hi"))
+    cells = cells.select("map_name", "corners", "r", F.explode(F.sequence("lo", "hi")).alias("c"))
+    x, y = (F.col("c") + 0.5) * cell, (F.col("r") + 0.5) * cell
+    after = F.concat(F.slice("corners", 2, F.size("corners") - 1), F.slice("corners", 1, 1))
+    crossed = F.filter(F.arrays_zip(F.col("corners").alias("p"), after.alias("q")), lambda e: ((e.p.y > y) != (e.q.y > y)) & (x < e.p.x + (y - e.p.y) * (e.q.x - e.p.x) / F.nullif(e.q.y - e.p.y, F.lit(0.0))))
+    return cells.where(F.size(crossed) % 2 == 1).select("map_name", "r", "c").distinct()

@@ -2,25 +2,81 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundplan.operators import kernels
 
-def average_rank(df: DataFrame, x: str, by: list[str]) -> Column:
-    """Rank among the group's values, the mean of them for ties."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
+
+def corr(x: str, y: str) -> Column:
+    """Pearson's r over rows where both are known; null where a side is constant."""
+    own = lambda a, b: F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a)))
+    return F.try_divide(F.covar_pop(x, y), own(x, y) * own(y, x))
+
+
+def with_average_rank(df: DataFrame, x: str, by: list[str], name: str) -> DataFrame:
+    """Adds the rank of x among its group's values, the mean of them for ties.
+
+    Only the distinct values of a group meet in a window; the rows find their rank by an equi-join.
+    """
+    values = df.groupBy(*by, x).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = values.select(*by, x, (before + (F.col("_n") + 1) / 2).alias(name))
+    return df.join(ranks, [*by, x])
 
 
 def correlations(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"rx": average_rank(df, x, by), "ry": average_rank(df, y, by)})
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ranked = with_average_rank(with_average_rank(known, x, by, "rx"), y, by, "ry")
     enough = lambda c: F.when(F.col("n") >= 8, c)
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("r"), F.corr("rx", "ry").alias("rho"))
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), corr(x, y).alias("r"), corr("rx", "ry").alias("rho"))
     return out.select(*by, "n", enough(F.col("r")).alias("pearson_r"), enough(F.col("rho")).alias("spearman_rho"))
 
 
+def correlation_matrix(df: DataFrame, behaviours: list[str], metrics: list[str], by: list[str]) -> DataFrame:
+    """(by, behaviour, metric, n, spearman_rho, pearson_r) for all pairs; null where n < 8 or a side is nearly constant. Columns must not hold nulls.
+
+    One rank for each column, then all correlations in one aggregation.
+    """
+    for c in [*behaviours, *metrics]:
+        df = with_average_rank(df, c, by, f"_rank_{c}")
+    flat = lambda c: F.max(c) - F.min(c) <= 1e-8 + 1e-5 * F.abs(F.min(c))
+    pairs = [(b, m) for b in behaviours for m in metrics]
+    aggregates = [F.struct(F.lit(b).alias("behaviour"), F.lit(m).alias("metric"), corr(f"_rank_{b}", f"_rank_{m}").alias("rho"), corr(b, m).alias("r"), (flat(b) | flat(m)).alias("flat")) for b, m in pairs]
+    found = df.groupBy(*by).agg(F.count("*").alias("n"), F.array(*aggregates).alias("all")).select(*by, "n", F.explode("all").alias("p"))
+    ok = lambda c: F.when((F.col("n") >= 8) & ~F.col("p.flat"), F.col(c))
+    return found.select(*by, "p.behaviour", "p.metric", "n", ok("p.rho").alias("spearman_rho"), ok("p.r").alias("pearson_r"))
+
+
+def source_comparison(matrix: DataFrame, by: list[str], sources: list[str], source: str = "source") -> DataFrame:
+    """The correlations of a matrix made by map and source, one column for each source."""
+    return matrix.groupBy(*by, "behaviour", "metric").pivot(source, sources).agg(F.first("spearman_rho"))
+
+
+def metric_correlations(df: DataFrame, pairs: list[tuple[str, str]], by: list[str], more_than: int = 10) -> DataFrame:
+    """Pearson's r of each pair of columns, one column each; groups of no more than more_than rows are left out."""
+    found = df.groupBy(*by).agg(F.count("*").alias("n"), *(corr(a, b).alias(f"{a}_vs_{b}") for a, b in pairs))
+    return found.where(F.col("n") > more_than)
+
+
+def with_p_value(df: DataFrame, r: str, n: str, name: str) -> DataFrame:
+    """The two-sided p of a correlation r of n rows by Student's t with n - 2 degrees of freedom; null where either is null or n < 3. For results, one row each."""
+
+    @F.pandas_udf("double")
+    def tail(t: pd.Series, free: pd.Series) -> pd.Series:
+        return pd.Series(kernels.two_sided_p(t.to_numpy(float), free.to_numpy(float)))
+
+    free = (F.col(n) - 2).cast("double")
+    t = F.when(1 - F.col(r) ** 2 > 0, F.abs(r) * F.sqrt(free / F.nullif(1 - F.col(r) ** 2, F.lit(0.0)))).otherwise(float("inf"))
+    ok = F.col(r).isNotNull() & (F.col(n) >= 3)
+    return df.withColumn(name, F.when(ok, tail(F.coalesce(t, F.lit(0.0)), F.greatest(free, F.lit(1.0)))))
+
+
 def linregress(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    out = df.groupBy(*by).agg(F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("r"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"))
-    return out.withColumn("r2", F.col("r") ** 2).withColumn("stderr", F.sqrt((1 - F.col("r2")) * F.col("syy") / F.col("sxx") / (F.col("n") - 2))).drop("sxx", "syy")
+    out = df.groupBy(*by).agg(F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), corr(x, y).alias("r"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"))
+    error = F.sqrt((1 - F.col("r2")) * F.col("syy") / F.nullif(F.col("sxx"), F.lit(0.0)) / F.nullif(F.col("n") - 2, F.lit(0)))
+    return out.withColumn("r2", F.col("r") ** 2).withColumn("stderr", error).drop("sxx", "syy")
 
 
 def finite_positive(*columns: str) -> Column:
@@ -31,14 +87,18 @@ def finite_positive(*columns: str) -> Column:
 
 
 def intelligibility(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    return df.where(finite_positive(x, y)).groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("r"), F.corr(F.ln(x), F.ln(y)).alias("log_r"))
+    """y by x over rows where both are finite and over 0, and the correlation of their logarithms."""
+    out = df.where(finite_positive(x, y)).withColumns({"_ln_x": F.ln(x), "_ln_y": F.ln(y)}).groupBy(*by).agg(F.count("*").alias("n"), corr(x, y).alias("r"), corr("_ln_x", "_ln_y").alias("log_r"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+    return out.withColumns({"r2": F.col("r") ** 2, "log_r2": F.col("log_r") ** 2})
 
 
 def hotspots(df: DataFrame, metric: str, behaviour: str, by: list[str], q: float = 0.9) -> DataFrame:
-    """Cells at or above the q-quantile of both, and how many to expect if they were independent."""
+    """Cells at or above the q-quantile of both, how many to expect if they were independent, and medians over hot and all cells."""
     at = df.groupBy(*by).agg(F.percentile(metric, q).alias("mq"), F.percentile(behaviour, q).alias("bq"))
     a, b = F.col(metric) >= F.col("mq"), F.col(behaviour) >= F.col("bq")
-    out = df.join(at, by).groupBy(*by).agg(F.count("*").alias("n"), F.count_if(a).alias("hot_metric"), F.count_if(b).alias("hot_behaviour"), F.count_if(a & b).alias("overlap"))
+    median = lambda c, on=None: F.percentile(F.when(on, F.col(c)) if on is not None else F.col(c), 0.5)
+    medians = [median(metric, b).alias("metric_in_hot"), median(metric).alias("metric_in_all"), median(behaviour, a).alias("behaviour_in_hot"), median(behaviour).alias("behaviour_in_all")]
+    out = df.join(at, by).groupBy(*by).agg(F.count("*").alias("n"), F.count_if(a).alias("hot_metric"), F.count_if(b).alias("hot_behaviour"), F.count_if(a & b).alias("overlap"), *medians)
     return out.withColumn("expected", F.col("hot_metric") * F.col("hot_behaviour") / F.col("n"))
 
 
@@ -48,9 +108,11 @@ def top_share(df: DataFrame, value: str, tie: str, by: list[str], share: float =
     return ranked.groupBy(*by).agg(F.count_if(top).alias("k"), (F.sum(F.when(top, F.col(value))) / F.sum(value)).alias("share"))
 
 
-def decile_curve(df: DataFrame, x: str, y: str, tie: str, by: list[str], n: int = 10) -> DataFrame:
+def decile_curve(df: DataFrame, x: str, y: str, tie: str, by: list[str], n: int = 10, sample: bool = True) -> DataFrame:
+    """Means of n equal groups by rising x, with the standard error of y: of a sample, or else of all rows."""
+    spread = F.stddev_samp if sample else F.stddev_pop
     tiles = df.withColumn("tile", F.ntile(n).over(Window.partitionBy(*by).orderBy(x, tie)).cast("long"))
-    return tiles.groupBy(*by, "tile").agg(F.count("*").alias("n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), (F.stddev_samp(y) / F.sqrt(F.count("*"))).alias("se"))
+    return tiles.groupBy(*by, "tile").agg(F.count("*").alias("n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), (spread(y) / F.sqrt(F.count("*"))).alias("se"))
 
 
 def cumulative_share(df: DataFrame, x: str, y: str, tie: str, by: list[str], percents: tuple[int, ...] = (10, 20, 30, 50)) -> DataFrame:
@@ -67,8 +129,18 @@ def metric_summary(df: DataFrame, metrics: list[str], by: list[str]) -> DataFram
     return long.groupBy(*by, F.col("m.metric").alias("metric")).agg(F.min(v).alias("min"), F.percentile(v, 0.5).alias("median"), F.avg(v).alias("mean"), F.percentile(v, 0.95).alias("p95"), F.max(v).alias("max"))
 
 
-def histogram(df: DataFrame, x: str, by: list[str], bins: int = 40) -> DataFrame:
-    """Equal bins over each group's range, the last one closed; density sums to one over the range."""
+def compare_maps(df: DataFrame, metrics: list[str], pair: tuple[str, str], share_of: str, tie: str, by: list[str]) -> DataFrame:
+    """One row per map: its cells, median, mean and p95 of each metric, the correlation of a pair, and the share of share_of that its top 5 % hold."""
+    three = [f(m).alias(f"{m}_{k}") for m in metrics for k, f in (("median", lambda c: F.percentile(c, 0.5)), ("mean", F.avg), ("p95", lambda c: F.percentile(c, 0.95)))]
+    out = df.groupBy(*by).agg(F.count("*").alias("cells"), *three, corr(*pair).alias("pair_corr"))
+    return out.join(top_share(df, share_of, tie, by).select(*by, F.col("share").alias("top_share")), by)
+
+
+def histogram(df: DataFrame, x: str, by: list[str], bins: int = 40, log_shift: bool = False) -> DataFrame:
+    """Equal bins over each group's range, the last one closed; density sums to one over the range. With log_shift, of log10(x - min + 1)."""
+    if log_shift:
+        least = df.groupBy(*by).agg(F.min(x).alias("_least"))
+        df = df.join(least, by).withColumn(x, F.log10(F.col(x) - F.col("_least") + 1)).drop("_least")
     span = df.where(F.col(x).isNotNull()).groupBy(*by).agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n")).where("hi > lo")
     width = (F.col("hi") - F.col("lo")) / bins
     bin_ = F.least(F.floor((F.col(x) - F.col("lo")) / width), F.lit(bins - 1)).alias("bin")

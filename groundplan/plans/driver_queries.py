@@ -89,11 +89,11 @@ def linregress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intelligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(statistics.intelligibility(_parts(spark, sf_dir), "x", "y", ["brand"]), "r", "log_r")
+    return _round(statistics.intelligibility(_parts(spark, sf_dir), "x", "y", ["brand"]), "r", "log_r", "r2", "log_r2", "slope", "intercept")
 
 
 def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(statistics.hotspots(_parts(spark, sf_dir), "x", "y", ["brand"]), "expected")
+    return _round(statistics.hotspots(_parts(spark, sf_dir), "x", "y", ["brand"]), "expected", "metric_in_hot", "metric_in_all", "behaviour_in_hot", "behaviour_in_all")
 
 
 def top_share(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,11 +128,8 @@ def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def integration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from groundplan.sources.folders import checkpoints
-
-    checkpoints(spark)
     cells = rec.walkable_cells(spark, sf_dir)
-    return _round(space.integration_hh(space.hop_distance(space.visibility_edges(cells).checkpoint()), cells), "integration_hh")
+    return _round(space.integration_hh(space.distance_sums(space.visibility_edges(cells)), cells), "integration_hh")
 
 
 def closed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +141,7 @@ def eroded_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _midpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rec.kills(rec.game_events(spark, sf_dir)).where("x is not null and y is not null").selectExpr("event_id AS point_id", "(x + vx) / 2 AS px", "(y + vy) / 2 AS py")
+    return rec.kills(rec.game_events(spark, sf_dir)).where("x is not null and y is not null").selectExpr("map_id", "event_id AS point_id", "(x + vx) / 2 AS px", "(y + vy) / 2 AS py")
 
 
 def nearest_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +157,7 @@ def page_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links of each page, distinct and in order, and the slug of its address."""
     links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), 1))
     last = F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), "([^/]*)/?$", 1)
-    return rec.read(spark, sf_dir, "pages").select("page_id", F.size(links).cast("long").alias("n_links"), F.array_join(links, " ").alias("links"), F.substring(F.regexp_replace(last, "[^A-Za-z0-9_]+", "-"), 1, 60).alias("slug"))
+    return rec.read(spark, sf_dir, "pages").select("page_id", F.size(links).cast("long").alias("n_links"), F.array_join(links, " ").alias("links"), F.substring(F.regexp_replace(last, r"(?U)[^\w]+", "-"), 1, 60).alias("slug"))
 
 
 # ---- SQL -------------------------------------------------------------------------------------------------------------
@@ -182,16 +179,31 @@ f AS (SELECT map_id, "row", col, count(*) AS flow FROM (SELECT map_id, "row", co
 g AS (SELECT map_id, "row", col, coalesce(occ_all, 0) AS occ_all, coalesce(occ_ct, 0) AS occ_ct, coalesce(occ_t, 0) AS occ_t, coalesce(occ_early, 0) AS occ_early, coalesce(kills, 0) AS kills, coalesce(kills_ct, 0) AS kills_ct,
  coalesce(kills_t, 0) AS kills_t, coalesce(flow, 0) AS flow, coalesce(visits_rounds, 0) AS visits_rounds FROM o FULL JOIN k USING (map_id, "row", col) FULL JOIN f USING (map_id, "row", col))"""
 _PARTS = "p AS (SELECT p_partkey AS id, p_brand AS brand, CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS DOUBLE) AS y FROM part)"
-_CELLS = "w AS (SELECT DISTINCT 'm' || CAST(CAST(floor(p_partkey / 16) AS BIGINT) % 4 AS VARCHAR) AS map_name, CAST(p_size % 16 AS BIGINT) AS r, CAST(p_partkey % 16 AS BIGINT) AS c FROM part WHERE NOT ((p_size % 16) % 6 = 3 AND (p_partkey % 16) % 8 NOT IN (1, 5)))"
+_CELLS = "w AS (SELECT DISTINCT 'm' || CAST(CAST(floor(p_partkey / 1024) AS BIGINT) AS VARCHAR) AS map_name, CAST(p_size % 16 AS BIGINT) AS r, CAST(p_partkey % 16 AS BIGINT) AS c FROM part WHERE NOT ((p_size % 16) % 6 = 3 AND (p_partkey % 16) % 8 NOT IN (1, 5)))"
 _SEEN = f"""{_CELLS}, pairs AS (SELECT a.map_name, a.r, a.c, b.r AS r2, b.c AS c2, greatest(abs(b.r - a.r), abs(b.c - a.c)) AS n FROM w a JOIN w b ON a.map_name = b.map_name AND (a.r <> b.r OR a.c <> b.c)),
 pts AS (SELECT map_name, r, c, r2, c2, n, CAST(round_even(r + (r2 - r) * k / n, 0) AS BIGINT) AS pr, CAST(round_even(c + (c2 - c) * k / n, 0) AS BIGINT) AS pc FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM pairs)),
 seen AS (SELECT map_name, r, c, r2, c2 FROM pts JOIN (SELECT map_name, r AS pr, c AS pc FROM w) USING (map_name, pr, pc) GROUP BY map_name, r, c, r2, c2, n HAVING count(*) = n),
 edges AS (SELECT map_name, r, c, r2, c2 FROM seen UNION SELECT map_name, r2, c2, r, c FROM seen)"""
+#: Hops and numbers of shortest paths between all pairs, by levels; needs w (nodes) and edges.
+_HOPS = """hop(map_name, r, c, r2, c2, d, p) USING KEY (map_name, r, c, r2, c2) AS (SELECT map_name, r, c, r, c, 0::BIGINT, 1::DOUBLE FROM w
+UNION SELECT h.map_name, h.r, h.c, e.r2, e.c2, h.d + 1, sum(h.p) FROM hop h JOIN edges e ON h.map_name = e.map_name AND h.r2 = e.r AND h.c2 = e.c
+WHERE NOT EXISTS (SELECT 1 FROM recurring.hop k WHERE k.map_name = h.map_name AND k.r = h.r AND k.c = h.c AND k.r2 = e.r2 AND k.c2 = e.c2) GROUP BY h.map_name, h.r, h.c, e.r2, e.c2, h.d + 1)"""
+
+
+def integration_sql(dist: str, name: str = "integ") -> str:
+    """The measure v of all nodes w from distances, the longest one for pairs without a path."""
+    return f"""{name}_n AS (SELECT map_name, count(*) AS n FROM w GROUP BY map_name), {name}_far AS (SELECT map_name, max(d) AS far FROM {dist} GROUP BY map_name),
+{name}_s AS (SELECT map_name, r, c, sum(d) AS s, count(*) FILTER (d > 0) AS m FROM {dist} GROUP BY ALL),
+{name}_v AS (SELECT map_name, r, c, n, 2 * ((s + (n - 1 - m) * far) / (n - 1) - 1) / (n - 2) AS ra, 2 * (n * (log2((n + 2) / 3) - 1) + 1) / ((n - 1) * (n - 2)) AS dn FROM {name}_s JOIN {name}_n USING (map_name) JOIN {name}_far USING (map_name)),
+{name} AS (SELECT map_name, r, c, CASE WHEN n < 4 THEN 'nan'::DOUBLE WHEN ra = 0 THEN 'inf'::DOUBLE ELSE dn / ra END AS v FROM {name}_v)"""
+
+
+_INTEGRATION = integration_sql("hop")
 _ERODE = "SELECT map_name, r, c FROM (SELECT map_name, r + i AS r, c + j AS c FROM {} , (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)) GROUP BY ALL HAVING count(*) = 9"
-_NEAR = f"""{_EV}, pt AS (SELECT event_id AS point_id, (x + (x * 7 + 13) % 100) / 2 AS px, (y + y / 2) / 2 AS py FROM ev WHERE event_type = 'purchase' AND x IS NOT NULL AND y IS NOT NULL),
+_NEAR = f"""{_EV}, pt AS (SELECT map_id, event_id AS point_id, (x + (x * 7 + 13) % 100) / 2 AS px, (y + y / 2) / 2 AS py FROM ev WHERE event_type = 'purchase' AND x IS NOT NULL AND y IS NOT NULL),
 lk AS (SELECT DISTINCT CAST(p_size AS BIGINT) AS s, CAST(p_partkey % 100 AS BIGINT) AS k FROM part),
-ln AS (SELECT s * 100 + k AS line_id, s::DOUBLE AS x1, k::DOUBLE AS y1, (s * 3 % 50)::DOUBLE AS x2, (k * 7 % 100)::DOUBLE AS y2 FROM lk),
-t AS (SELECT *, least(greatest(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / greatest((x2 - x1) ** 2 + (y2 - y1) ** 2, 1e-9), 0), 1) AS t FROM pt, ln),
+ln AS (SELECT k % 2 AS map_id, s * 100 + k AS line_id, s::DOUBLE AS x1, k::DOUBLE AS y1, (s * 3 % 50)::DOUBLE AS x2, (k * 7 % 100)::DOUBLE AS y2 FROM lk),
+t AS (SELECT *, least(greatest(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / greatest((x2 - x1) ** 2 + (y2 - y1) ** 2, 1e-9), 0), 1) AS t FROM pt JOIN ln USING (map_id)),
 d AS (SELECT point_id, line_id, round(sqrt((px - x1 - t * (x2 - x1)) ** 2 + (py - y1 - t * (y2 - y1)) ** 2), 9) AS d FROM t),
 near AS (SELECT point_id, min(line_id) AS line_id, min(d) AS d FROM (SELECT *, min(d) OVER (PARTITION BY point_id) AS m FROM d) WHERE d = m GROUP BY point_id)"""
 
@@ -216,10 +228,11 @@ count(*) FILTER (l_returnflag = 'R') AS occ_t, count(DISTINCT l_orderkey) AS vis
 SELECT brand, count(*) AS n, CASE WHEN count(*) >= 8 THEN round(corr(x, y), 6) END AS pearson_r, CASE WHEN count(*) >= 8 THEN round(corr(rx, ry), 6) END AS spearman_rho FROM k GROUP BY brand""",
     "linregress": f"""WITH {_PARTS} SELECT brand, count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(corr(x, y), 6) AS r, round(corr(x, y) ** 2, 6) AS r2,
 round(sqrt((1 - corr(x, y) ** 2) * regr_syy(y, x) / regr_sxx(y, x) / (count(*) - 2)), 6) AS stderr FROM p GROUP BY brand""",
-    "intelligibility": f"WITH {_PARTS} SELECT brand, count(*) AS n, round(corr(x, y), 6) AS r, round(corr(ln(x), ln(y)), 6) AS log_r FROM p WHERE x > 0 AND y > 0 GROUP BY brand",
+    "intelligibility": f"WITH {_PARTS} SELECT brand, count(*) AS n, round(corr(x, y), 6) AS r, round(corr(ln(x), ln(y)), 6) AS log_r, round(corr(x, y) ** 2, 6) AS r2, round(corr(ln(x), ln(y)) ** 2, 6) AS log_r2, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept FROM p WHERE x > 0 AND y > 0 GROUP BY brand",
     "hotspots": f"""WITH {_PARTS}, q AS (SELECT brand, quantile_cont(x, 0.9) AS mq, quantile_cont(y, 0.9) AS bq FROM p GROUP BY brand)
-SELECT brand, count(*) AS n, count(*) FILTER (x >= mq) AS hot_metric, count(*) FILTER (y >= bq) AS hot_behaviour, count(*) FILTER (x >= mq AND y >= bq) AS overlap, mq, bq,
-round(count(*) FILTER (x >= mq) * count(*) FILTER (y >= bq) / count(*), 6) AS expected FROM p JOIN q USING (brand) GROUP BY brand, mq, bq""".replace(" mq, bq,\n", "\n"),
+SELECT brand, count(*) AS n, count(*) FILTER (x >= mq) AS hot_metric, count(*) FILTER (y >= bq) AS hot_behaviour, count(*) FILTER (x >= mq AND y >= bq) AS overlap,
+round(quantile_cont(x, 0.5) FILTER (y >= bq), 6) AS metric_in_hot, round(quantile_cont(x, 0.5), 6) AS metric_in_all, round(quantile_cont(y, 0.5) FILTER (x >= mq), 6) AS behaviour_in_hot, round(quantile_cont(y, 0.5), 6) AS behaviour_in_all,
+round(count(*) FILTER (x >= mq) * count(*) FILTER (y >= bq) / count(*), 6) AS expected FROM p JOIN q USING (brand) GROUP BY brand, mq, bq""",
     "top_share": f"""WITH {_PARTS}, k AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY y DESC, id) AS place, count(*) OVER (PARTITION BY brand) AS n FROM p)
 SELECT brand, count(*) FILTER (place <= greatest(floor(n * 0.05), 1)) AS k, round(sum(y) FILTER (place <= greatest(floor(n * 0.05), 1)) / sum(y), 6) AS share FROM k GROUP BY brand""",
     "decile_curve": f"""WITH {_PARTS}, k AS (SELECT *, ntile(10) OVER (PARTITION BY brand ORDER BY x, id) AS tile FROM p)
@@ -232,11 +245,7 @@ SELECT brand, metric, round(min(v), 6) AS "min", round(quantile_cont(v, 0.5), 6)
 SELECT brand, CAST(least(floor((x - lo) / ((hi - lo) / 40)), 39) AS BIGINT) AS bin, count(*) AS "count", round(count(*) / n / ((hi - lo) / 40), 6) AS density FROM p JOIN s USING (brand) GROUP BY brand, bin, n, hi, lo""",
     "visibility_edges": f"WITH {_SEEN} SELECT map_name, r, c, r2, c2 FROM edges",
     "connectivity": f"WITH {_SEEN} SELECT map_name, r, c, count(*) AS connectivity FROM edges GROUP BY map_name, r, c",
-    "integration": f"""WITH RECURSIVE {_SEEN}, hop AS (SELECT map_name, r, c, r AS r2, c AS c2, 0 AS d FROM w UNION SELECT h.map_name, h.r, h.c, e.r2, e.c2, h.d + 1 FROM hop h JOIN edges e ON h.map_name = e.map_name AND h.r2 = e.r AND h.c2 = e.c WHERE h.d < 8),
-dist AS (SELECT map_name, r, c, r2, c2, min(d) AS d FROM hop GROUP BY ALL HAVING min(d) > 0), n AS (SELECT map_name, count(*) AS n FROM w GROUP BY map_name), far AS (SELECT map_name, max(d) AS far FROM dist GROUP BY map_name),
-s AS (SELECT map_name, r, c, sum(d) AS s, count(*) AS m FROM dist GROUP BY ALL),
-v AS (SELECT map_name, r, c, n, 2 * ((coalesce(s, 0) + (n - 1 - coalesce(m, 0)) * far) / (n - 1) - 1) / (n - 2) AS ra, 2 * (n * (log2((n + 2) / 3) - 1) + 1) / ((n - 1) * (n - 2)) AS dn FROM w LEFT JOIN s USING (map_name, r, c) JOIN n USING (map_name) JOIN far USING (map_name))
-SELECT map_name, r, c, round(CASE WHEN n < 4 THEN 'nan'::DOUBLE WHEN ra = 0 THEN 'inf'::DOUBLE ELSE dn / ra END, 6) AS integration_hh FROM v""",
+    "integration": f"""WITH RECURSIVE {_SEEN}, {_HOPS}, {_INTEGRATION} SELECT map_name, r, c, round(v, 6) AS integration_hh FROM integ""",
     "closed_cells": f"WITH {_CELLS}, dil AS (SELECT DISTINCT map_name, r + i AS r, c + j AS c FROM w, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)) {_ERODE.format('dil')}",
     "eroded_cells": f"WITH {_CELLS} {_ERODE.format('w')}",
     "nearest_segment": f"WITH {_NEAR} SELECT point_id, line_id, round(d, 6) AS distance FROM near",
@@ -245,7 +254,7 @@ l AS (SELECT line_id, coalesce(n, 0) AS crossfire, CASE WHEN m > 0 THEN m ELSE 1
 SELECT line_id, crossfire, round(m, 4) AS length_m, round(crossfire / m, 4) AS crossfire_per_m FROM l""",
     "page_slugs": """WITH l AS (SELECT page_id, url, list_distinct(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS d, regexp_extract_all(html, 'href="(/[^"]*)"', 1) AS a FROM pages)
 SELECT page_id, len(d)::BIGINT AS n_links, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), ' ') AS links,
-substr(regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/?$', 1), '[^A-Za-z0-9_]+', '-', 'g'), 1, 60) AS slug FROM l""",
+substr(regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/?$', 1), '[^\\pL\\pM\\pN_]+', '-', 'g'), 1, 60) AS slug FROM l""",
 }
 
 QUERIES = {name: globals()[name] for name in ORACLES}

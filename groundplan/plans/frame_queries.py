@@ -14,7 +14,7 @@ METRICS = ["lines", "quantity", "price"]
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rec.read(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_brand AS brand", "cast(p_size AS double) / 64 AS u", "cast(p_retailprice AS double) / 4096 AS v")
+    return rec.read(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_brand AS brand", "cast(p_size AS double) / 64 AS u", "cast(p_retailprice AS double) / 3000 AS v")
 
 
 def axis_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def isovist_perimeter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.isovist_perimeter(space.visibility_edges(cells), cells)
 
 
-_POINTS = "p AS (SELECT p_partkey AS id, p_brand AS brand, CAST(p_size AS DOUBLE) / 64 AS u, CAST(p_retailprice AS DOUBLE) / 4096 AS v FROM part)"
+_POINTS = "p AS (SELECT p_partkey AS id, p_brand AS brand, CAST(p_size AS DOUBLE) / 64 AS u, CAST(p_retailprice AS DOUBLE) / 3000 AS v FROM part)"
 _FRAMED = f"""{_POINTS}, f AS (SELECT id, brand, u, v, 'uv' AS form, u AS a, v AS b FROM p UNION ALL SELECT id, brand, u, v, '1-uv', 1 - u, v FROM p UNION ALL SELECT id, brand, u, v, 'u1-v', u, 1 - v FROM p
 UNION ALL SELECT id, brand, u, v, '1-u1-v', 1 - u, 1 - v FROM p UNION ALL SELECT id, brand, u, v, 'vu', v, u FROM p UNION ALL SELECT id, brand, u, v, '1-vu', 1 - v, u FROM p
 UNION ALL SELECT id, brand, u, v, 'v1-u', v, 1 - u FROM p UNION ALL SELECT id, brand, u, v, '1-v1-u', 1 - v, 1 - u FROM p)"""

@@ -1,17 +1,24 @@
-"""The folder for checkpoints."""
+"""Folders that the driver and all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
-def checkpoints(spark: SparkSession) -> None:
+def checkpoints(spark: SparkSession) -> str:
     """Takes spark.checkpoint.dir from the session; in local mode, where it is unset, a folder of its own."""
-    if spark.sparkContext.getCheckpointDir():
-        return
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='groundplan-')}")
+    found = found or f"file://{tempfile.mkdtemp(prefix='groundplan-')}"
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path that does not exist yet, in the shared folder."""
+    return f"{checkpoints(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

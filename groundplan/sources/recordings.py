@@ -50,11 +50,44 @@ def kills(ev: DataFrame) -> DataFrame:
 
 
 def walkable_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part").selectExpr("concat('m', cast(floor(p_partkey / 16) % 4 AS string)) AS map_name", "cast(p_size % 16 AS bigint) AS r", "cast(p_partkey % 16 AS bigint) AS c")
+    """Cells of 16 x 16 maps with walls, 1024 parts a map, so the number of maps grows with the table."""
+    part = read(spark, sf_dir, "part").selectExpr("concat('m', cast(floor(p_partkey / 1024) AS string)) AS map_name", "cast(p_size % 16 AS bigint) AS r", "cast(p_partkey % 16 AS bigint) AS c")
     return part.where("NOT (r % 6 = 3 AND c % 8 NOT IN (1, 5))").distinct()
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distinct lines that parts draw: p_size (1 to 50) and p_partkey % 100 fix a line, so there are 5000 at most, whatever the table's size."""
+    """The distinct lines that parts draw on two maps."""
     keys = read(spark, sf_dir, "part").selectExpr("cast(p_size AS bigint) AS s", "cast(p_partkey % 100 AS bigint) AS k").distinct()
-    return keys.selectExpr("s * 100 + k AS line_id", "cast(s AS double) AS x1", "cast(k AS double) AS y1", "cast(s * 3 % 50 AS double) AS x2", "cast(k * 7 % 100 AS double) AS y2")
+    return keys.selectExpr("k % 2 AS map_id", "s * 100 + k AS line_id", "cast(s AS double) AS x1", "cast(k AS double) AS y1", "cast(s * 3 % 50 AS double) AS x2", "cast(k * 7 % 100 AS double) AS y2")
+
+
+def axial_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line for each part, 64 a map."""
+    return read(spark, sf_dir, "part").selectExpr("concat('m', cast(floor(p_partkey / 64) AS string)) AS map_name", "p_partkey AS line_id", "cast(p_size AS double) AS x1", "cast(p_partkey % 100 AS double) AS y1", "cast(p_size * 3 % 50 AS double) AS x2", "cast(p_partkey * 7 % 100 AS double) AS y2")
+
+
+def calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "nation").selectExpr(
+        "concat('n', n_nationkey) AS map_name", "n_nationkey * -10.0D AS pos_x", "9000.0D + n_nationkey AS pos_y", "150.0D * (1 + n_nationkey % 2) AS scale",
+        "n_nationkey / 25.0D AS CTSpawn_x", "n_nationkey % 7 / 7.0D AS CTSpawn_y", "n_nationkey % 5 / 5.0D AS TSpawn_x", "n_nationkey % 3 / 2.0D AS TSpawn_y",
+        "n_nationkey % 4 / 4.0D AS bombA_x", "CASE WHEN n_nationkey % 11 <> 0 THEN 0.5D END AS bombA_y", "0.25D AS bombB_x", "0.75D AS bombB_y",
+    )
+
+
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of customers on the maps of their nations."""
+    return read(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS id", "concat('n', c_nationkey) AS map_name", "c_acctbal AS x", "cast(c_custkey * 37 % 9973 AS double) AS y", "cast(c_custkey % 5 AS int) AS health",
+        "CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 2 WHEN 'MACHINERY' THEN 3 WHEN 'FURNITURE' THEN 3 ELSE 1 END AS team_num",
+    )
+
+
+def map_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walkable cells of 4 pixels on the maps of nations."""
+    return read(spark, sf_dir, "lineitem").selectExpr("concat('n', l_suppkey % 25) AS map_name", "l_partkey % 16 AS row", "cast(floor(l_quantity / 5) AS bigint) AS col").distinct()
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters of 64 x 64 pixels on the maps of nations."""
+    rows = read(spark, sf_dir, "lineitem").selectExpr("concat('n', l_suppkey % 25) AS map_name", "cast(l_orderkey % 64 AS int) AS px", "cast(l_partkey % 64 AS int) AS py", "l_linenumber % 4 * 60 AS a")
+    return rows.groupBy("map_name", "px", "py").agg(F.min("a").alias("alpha"))
