@@ -1,16 +1,18 @@
 """Near duplicates by MinHash with tensored banding.
 
-A table's key is a pair (left i, right j), each of them a few minhashes. M left and M right collections make M * M tables
-from 2 * M * WIDTH minhashes, where independent tables would take M * M * 2 * WIDTH. Candidates are confirmed on the full
-sets of shingles, so there are no false links; a pair of similarity s is missed with a probability of at most
-2 * (1 - s**WIDTH)**M (8e-7 at 0.8 itself, 2e-9 at 0.85, 2e-13 at 0.9).
-
-Half keys that only one document has can't be part of a shared key, so pairs (i, j) are made of shared halves only.
-
-Documents with equal sets are one class from the start. In each bucket, all members are compared with the smallest one;
-then, in buckets whose members still belong to several components, all members of different components are compared. A
-bucket within one component has nothing to add. So no pair within a large group of copies is listed, and no
-candidate whose link could matter is left out.
+A table's key is a pair (left i, right j) of half keys, each of them a few minhashes. M left and M right collections make M * M tables from
+2 * M * WIDTH minhashes, where independent tables would take M * M * 2 * WIDTH. Two documents share a key of some table if and only if they
+share a left half and a right half, so candidates are found from 2 * M rows a document, and the M * M keys are never written out. A
+candidate must also share AGREE halves in all. Candidates are confirmed on the full sets of shingles, so there are no false
+links; a pair of similarity 0.8 is missed with a probability of at most 2 * (1 - 0.8**WIDTH)**M = 8e-7 for the keys, and 1e-7 for AGREE; of
+0.85, with 2e-9 in all.
+
+Documents with equal sets are one class from the start. Halves that only one class has are left out. Then, in two steps:
+
+1. In each group of a shared half, all members meet the one that shares most halves with others (the text that the copies were made from, as a rule).
+2. Groups that lie within one component then have nothing to add. The others are dealt into tiles of two chunks of members; a tile compares its
+   members in numpy, each pair only in the first left half that it shares, and gives a spanning forest of confirmed links. No list of pairs is
+   ever a table, no group is in one task, and no candidate whose link could matter is left out.
 """
 
 from __future__ import annotations
@@ -25,7 +27,11 @@ from pyspark.sql import functions as F
 from .common import components, mixed, pair_hashes, packed, saved, signed, slices, table, word_hashes
 
 M, WIDTH = 28, 4
-_SEEDS = np.random.default_rng(4).integers(1, 1 << 63, (2 * M * WIDTH, 2), dtype=np.uint64) | np.uint64(1)
+#: Halves that a candidate shares at least, of 2 * M.
+AGREE = 6
+#: Members of a chunk of a tile.
+CHUNK = 512
+_SEEDS = np.random.default_rng(4).integers(1, 1 << 32, (2 * M * WIDTH, 2), dtype=np.uint32) | np.uint32(1)
 BANDS = [f"{side}{i}" for side in "lr" for i in range(M)]
 
 
@@ -67,7 +73,8 @@ def _signatures(words: int):
                     v = np.concatenate([sets[k] for k in full])
                     at = np.r_[0, np.cumsum(size[full])[:-1]]
                     out[full, 0], out[full, 1] = np.add.reduceat(mixed(v), at), np.add.reduceat(mixed(~v), at)
-                    least = [np.minimum.reduceat((v ^ x) * a, at) for a, x in _SEEDS]
+                    low = v.astype(np.uint32)
+                    least = [np.minimum.reduceat((low ^ x) * a, at).astype(np.uint64) for a, x in _SEEDS]
                     for b in range(2 * M):
                         key = least[b * WIDTH]
                         for w in range(1, WIDTH):
@@ -90,21 +97,111 @@ def _sets(words: int):
     return run
 
 
+def alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are linked."""
+    at = np.searchsorted(q, p)
+    at[at == len(q)] = 0
+    both = int((q[at] == p).sum()) if len(q) else 0
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                at = np.searchsorted(q, p)
-                at[at == len(q)] = 0
-                both = int((q[at] == p).sum()) if len(q) else 0
-                ok.append(100 * both >= percent * (len(p) + len(q) - both))
+            ok = [alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
     return run
 
 
+# ---- tiles -----------------------------------------------------------------------------------------------------------
+
+TILE = ["i", "v", "t1", "t2"]
+MEMBER = "i int, v long, t1 int, t2 int, chunk int, rep long, root long, n long, halves binary"
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The tiles of rows that are sorted by tile, one by one."""
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        key = np.stack([t.column(k).to_numpy().astype(np.int64) for k in TILE], axis=1)
+        cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(key)]
+        for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = tuple(key[p])
+            if held and own != last:
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            held.append(t.slice(p, q - p))
+            last = own
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def candidates(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in the tile) of the pairs that share a key of some table, are of different components, and have no left half in common before the tile's own."""
+    i, t1, t2 = (t.column(k)[0].as_py() for k in ("i", "t1", "t2"))
+    chunk, root, n = (t.column(k).to_numpy() for k in ("chunk", "root", "n"))
+    halves = np.frombuffer(b"".join(x.as_py() for x in t.column("halves")), np.int64).reshape(t.num_rows, 2 * M)
+    a, b = np.flatnonzero(chunk == t1), np.flatnonzero(chunk == t2)
+    out = []
+    step = max(1, (1 << 17) // max(len(b), 1))
+    for s in range(0, len(a), step):
+        own = a[s : s + step]
+        small, large = np.minimum(n[own][:, None], n[b]), np.maximum(n[own][:, None], n[b])
+        ok = (root[own][:, None] != root[b]) & (small * 100 >= large * percent)  # else even a subset is not linked
+        if t1 == t2:
+            ok &= own[:, None] < b
+        p, q = np.nonzero(ok)
+        p, q = own[p], b[q]
+        same = halves[p] == halves[q]
+        ok = (same.sum(axis=1) >= AGREE) & same[:, M:].any(axis=1) & ~same[:, :i].any(axis=1)
+        out.append((p[ok], q[ok]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (a[:0], b[:0])
+
+
+def _with_candidates(percent: int):
+    """The members of each tile that are in a candidate pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _tiles(batches):
+            some = np.unique(np.concatenate(candidates(t, percent)))
+            if len(some):
+                yield from t.take(pa.array(some)).to_batches()
+
+    return run
+
+
+def _tile_links(percent: int):
+    """Confirmed links that connect what a tile's members connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _tiles(batches):
+            rep, sets = t.column("rep").to_numpy(), [np.frombuffer(x.as_py(), np.uint64) for x in t.column("shingles")]
+            parent = {r: r for r in t.column("root").to_pylist()}
+            root = t.column("root").to_pylist()
+
+            def top(x: int, parent: dict = parent) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            out = []
+            for p, q in zip(*(x.tolist() for x in candidates(t, percent)), strict=True):
+                x, y = top(root[p]), top(root[q])
+                if x != y and alike(sets[p], sets[q], percent):
+                    parent[max(x, y)] = min(x, y)
+                    out.append((rep[p], rep[q]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -118,36 +215,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # documents with equal sets have equal minhashes: a minimum over the class takes them along
     classes = saved(signature.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in BANDS)), "classes")
     halves = classes.select("rep", F.posexplode(F.array(*BANDS)).alias("i", "v"))
-    several = halves.groupBy("i", "v").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("i", "v")
-    side = lambda on: F.collect_list(F.when(on, F.struct("i", "v")))
-    own = saved(halves.join(several, ["i", "v"]).groupBy("rep").agg(side(F.col("i") < M).alias("ls"), side(F.col("i") >= M).alias("rs")), "halves")
-    # a document has up to M * M keys, so the tasks are more than its bytes ask for: maps of keys should fit in memory
-    spread = own.repartition(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep")
-    keys = spread.select("rep", "rs", F.explode("ls").alias("l")).select("rep", "l", F.explode("rs").alias("r")).select(F.xxhash64("l", "r").alias("key"), "rep")
-    shared = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).where("centre <> other").select("key", "centre")
-    hits = saved(keys.join(shared, "key"), "buckets")
-
-    size = lambda x, n: classes.select(F.col("rep").alias(x), F.col("n_shingles").alias(n))
-    alike = lambda p, q: (F.least(p, q) * 100 >= F.greatest(p, q) * percent)  # noqa: E731  else even a subset is not linked
-    star = hits.where("rep <> centre").select("centre", "rep").distinct().join(size("rep", "n"), "rep").join(size("centre", "m"), "centre").where(alike(F.col("n"), F.col("m"))).select(F.col("centre").alias("a"), F.col("rep").alias("b"))
-    star = saved(star, "star")
-    members = hits.select(F.col("rep").alias("doc_id")).distinct()
-    sets = saved(docs.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
-        return both.mapInArrow(_confirm(percent), "a long, b long, linked boolean").where("linked").select("a", "b")
-
-    links = saved(confirmed(star), "links")
+    several = halves.groupBy("i", "v").agg(F.count("*").alias("k")).where("k > 1")
+    shared = saved(halves.join(several, ["i", "v"]), "halves")
+
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        return saved(docs.join(ids.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "doc_id long, shingles binary"), name)
+
+    # step 1
+    known = shared.groupBy("rep").agg(F.sum("k").alias("known"))
+    centre = shared.join(known, "rep").groupBy("i", "v").agg(F.max(F.struct("known", "rep"))["rep"].alias("centre"))
+    left = F.count_if(F.col("i") < M)
+    star = shared.join(centre, ["i", "v"]).where("rep <> centre").groupBy("centre", "rep").agg(F.count("*").alias("agree"), left.alias("left")).where((F.col("agree") >= AGREE) & (F.col("left") > 0) & (F.col("left") < F.col("agree")))
+    star = saved(star.select(F.col("centre").alias("a"), F.col("rep").alias("b")), "star")
+    sets = sets_of(star.select(F.col("a").alias("doc_id")).union(star.select("b")), "sets")
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
+    pairs = star.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
+    links = saved(pairs.mapInArrow(_confirm(percent), "a long, b long, linked boolean").where("linked").select("a", "b"), "links")
     found = components(links, "a", "b")
-    within = hits.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "centre", F.coalesce("root", "rep").alias("root"))
-    open_ = within.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = saved(within.where("rep <> centre").join(open_, "key").join(size("rep", "n"), "rep").select("key", "rep", "n", "root"), "open")
-    x, y = rest.alias("x"), rest.alias("y")
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & alike(F.col("x.n"), F.col("y.n")))
-    more = more.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    more = saved(confirmed(more.join(star, ["a", "b"], "left_anti")), "links")
+
+    # step 2
+    rooted = shared.where(F.col("i") < M).join(found.withColumnRenamed("node", "rep"), "rep", "left").select("i", "v", "rep", "k", F.coalesce("root", "rep").alias("root"))
+    open_ = rooted.groupBy("i", "v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("i", "v")
+    chunks = F.ceil(F.col("k") / CHUNK).cast("int")
+    member = rooted.join(open_, ["i", "v"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    whole = classes.select("rep", F.col("n_shingles").alias("n"), *BANDS)
+    packed_halves = F.concat(*(F.unhex(F.lpad(F.hex(F.col(c)), 16, "0")) for c in BANDS))
+    member = member.join(whole, "rep").select("i", "v", F.least("chunk", "x").alias("t1"), F.greatest("chunk", "x").alias("t2"), "chunk", "rep", "root", "n", packed_halves.alias("halves"))
+    dealt = lambda df: df.repartition(*TILE).sortWithinPartitions(*TILE)
+    some = saved(dealt(member).mapInArrow(_with_candidates(percent), MEMBER), "tiles")
+    sets = sets_of(some.select(F.col("rep").alias("doc_id")), "tile-sets").withColumnRenamed("doc_id", "rep")
+    more = saved(dealt(some.join(sets, "rep").select(*some.columns, "shingles")).mapInArrow(_tile_links(percent), "a long, b long"), "tile-links")
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "a", "b")
 
