@@ -31,6 +31,8 @@ M, WIDTH = 28, 4
 AGREE = 6
 #: Members of a chunk of a tile.
 CHUNK = 512
+#: Ids that are sent to all tasks at most (16 MB); of more, the texts are shuffled.
+FEW = 2_000_000
 _SEEDS = np.random.default_rng(4).integers(1, 1 << 32, (2 * M * WIDTH, 2), dtype=np.uint32) | np.uint32(1)
 BANDS = [f"{side}{i}" for side in "lr" for i in range(M)]
 
@@ -79,7 +81,7 @@ def _signatures(words: int):
                         key = least[b * WIDTH]
                         for w in range(1, WIDTH):
                             key = pair_hashes(key, least[b * WIDTH + w])
-                        out[full, 2 + b] = key
+                        out[full, 2 + b] = (key >> np.uint64(6)) | np.uint64(b << 58)
                 columns = [batch.column(0).slice(i, j - i), pa.array(size.astype(np.int64)), *(pa.array(signed(np.ascontiguousarray(c))) for c in out.T)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "f1", "f2", *BANDS])
 
@@ -116,8 +118,8 @@ def _confirm(percent: int):
 
 # ---- tiles -----------------------------------------------------------------------------------------------------------
 
-TILE = ["i", "v", "t1", "t2"]
-MEMBER = "i int, v long, t1 int, t2 int, chunk int, rep long, root long, n long, halves binary"
+TILE = ["h", "t1", "t2"]
+MEMBER = "h long, t1 int, t2 int, chunk int, rep long, root long, n long, halves binary"
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -143,7 +145,8 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def candidates(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (in the tile) of the pairs that share a key of some table, are of different components, and have no left half in common before the tile's own."""
-    i, t1, t2 = (t.column(k)[0].as_py() for k in ("i", "t1", "t2"))
+    h, t1, t2 = (t.column(k)[0].as_py() for k in TILE)
+    i = h >> 58 & 63
     chunk, root, n = (t.column(k).to_numpy() for k in ("chunk", "root", "n"))
     halves = np.frombuffer(b"".join(x.as_py() for x in t.column("halves")), np.int64).reshape(t.num_rows, 2 * M)
     a, b = np.flatnonzero(chunk == t1), np.flatnonzero(chunk == t2)
@@ -214,18 +217,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     signature = saved(docs.mapInArrow(_signatures(words), fields), "minhash")
     # documents with equal sets have equal minhashes: a minimum over the class takes them along
     classes = saved(signature.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in BANDS)), "classes")
-    halves = classes.select("rep", F.posexplode(F.array(*BANDS)).alias("i", "v"))
-    several = halves.groupBy("i", "v").agg(F.count("*").alias("k")).where("k > 1")
-    shared = saved(halves.join(several, ["i", "v"]), "halves")
+    halves = classes.select("rep", F.explode(F.array(*BANDS)).alias("h"))
+    # joins that grow with the corpus are merge joins at every size
+    several = halves.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").hint("merge")
+    shared = saved(halves.join(several, "h"), "halves")
 
     def sets_of(ids: DataFrame, name: str) -> DataFrame:
-        return saved(docs.join(ids.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "doc_id long, shingles binary"), name)
+        ids = saved(ids.distinct(), f"{name}-ids")
+        ids = F.broadcast(ids) if ids.count() <= FEW else ids.hint("merge")
+        return saved(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "doc_id long, shingles binary"), name)
 
     # step 1
-    known = shared.groupBy("rep").agg(F.sum("k").alias("known"))
-    centre = shared.join(known, "rep").groupBy("i", "v").agg(F.max(F.struct("known", "rep"))["rep"].alias("centre"))
-    left = F.count_if(F.col("i") < M)
-    star = shared.join(centre, ["i", "v"]).where("rep <> centre").groupBy("centre", "rep").agg(F.count("*").alias("agree"), left.alias("left")).where((F.col("agree") >= AGREE) & (F.col("left") > 0) & (F.col("left") < F.col("agree")))
+    known = shared.groupBy("rep").agg(F.sum("k").alias("known")).hint("merge")
+    centre = shared.join(known, "rep").groupBy("h").agg(F.max(F.struct("known", "rep"))["rep"].alias("centre")).hint("merge")
+    is_left = F.shiftrightunsigned("h", 58) < M
+    left = F.count_if(is_left)
+    star = shared.join(centre, "h").where("rep <> centre").groupBy("centre", "rep").agg(F.count("*").alias("agree"), left.alias("left")).where((F.col("agree") >= AGREE) & (F.col("left") > 0) & (F.col("left") < F.col("agree")))
     star = saved(star.select(F.col("centre").alias("a"), F.col("rep").alias("b")), "star")
     sets = sets_of(star.select(F.col("a").alias("doc_id")).union(star.select("b")), "sets")
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
@@ -234,13 +241,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found = components(links, "a", "b")
 
     # step 2
-    rooted = shared.where(F.col("i") < M).join(found.withColumnRenamed("node", "rep"), "rep", "left").select("i", "v", "rep", "k", F.coalesce("root", "rep").alias("root"))
-    open_ = rooted.groupBy("i", "v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("i", "v")
+    rooted = shared.where(is_left).join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("h", "rep", "k", F.coalesce("root", "rep").alias("root"))
+    open_ = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h").hint("merge")
     chunks = F.ceil(F.col("k") / CHUNK).cast("int")
-    member = rooted.join(open_, ["i", "v"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    member = rooted.join(open_, "h").withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), chunks - 1)))
     whole = classes.select("rep", F.col("n_shingles").alias("n"), *BANDS)
     packed_halves = F.concat(*(F.unhex(F.lpad(F.hex(F.col(c)), 16, "0")) for c in BANDS))
-    member = member.join(whole, "rep").select("i", "v", F.least("chunk", "x").alias("t1"), F.greatest("chunk", "x").alias("t2"), "chunk", "rep", "root", "n", packed_halves.alias("halves"))
+    member = member.join(whole.hint("merge"), "rep").select("h", F.least("chunk", "x").alias("t1"), F.greatest("chunk", "x").alias("t2"), "chunk", "rep", "root", "n", packed_halves.alias("halves"))
     dealt = lambda df: df.repartition(*TILE).sortWithinPartitions(*TILE)
     some = saved(dealt(member).mapInArrow(_with_candidates(percent), MEMBER), "tiles")
     sets = sets_of(some.select(F.col("rep").alias("doc_id")), "tile-sets").withColumnRenamed("doc_id", "rep")
@@ -249,7 +256,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "a", "b")
 
     of_class = classes.select("f1", "f2", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("root", "rep").alias("component"))
-    out = signature.select("doc_id", "n_shingles", "f1", "f2").join(of_class, ["f1", "f2", "n_shingles"], "left")
+    out = signature.select("doc_id", "n_shingles", "f1", "f2").join(of_class.hint("merge"), ["f1", "f2", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
