@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import gathered, packed, prefix_hashes, slices, table
 
 SPACE = "▁"
+END = None
 #: Parts that a worker remembers, of about 30 bytes each.
 REMEMBERED = 2_000_000
 
@@ -49,13 +50,19 @@ class Transducer:
         self.pieces = {p.replace(SPACE, " "): i for i, p in enumerate(pieces) if kinds[i] == 0}
         self.text, self.scores, self.n = [p.replace(SPACE, " ") for p in pieces], scores, len(pieces)
         self.byte = [i for i in range(len(pieces)) if kinds[i] == 1]
-        self.longest = max(map(len, self.pieces))
         self.apart: dict[int, bool] = {}
         surface = [bytes([self.byte.index(i)]) if k == 1 else self.text[i].encode() if k == 0 else b"" for i, k in enumerate(kinds)]
         self.surface = np.frombuffer(b"".join(surface), np.uint8)
         self.length = np.array([len(s) for s in surface])
         self.begin = np.r_[0, np.cumsum(self.length)[:-1]]
-        self.whole = {i for p, i in self.pieces.items() if self.merged(p) == [p]}
+        #: arcs: pieces that merges leave whole, as a trie of their texts from the end; a node's piece is at END
+        self.arcs: dict = {}
+        for p, i in self.pieces.items():
+            if self.merged(p) == [p]:
+                node = self.arcs
+                for x in reversed(p):
+                    node = node.setdefault(x, {})
+                node[END] = i
         self.known = np.zeros(0, np.uint64)  # sorted hashes of parts
         self.known_at = np.zeros(1, np.int64)
         self.known_ids = np.zeros(0, np.int32)
@@ -77,19 +84,24 @@ class Transducer:
     def compose(self, part: bytes) -> list[int]:
         """The ids on the best path through one part."""
         s = part.decode()
-        n, pieces, apart, whole = len(s), self.pieces, self.apart, self.whole
+        n, apart, arcs, text = len(s), self.apart, self.arcs, self.text
         state, begin = [-1] * (n + 1), [0] * (n + 1)
         for e in range(1, n + 1):
-            for b in range(max(0, e - self.longest), e):
-                p = pieces.get(s[b:e])
-                if p is None or p not in whole:
-                    continue
+            node, b, ending = arcs, e, []
+            while b:
+                node = node.get(s[b - 1])
+                if node is None:
+                    break
+                b -= 1
+                p = node.get(END)
+                if p is not None:
+                    ending.append((p, b))
+            for p, b in reversed(ending):
                 q = state[b]
                 if q >= 0:
-                    fits = apart.get(q * 65536 + p)
+                    fits = apart.get(q << 16 | p)
                     if fits is None:
-                        both = self.text[q], self.text[p]
-                        fits = apart[q * 65536 + p] = self.merged(both[0] + both[1]) == list(both)
+                        fits = apart[q << 16 | p] = self.merged(text[q] + text[p]) == [text[q], text[p]]
                     if not fits:
                         continue
                 state[e], begin[e] = p, b
