@@ -1,13 +1,18 @@
-"""Main text of web pages: each page is compared with the nearest page of its host, by URL path, and shared lines are deleted.
+"""Main text of web pages: each page is compared with the nearest pages of its host, by URL path, and shared lines are deleted.
 
-Pages are sorted by (host, path) over range partitions, so a host with a third of all pages is many partitions; a page's partner is the
-page before it in its partition, or the next one for the first. Lines within an article or main element are the main text as
-marked by the page and stay; of pages without such an element, the lines that a longest common subsequence shares with the partner are
-deleted, unless they are more than half of the page's characters (then the two are copies of a text, not two texts in one frame).
+Elements that are frames by their tag or name are dropped. Of the lines that are left, those within an article or main element are marked by the page as its text
+and stay. The others are aligned by longest common subsequence with those of the page before and of the page after on the
+host, in the order of paths; lines that both share are deleted (on a host of two pages, those that the other one shares). If under LEFT
+characters would be left, the pages are copies of one text and not texts in one frame, and nothing is deleted. Unmarked lines that are left are part of the text
+if the marked ones are no more than half of it.
+
+Pages are dealt into ranges of (host, path, page_id), so a host with a third of all pages is many ranges. The first and last page of each range go to the
+range beside it as well, so the result does not depend on where ranges end.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -18,11 +23,17 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-DROPPED = frozenset("nav footer aside form script style noscript template iframe button select textarea svg head title dialog object canvas".split())
+DROPPED = frozenset("nav footer aside form script style noscript template iframe button select textarea svg title dialog object canvas".split())
 BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table tr td th blockquote pre section article main header footer nav aside figure figcaption hr body html form address".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 FRAME = frozenset("ad ads advert adverts advertisement sponsored promo banner sidebar menu nav navbar navigation footer comment comments discussion cookie cookies consent notice popup modal newsletter subscribe share social related breadcrumb breadcrumbs masthead".split())
+#: Words that say nothing of what a name is for: `ad-slot` is a frame, `related-work` is none.
+PLAIN = frozenset("slot box block wrapper wrap container area bar widget section list links link item items top bottom left right site page unit inner outer".split())
 MAIN = ("article", "main")
+#: Characters that must be left of a page for lines to be deleted.
+LEFT = 20
+#: Bytes of html of a range, ranges at most, and pages in the sample that tells where ranges end.
+RANGE, RANGES, SAMPLE = 32 << 20, 4096, 16384
 #: Elements whose end tag may be missing: the start tags that end one, and the elements within it that keep them from doing so.
 _CELL, _ROW = frozenset("td th tr tbody thead tfoot".split()), frozenset("tr tbody thead tfoot".split())
 OPTIONAL = {"p": (BLOCKS, frozenset())} | {"li": (frozenset({"li"}), frozenset({"ul", "ol"}))} | {t: (frozenset({"dt", "dd"}), frozenset({"dl"})) for t in ("dt", "dd")}
@@ -69,9 +80,8 @@ class Lines(HTMLParser):
             return
         names = [w for k, v in attrs if k in ("class", "id", "role") and v for w in v.lower().split()]
         words = [set(re.split(r"[^a-z]+", w)) - {""} for w in names]
-        # within the article all words of a name must be of a frame: 'related-work' is none
-        frame = any(w and w <= FRAME if self.inner else w & FRAME for w in words)
-        if tag in DROPPED or (tag == "header" and not self.inner) or (tag not in (*MAIN, "body", "html") and frame):
+        frame = any(w & FRAME and w <= FRAME | PLAIN for w in words)
+        if tag in DROPPED or (tag == "header" and not self.inner) or (tag not in ("main", "body", "html") and frame):
             self.end_line() if tag in BLOCKS else None
             self.dropped, self.depth, self.within = tag, 1, [tag]
             return
@@ -154,38 +164,51 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(own: list[tuple[str, bool]], partner: list[tuple[str, bool]] | None) -> str:
-    marked = [text for text, inner in own if inner]
-    if marked:
-        return "\n\n".join(marked)
-    lines = [text for text, _ in own]
-    if partner is not None:
-        shared = common_lines(lines, [text for text, _ in partner])
-        if 2 * sum(len(lines[i]) for i in shared) <= sum(map(len, lines)):
-            lines = [text for i, text in enumerate(lines) if i not in shared]
-    return "\n\n".join(lines)
+def main_text(own: list[tuple[str, bool]], beside: list[list[tuple[str, bool]]]) -> str:
+    """The text of a page from its lines and those of the pages beside it."""
+    outer = [k for k, (_, inner) in enumerate(own) if not inner]
+    if outer and beside:
+        lines = [own[k][0] for k in outer]
+        shared = set.intersection(*(common_lines(lines, [text for text, inner in other if not inner]) for other in beside))
+        left = [k for j, k in enumerate(outer) if j not in shared]
+        marked = sum(len(text) for text, inner in own if inner)
+        if marked + sum(len(own[k][0]) for k in left) >= LEFT:
+            outer = left
+    marked = sum(len(text) for text, inner in own if inner)
+    if marked > sum(len(own[k][0]) for k in outer):
+        return "\n\n".join(text for text, inner in own if inner)
+    keep = set(outer)
+    return "\n\n".join(text for k, (text, inner) in enumerate(own) if inner or k in keep)
+
+
+def _in_ranges(bounds: list[tuple]):
+    """Adds the number of the range that a row is in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = zip(*(batch.column(k).to_pylist() for k in ("host", "path", "place")), strict=True)
+            number = pa.array([bisect.bisect_right(bounds, k) for k in keys], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, number], names=[*batch.schema.names, "range"])
+
+    return run
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by range, host, path; border rows (of the ranges beside) are compared with, and give no row."""
+
     def rows() -> Iterator[tuple]:
         for batch in batches:
             yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
     def extracted() -> Iterator[tuple]:
-        before = waiting = None  # (host, lines) of the page before; a first page waits for the next one
-        for page_id, url, html, host in rows():
-            here = (host, lines_of(html))
-            if waiting:
-                first, url0, lines0 = waiting[0], waiting[1], waiting[2]
-                yield first, url0, main_text(lines0[1], here[1] if lines0[0] == host else None)
-                waiting = None
-            if before and before[0] == host:
-                yield page_id, url, main_text(here[1], before[1])
-            else:
-                waiting = (page_id, url, here)
-            before = here
-        if waiting:
-            yield waiting[0], waiting[1], main_text(waiting[2][1], None)
+        before = here = None
+        for page_id, url, html, host, range_, border in rows():
+            after = (page_id, url, border, (range_, host), lines_of(html))
+            if here and not here[2]:
+                yield here[0], here[1], main_text(here[4], [x[4] for x in (before, after) if x and x[3] == here[3]])
+            before, here = here, after
+        if here and not here[2]:
+            yield here[0], here[1], main_text(here[4], [before[4]] if before and before[3] == here[3] else [])
 
     def batch_of(held: list[tuple]) -> pa.RecordBatch:
         page_ids, urls, texts = zip(*held, strict=True)
@@ -203,17 +226,31 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(held)
 
 
-def extract_text(pages: DataFrame) -> DataFrame:
+def extract_text(pages: DataFrame, range_bytes: int = RANGE) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
-    Null and empty pages have an empty text; null URLs share a host of their own; repeated rows give repeated rows. Only page_id, url and
-    html are read. An empty table gives an empty table.
+    Null and empty pages have an empty text; null URLs share a host of their own; pages without a page_id come first on a path; repeated rows give
+    repeated rows. Only page_id, url and html are read. An empty table gives an empty table. The ranges' ends come from SAMPLE pages and
+    the borders from one page on each side of a range: both are bounded, and neither changes the result.
     """
+    spark = pages.sparkSession
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     path = F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit(""))
-    keyed = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
-    ordered = keyed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return ordered.select("page_id", "url", "html", "host").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    keyed = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"), F.coalesce("page_id", F.lit(-(1 << 62))).alias("place"))
+    size = keyed.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    n = min(max(-(-size // range_bytes), 1), RANGES)
+    key = ["host", "path", "place"]
+    sample = sorted({tuple(r) for r in keyed.select(*key).orderBy(F.xxhash64("page_id", "url"), "place", "path").limit(SAMPLE).collect()})
+    bounds = sorted({sample[len(sample) * k // n] for k in range(1, n)}) if sample else []
+    fields = "page_id long, url string, html string, host string, path string, place long, range int"
+    keys = keyed.select(*key).mapInArrow(_in_ranges(bounds), "host string, path string, place long, range int")
+    ends = keys.groupBy("range").agg(F.min(F.struct(*key)).alias("first"), F.max(F.struct(*key)).alias("last")).orderBy("range").collect()  # RANGES rows at most
+    across = [x for a, b in zip(ends[:-1], ends[1:], strict=True) if a["first"] is not None and a["last"].host == b["first"].host for x in ((*a["last"], b["range"]), (*b["first"], a["range"]))]
+    borders = spark.createDataFrame(across, "host string, path string, place long, target int")
+    rows = keyed.select("page_id", "url", "html", *key).mapInArrow(_in_ranges(bounds), fields).select("page_id", "url", "html", *key, "range", F.lit(False).alias("border"))
+    beside = keyed.join(F.broadcast(borders), key).select("page_id", "url", "html", *key, F.col("target").alias("range"), F.lit(True).alias("border"))
+    ordered = rows.union(beside).repartition(n, "range").sortWithinPartitions("range", *key)
+    return ordered.select("page_id", "url", "html", "host", "range", "border").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

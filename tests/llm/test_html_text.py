@@ -31,8 +31,9 @@ def test_frames_and_edges(spark):
         (7, "http://a.com/y", frame.format("<p>Copy</p>")),
     ]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as path", "3 as text")
-    got = {r.page_id: r.text for r in extract_text(df.coalesce(1)).collect()}
-    assert got == {1: "One & two three\n\nLong enough to be the text", 2: "Other text here, also quite long", 3: "T\n\nx y\n\ni", 4: "", 5: "", 6: "Top line\n\nCopy\n\nBottom line", 7: "Top line\n\nCopy\n\nBottom line"}
+    for size in (1 << 20, 300, 1):
+        got = {r.page_id: r.text for r in extract_text(df.repartition(3), size).collect()}
+        assert got == {1: "One & two three\n\nLong enough to be the text", 2: "Other text here, also quite long", 3: "T\n\nx y\n\ni", 4: "", 5: "", 6: "Top line\n\nCopy\n\nBottom line", 7: "Top line\n\nCopy\n\nBottom line"}, size
     assert extract_text(df.limit(0)).count() == 0
 
 
@@ -64,3 +65,31 @@ def test_names_within_the_article():
     kept = lambda name: [text for text, _ in lines_of(f"<article><p>Text</p><section id='{name}'><p>Own</p></section></article>")]
     assert kept("related-work") == kept("social-history") == ["Text", "Own"]
     assert kept("related") == kept("social-share") == kept("wide ad") == ["Text"]
+    assert kept("ad-slot") == kept("comment-list") == ["Text"] and kept("share-prices") == ["Text", "Own"]
+
+
+def test_odd_pages():
+    lines = lambda html: [text for text, _ in lines_of(html)]
+    assert lines("<head><title>t</title><meta charset=x><body><p>Real") == ["Real"]
+    assert lines("<main><p>Text</p><article class='comment'><p>Nice!</p></article></main>") == ["Text"]
+    assert lines("<article class='post'><p>Text</article>") == ["Text"]
+
+
+def test_short_text_in_a_large_frame_and_teasers(spark):
+    frame = "<body><div>{}</div>{}<div>{}</div></body>"
+    menu, foot = "Menu of many words " * 20, "Legal words at the end " * 20
+    own = [f"<p>Short text number {i} of its own.</p>" for i in range(4)]
+    rows = [(i, f"http://h.com/{i}", frame.format(menu, t, foot)) for i, t in enumerate(own)]
+    body = "The rest of the text stands outside of the marked element, and there is much of it. " * 3
+    rows += [(10 + i, f"http://t.com/{i}", f"<div>Frame line</div><article>Teaser {i}</article><p>{body}{i}</p>") for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (1 << 20, 500):
+        got = {r.page_id: r.text for r in extract_text(df, size).collect()}
+        assert got == {i: f"Short text number {i} of its own." for i in range(4)} | {10 + i: f"Teaser {i}\n\n{body}{i}" for i in range(3)}
+
+
+def test_repeated_rows_null_ids_and_long_pages(spark):
+    long = "<article>" + "<p>A line of words.</p>" * 40_000 + "</article>"
+    rows = [(1, "http://a.com/1", "<p>Own words of this page</p>")] * 2 + [(None, "http://a.com/0", "<p>x</p>"), (None, None, "<p>no address</p>"), (2, "http://a.com/2", long)]
+    got = sorted((r.page_id or 0, r.n_chars) for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), 1000).collect())
+    assert got == [(0, 1), (0, 10), (1, 22), (1, 22), (2, 40_000 * 18 - 2)]
