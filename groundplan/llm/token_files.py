@@ -1,8 +1,9 @@
 """Token ids in shards compressed by Re-Pair: frequent pairs of ids become nonterminals, rule by rule.
 
 A shard holds whole documents in ascending doc_id order, one row of a Parquet table: the rules, the compressed sequence, the number
-of ids that each symbol expands to, and for each document its id and number of ids. Symbols under BASE are ids; symbol BASE + k is
-rule k, a pair of smaller symbols. With the lengths, any range of ids is decoded without the rest (`decode`).
+of ids that each rule expands to, and for each document its id and number of ids. Symbols under BASE are ids; symbol BASE + k is
+rule k, a pair of smaller symbols. With the lengths, any range of ids is decoded without the rest (`decode`). Rules are made while a round
+of them shortens the sequence by 1/256 at least, or pairs of a lower frequency are left to try.
 """
 
 from __future__ import annotations
@@ -29,9 +30,14 @@ FREQUENT = 16
 PIECE = 1 << 16
 #: Words whose ids a task keeps; then it begins anew.
 KEPT_WORDS = 1 << 18
+#: Shards whose starts are sent to all tasks at most (32 MB).
+FEW = 2_000_000
 _HASHED = (1 << 20) - 1
 
-SCHEMA = "part int, seq int, n_ids long, rules binary, symbols binary, doc_ids binary, doc_sizes binary"
+#: Stands between words that are encoded in one call, and the words of a call.
+MARK, MARK_ID, CALL = "<|startoftext|>", 49406, 256
+
+SCHEMA = "part int, seq int, n_ids long, rules binary, lengths binary, symbols binary, doc_ids binary, doc_sizes binary"
 
 
 # ---- the grammar -----------------------------------------------------------------------------------------------------
@@ -90,19 +96,18 @@ def expanded(rules: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         symbols = out
 
 
-def decode(rules: np.ndarray, symbols: np.ndarray, start: int = 0, stop: int | None = None) -> np.ndarray:
-    """The ids [start, stop) of a shard; only the symbols that cover them are expanded."""
-    size = np.ones(len(symbols), np.int64)
+def decode(rules: np.ndarray, size: np.ndarray, symbols: np.ndarray, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """The ids [start, stop) of a shard, by the lengths of its rules; only the symbols that cover them are expanded."""
+    width = np.ones(len(symbols), np.int64)
     rule = symbols >= BASE
-    if rule.any():
-        size[rule] = lengths(rules)[symbols[rule] - BASE]
-    ends = np.cumsum(size)
+    width[rule] = size[symbols[rule] - BASE]
+    ends = np.cumsum(width)
     total = int(ends[-1]) if len(ends) else 0
     stop = total if stop is None else min(stop, total)
     if start >= stop:
         return np.zeros(0, np.int64)
     first, last = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left")
-    skip = start - int(ends[first] - size[first])
+    skip = start - int(ends[first] - width[first])
     return expanded(rules, symbols[first : last + 1])[skip : skip + stop - start]
 
 
@@ -121,7 +126,10 @@ def pieces(text: str) -> list[str]:
 
 
 class Words(dict):
-    """The ids, as bytes, of words met so far. The tokenizer drops spaces before it looks for tokens, so words are encoded one by one."""
+    """The ids, as bytes, of words met so far. The tokenizer drops spaces before it looks for tokens, so words are encoded one by one.
+
+    New words go to the tokenizer many at once, with a token between them; words that may hold such a token themselves go alone.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -129,64 +137,73 @@ class Words(dict):
         super().__init__()
         self.encode = Tokenizer.from_file(path).encode
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
-        if len(word) <= 64:
-            if len(self) == KEPT_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split(" ")))
+    def learned(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        plain = [w for w in words if "<" not in w and ">" not in w and "|" not in w]
+        for w in set(words).difference(plain):
+            yield w, np.array(self.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
+        for k in range(0, len(plain), CALL):
+            group = plain[k : k + CALL]
+            ids = np.array(self.encode(MARK.join(group), add_special_tokens=False).ids, np.uint32)
+            ends = np.r_[np.flatnonzero(ids == MARK_ID), len(ids)]
+            for w, i, j in zip(group, np.r_[0, ends[:-1] + 1].tolist(), ends.tolist(), strict=True):
+                yield w, ids[i:j].tobytes()
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        split = [t.split(" ") for t in texts]
+        distinct = set().union(*split)
+        new = [w for w in distinct if w not in self]
+        if len(self) + len(new) > KEPT_WORDS:
+            self.clear()
+            new = list(distinct)
+        once = {}
+        for w, ids in self.learned(new):
+            (self if len(w) <= 64 else once)[w] = ids
+        return [b"".join([self[w] if w in self else once[w] for w in words]) for words in split]
+
+
+def _shards(path: str, size: int):
+    """Encodes texts in the order of their rows, and packs them into shards."""
 
-
-def _encoded(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, end = Words(path), np.array([END], np.uint32).tobytes()
-        for batch in batches:
-            texts = batch.column(1)
-            i = 0
-            while i < len(texts):  # few characters at once: the encodings take much more memory than their ids
-                cut, size = [], 0
-                while i + len(cut) < len(texts) and size < PIECE:
-                    cut.append(pieces(texts[i + len(cut)].as_py() or ""))
-                    size += sum(map(len, cut[-1]))
-                out = []
-                for parts in cut:
-                    out.append(b"".join([*map(words.ids, parts), end]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(cut)), pa.array(out, pa.binary())], names=["doc_id", "ids"])
-                i += len(cut)
-
-    return run
-
-
-def _shards(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part = TaskContext.get().partitionId()
+        words, end = Words(path), np.array([END], np.uint32).tobytes()
         docs: list[int] = []
         held: list[np.ndarray] = []
         seq = n = 0
 
+        def encoded() -> Iterator[tuple[int, np.ndarray]]:
+            for batch in batches:
+                ids, texts = batch.column(0).to_pylist(), batch.column(1)
+                i = 0
+                while i < len(texts):  # few characters at once
+                    cut, chars = [], 0
+                    while i + len(cut) < len(texts) and chars < PIECE:
+                        cut.append(pieces(texts[i + len(cut)].as_py() or ""))
+                        chars += sum(map(len, cut[-1]))
+                    found = iter(words.ids([p for parts in cut for p in parts]) if len(cut) > 1 else [x for p in cut[0] for x in words.ids([p])])
+                    for parts in cut:
+                        yield ids[i], np.frombuffer(b"".join([*(next(found) for _ in parts), end]), np.uint32)
+                        i += 1
+
         def shard() -> pa.RecordBatch:
             rules, symbols = compressed(np.concatenate(held))
             sizes = np.array([len(h) for h in held], np.int64)
-            row = {"part": part, "seq": seq, "n_ids": n, "rules": rules.astype(np.uint32).tobytes(), "symbols": symbols.astype(np.uint32).tobytes(), "doc_ids": np.array(docs, np.int64).tobytes(), "doc_sizes": sizes.tobytes()}
-            types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+            small = lambda x: x.astype(np.uint32).tobytes()
+            row = {"part": part, "seq": seq, "n_ids": n, "rules": small(rules), "lengths": small(lengths(rules)), "symbols": small(symbols), "doc_ids": np.array(docs, np.int64).tobytes(), "doc_sizes": sizes.tobytes()}
+            types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
 
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(ids.as_py(), np.uint32)
-                if n and n + len(ids) > size:
-                    yield shard()
-                    docs, held, n, seq = [], [], 0, seq + 1
-                docs.append(doc_id)
-                held.append(ids)
-                n += len(ids)
+        for doc_id, ids in encoded():
+            if n and n + len(ids) > size:
+                yield shard()
+                docs, held, n, seq = [], [], 0, seq + 1
+            docs.append(doc_id)
+            held.append(ids)
+            n += len(ids)
         if n:
             yield shard()
 
@@ -196,11 +213,11 @@ def _shards(size: int):
 def write_shards(docs: DataFrame, tokenizer: str, path: str, shard: int = SHARD) -> None:
     """Encodes all texts, in ascending doc_id order, into shards at path. Null and empty texts have the end id alone.
 
-    Rows without a doc_id are left out; repeated rows are written as often as they occur. Only doc_id and text are read.
+    Rows without a doc_id are left out; repeated rows are written as often as they occur. Only doc_id and text are read. Texts are
+    ordered first; the tasks that hold a range of them encode, compress and write it.
     """
-    ids = saved(docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(_encoded(tokenizer), "doc_id long, ids binary"), "ids")
-    ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(_shards(shard), SCHEMA).write.option("compression", "zstd").parquet(path)
+    ordered = docs.select("doc_id", "text").where("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered.mapInArrow(_shards(tokenizer, shard), SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -210,15 +227,15 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     sizes = shards.select("part", "seq", "n_ids")
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before(Window.orderBy("part"))), F.lit(0)).alias("base"))
     within = sizes.select("part", "seq", F.coalesce(F.sum("n_ids").over(before(Window.partitionBy("part").orderBy("seq"))), F.lit(0)).alias("inner"))
-    starts = within.join(parts, "part").select("part", "seq", (F.col("base") + F.col("inner")).alias("start"))
-    return shards.join(starts, ["part", "seq"])
+    starts = saved(within.join(parts, "part").select("part", "seq", (F.col("base") + F.col("inner")).alias("start")), "starts")
+    return shards.join(F.broadcast(starts) if starts.count() <= FEW else starts, ["part", "seq"])
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            rules, symbols = (np.frombuffer(row[k], np.uint32).astype(np.int64) for k in ("rules", "symbols"))
-            ids = decode(rules.reshape(-1, 2), symbols).astype("<u4")
+            rules, width, symbols = (np.frombuffer(row[k], np.uint32).astype(np.int64) for k in ("rules", "lengths", "symbols"))
+            ids = decode(rules.reshape(-1, 2), width, symbols).astype("<u4")
             size = np.frombuffer(row["doc_sizes"], np.int64)
             ends = np.cumsum(size)
             crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
