@@ -32,8 +32,8 @@ PLAIN = frozenset("slot box block wrapper wrap container area bar widget section
 MAIN = ("article", "main")
 #: Characters that must be left of a page for lines to be deleted.
 LEFT = 20
-#: Bytes of html of a range, ranges at most, and pages in the sample that tells where ranges end.
-RANGE, RANGES, SAMPLE = 32 << 20, 4096, 16384
+#: Bytes of html of a range, ranges at most (they are larger then), and pages for each range in the sample that tells where ranges end.
+RANGE, RANGES, SAMPLE = 8 << 20, 1 << 16, 4
 #: Elements whose end tag may be missing: the start tags that end one, and the elements within it that keep them from doing so.
 _CELL, _ROW = frozenset("td th tr tbody thead tfoot".split()), frozenset("tr tbody thead tfoot".split())
 OPTIONAL = {"p": (BLOCKS, frozenset())} | {"li": (frozenset({"li"}), frozenset({"ul", "ol"}))} | {t: (frozenset({"dt", "dd"}), frozenset({"dl"})) for t in ("dt", "dd")}
@@ -230,8 +230,8 @@ def extract_text(pages: DataFrame, range_bytes: int = RANGE) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
     Null and empty pages have an empty text; null URLs share a host of their own; pages without a page_id come first on a path; repeated rows give
-    repeated rows. Only page_id, url and html are read. An empty table gives an empty table. The ranges' ends come from SAMPLE pages and
-    the borders from one page on each side of a range: both are bounded, and neither changes the result.
+    repeated rows. Only page_id, url and html are read. An empty table gives an empty table. The ranges' ends come from a few pages for
+    each range and the borders are one page on each side of it: neither changes the result.
     """
     spark = pages.sparkSession
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
@@ -240,7 +240,7 @@ def extract_text(pages: DataFrame, range_bytes: int = RANGE) -> DataFrame:
     size = keyed.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     n = min(max(-(-size // range_bytes), 1), RANGES)
     key = ["host", "path", "place"]
-    sample = sorted({tuple(r) for r in keyed.select(*key).orderBy(F.xxhash64("page_id", "url"), "place", "path").limit(SAMPLE).collect()})
+    sample = sorted({tuple(r) for r in keyed.select(*key).orderBy(F.xxhash64("page_id", "url"), "place", "path").limit(max(SAMPLE * n, 4096)).collect()})
     bounds = sorted({sample[len(sample) * k // n] for k in range(1, n)}) if sample else []
     fields = "page_id long, url string, html string, host string, path string, place long, range int"
     keys = keyed.select(*key).mapInArrow(_in_ranges(bounds), "host string, path string, place long, range int")
