@@ -266,4 +266,16 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_minhash_near_dedup": op4_minhash_near_dedup}
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLES = {
+    "op4_minhash_near_dedup": f"""
+WITH RECURSIVE d AS (SELECT DISTINCT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM d),
+n AS (SELECT doc_id, len(s) AS n FROM s), e AS (SELECT doc_id, n, unnest(s) AS x FROM s JOIN n USING (doc_id)),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80
+GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+near AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+root(doc_id, r) USING KEY (doc_id) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, min(h.r) FROM root h JOIN near l ON l.a = h.doc_id JOIN recurring.root k ON k.doc_id = l.b WHERE k.r > h.r GROUP BY l.b)
+SELECT n.doc_id, n AS n_shingles, r AS component_id, n.doc_id = r AS kept FROM n JOIN root USING (doc_id)
+"""
+}
