@@ -273,4 +273,17 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_suffix_array_dedup": op2_suffix_array_dedup}
-ORACLES: dict[str, str] = {}
+#: Bytes as pairs of hexadecimal digits.
+ORACLES = {
+    "op2_suffix_array_dedup": """
+WITH d AS (SELECT DISTINCT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents WHERE doc_id IS NOT NULL),
+win AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS w FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM d)),
+rep AS (SELECT doc_id, p FROM win QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, p) > 1),
+run AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM rep),
+grp AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM run),
+span AS (SELECT doc_id, min(p) AS s, max(p) + 100 AS e FROM grp GROUP BY doc_id, g),
+part AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM span),
+cut AS (SELECT doc_id, sum(e - s)::BIGINT AS removed, count(*) AS spans, max(e) AS last, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS kept FROM part JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)
+"""
+}
