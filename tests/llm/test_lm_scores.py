@@ -11,19 +11,30 @@ from .helpers import SF, documents, real
 def plain(rows):
     texts = [(i, [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]) for i, t in rows]
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in texts}
-    one, two, context = Counter(), Counter(), Counter()
-    for i, words in texts:
+    grams, after = [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
+    read = {i: list(zip(["<s>", "<s>", *words], ["<s>", *words], words)) for i, words in texts}  # ids are distinct here
+    for i, _ in texts:
         if not held[i]:
-            one.update(words)
-            two.update(zip(["<s>", *words], words))
-    for (a, _), c in two.items():
-        context[a] += c
-    n, v = sum(one.values()), len(one)
+            for k in range(3):
+                grams[k].update(g[2 - k :] for g in read[i])
+    context = [Counter(), Counter(), Counter()]
+    for k in (1, 2):
+        for g, c in grams[k].items():
+            after[k][g[:-1]] += 1
+            context[k][g[:-1]] += c
+    n, v = sum(grams[0].values()), len(grams[0])
+
+    def full(g, k):
+        if not k:
+            return (grams[0][g] + 0.1) / (n + 0.1 * (v + 1))
+        c = context[k][g[:-1]]
+        lower = full(g[1:], k - 1)
+        return (max(grams[k][g] - 0.75, 0) + 0.75 * after[k][g[:-1]] * lower) / c if c else lower
+
     out = {}
     for i, words in texts:
-        base = [(one[w] + 0.1) / (n + 0.1 * (v + 1)) for w in words]
-        full = [(two[a, w] + 2 * p) / (context[a] + 2) for a, w, p in zip(["<s>", *words], words, base)]
-        out[i] = (held[i], len(words), sum(one[w] > 0 for w in words), n, sum(map(math.log10, base)), sum(map(math.log10, full)))
+        base = [full((w,), 0) for w in words]
+        out[i] = (held[i], len(words), sum(grams[0][(w,)] > 0 for w in words), n, sum(map(math.log10, base)), sum(math.log10(full(g, 2)) for g in read[i]))
     return out
 
 
