@@ -8,7 +8,7 @@ unknown words included). Each text is read once from left to right, from the sta
 The model grows with the corpus, so it is never sent to all tasks. Texts are packed into blocks, and a block asks for the numbers of its own
 words in four steps: counts of words; of pairs; of triples, and next words of words; next words of pairs. What it asks for is sorted
 by hash and cut at fixed hash ranges; each range adds up what all blocks ask for and answers each block in its own order, so only numbers
-travel back and no key does. A gram that cannot occur elsewhere, as one of its parts does not, is not asked for. An n-gram counts as a new next word
+travel back and no key does. Blocks and answers are tables bucketed by block, so texts are never shuffled. A gram that cannot occur elsewhere, as one of its parts does not, is not asked for. An n-gram counts as a new next word
 in one of the blocks that hold it, so a frequent word or pair is one key per block in every step.
 """
 
@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, packed, pair_hashes, saved, slices, table, word_hashes
+from .common import mixed, packed, pair_hashes, shared_folder, slices, table, word_hashes
 
 #: Bytes of text of a block (a longer text is a block of its own), and of text per hash range.
 BLOCK, RANGE = 8 << 20, 16 << 20
 #: Hash ranges at least.
 RANGES = 64
+#: Buckets of blocks at least, and bytes of text of one.
+BUCKETS, BUCKET = 32, 32 << 20
 ADD, DISCOUNT = 0.1, 0.75
 START, END = (mixed(np.array([x], np.uint64))[0] for x in (101, 102))
 #: What blocks ask for, in the order of the steps.
@@ -236,6 +238,14 @@ def _answered(t: pa.Table) -> pa.Table:
     return pa.table({"block": t.column("block"), "kind": t.column("kind"), "part": t.column("part"), "totals": pa.array([squeezed(x) for x in parts], pa.binary()), "n": pa.array(first * int(total.sum())), "v": pa.array(first * int((total > 0).sum()))})
 
 
+def bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """df as a table in the shared folder, bucketed by block: joins and groups by block read it without a shuffle."""
+    spark = df.sparkSession
+    key = f"{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", f"{shared_folder(spark)}/{key}").bucketBy(buckets, "block").format("parquet").saveAsTable(key)
+    return spark.table(key)
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -260,14 +270,13 @@ def lm_scores(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     data, all words have the same probability. An empty table gives an empty table.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0)
-    blocks = saved(docs.mapInArrow(_blocks(block), BLOCKS), "blocks")
-    size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    ranges = max(RANGES, -(-size // RANGE))
-    known = blocks
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges, buckets = max(RANGES, -(-size // RANGE)), max(BUCKETS, -(-size // BUCKET))
+    known = bucketed(docs.mapInArrow(_blocks(block), BLOCKS), "blocks", buckets)
     for step, kinds in enumerate(STEPS):
         answers = known.mapInArrow(_asked(kinds, ranges), ASKED).groupBy("kind", "part").applyInArrow(_answered, ANSWERS)
-        if step == 0:
-            answers = saved(answers, "word-counts")
+        answers = bucketed(answers.repartition(buckets, "block"), f"answers{step}", buckets)
+        if kinds == (WORDS,):
             n, v = answers.agg(F.sum("n"), F.sum("v")).first()
         heard = answers.groupBy("block").agg(F.collect_list(F.struct("kind", "part", "totals")).alias(f"heard{step}"))
         known = known.join(heard.hint("merge"), "block", "left")
