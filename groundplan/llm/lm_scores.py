@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import mixed, packed, pair_hashes, shared_folder, slices, table, word_hashes
 
 #: Bytes of text of a block (a longer text is a block of its own), and of text per hash range.
-BLOCK, RANGE = 8 << 20, 16 << 20
+BLOCK, RANGE = 4 << 20, 16 << 20
 #: Hash ranges at least.
 RANGES = 64
 #: Buckets of blocks at least, and bytes of text of one.
@@ -122,13 +122,14 @@ class Block:
         self.asked: dict[int, Asked] = {}
 
         def before(at: np.ndarray, start: int) -> np.ndarray:
-            out = np.r_[start, at[:-1]]
+            out = np.r_[np.int32(start), at[:-1]]
             out[first] = start
             return out
 
         def grams(kind: int, keys: np.ndarray, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """(distinct keys, a token of each, index of each token's key); most: how often each token's gram can occur."""
             found, one, at = np.unique(keys, return_index=True, return_inverse=True)
+            at = at.astype(np.int32)
             n = np.bincount(at[train], minlength=len(found))
             self.asked[kind] = Asked(found, n, n.copy(), np.ones(len(found), bool) if most is None else most[one] > n)
             return found, one, at
