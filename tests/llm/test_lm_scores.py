@@ -12,7 +12,7 @@ def plain(rows):
     texts = [(i, [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]) for i, t in rows]
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in texts}
     grams, after = [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
-    read = {i: list(zip(["<s>", "<s>", *words], ["<s>", *words], words)) for i, words in texts}  # ids are distinct here
+    read = {i: list(zip(["<s>", "<s>", *words], ["<s>", *words], words)) for i, words in texts}  # rows of equal ids have equal texts
     for i, _ in texts:
         if not held[i]:
             for k in range(3):
@@ -60,3 +60,12 @@ def test_blocks_and_edges(spark):
         same(lm_scores(docs, block).collect(), plain(list(enumerate(texts))))
     assert lm_scores(docs.limit(0)).count() == 0
     same(lm_scores(documents(spark, ["x"], [next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)])).collect(), plain([(next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0), "x")]))
+
+
+def test_repeated_rows_count_and_rows_without_id_go(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (2, "a b d"), (3, None), (3, None), (4, "c a b")]
+    got = lm_scores(documents(spark, [*(t for _, t in rows), "a b"], [*(i for i, _ in rows), None])).collect()
+    assert sorted(r.doc_id for r in got) == [i for i, _ in rows]
+    want = plain(rows)
+    for r in got:
+        assert tuple(r)[1:5] == want[r.doc_id][:4] and math.isclose(r.base_score, want[r.doc_id][4], rel_tol=1e-9) and math.isclose(r.score, want[r.doc_id][5], rel_tol=1e-9)
