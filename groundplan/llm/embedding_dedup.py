@@ -27,13 +27,17 @@ CHUNK = 4
 ROWS, COLUMNS = 1024, 2048
 
 
-def unit_vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(unit vectors in double precision, padded with zeros; lengths), all valid."""
+def vectors_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors in double precision, padded with zeros; lengths), all valid."""
     lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     x = np.zeros((len(lengths), lengths.max(initial=0)))
     x[np.arange(x.shape[1]) < lengths[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
-    x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True)), lengths
+    return x, lengths
+
+
+def unit_vectors(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def quantised(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,14 +49,17 @@ def quantised(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _blocks(t: pa.Table) -> pa.Table:
     t = t.combine_chunks()
-    u, lengths = unit_vectors(t.column("v").chunk(0))
-    q, scale, error = quantised(u)
-    parts = {"ids": t.column("rep").to_numpy(), "weights": t.column("w").to_numpy(), "lengths": lengths, "q": q, "scale": scale, "error": error, "unit": u}
+    x, lengths = vectors_of(t.column("v").chunk(0))
+    q, scale, error = quantised(unit_vectors(x))
+    with np.errstate(over="ignore"):
+        single = x.astype(np.float32)
+    full = single if (single == x).all() else x  # vectors that were given in single precision travel in it
+    parts = {"ids": t.column("rep").to_numpy(), "weights": t.column("w").to_numpy(), "lengths": lengths, "q": q, "scale": scale, "error": error, "full": full}
     return pa.table({"block": t.column("block").slice(0, 1)} | {k: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for k, x in parts.items()})
 
 
-FIELDS = "ids binary, weights binary, lengths binary, q binary, scale binary, error binary, unit binary"
-TYPES = {"ids": np.int64, "weights": np.int64, "lengths": np.int64, "q": np.int8, "scale": np.float32, "error": np.float64, "unit": np.float64}
+FIELDS = "ids binary, weights binary, lengths binary, q binary, scale binary, error binary, full binary"
+TYPES = {"ids": np.int64, "weights": np.int64, "lengths": np.int64, "q": np.int8, "scale": np.float32, "error": np.float64, "full": np.uint8}
 
 
 class Block:
@@ -60,8 +67,9 @@ class Block:
         got = {k: np.frombuffer(row[k + suffix], t) for k, t in TYPES.items()}
         self.ids, self.weights, self.lengths, self.error = got["ids"], got["weights"], got["lengths"], got["error"]
         n = len(self.ids)
-        self.unit = got["unit"].reshape(n, -1)
-        self.near = got["q"].reshape(n, -1).astype(np.float32) * got["scale"][:, None]
+        q = got["q"].reshape(n, -1)
+        self.unit = unit_vectors(got["full"].view(np.float32 if got["full"].nbytes == 4 * q.size else np.float64).reshape(q.shape).astype(np.float64))
+        self.near = q.astype(np.float32) * got["scale"][:, None]
 
 
 def linked(a: Block, b: Block, rows: slice, columns: slice, least: float) -> tuple[np.ndarray, np.ndarray]:
