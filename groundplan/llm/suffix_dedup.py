@@ -12,7 +12,10 @@ ordered only through `length` bytes, by most-significant-digit passes, and group
    of one half share, then by the whole windows; groups that are still equal are exactly the repeated windows.
 
 Within a task, equal contexts collapse before anything is shuffled; so a passage in a third of all documents sends one row per
-task. Digits are compared as 64-bit hashes of their bytes. The tasks that read a group go through it as a stream.
+batch. Groups are dealt by ranges that may cut through them, so a common phrase with very many contexts, or a common part of very many
+windows, is split over tasks. What a task can't know of the groups at its two ends goes on: such an anchor counts as repeated, and windows that
+are new in such a group meet those of the other tasks by their whole digits. A task reads its groups as a stream.
+Digits are 64-bit hashes of their bytes, compared together with those before them; so windows count as equal if 128 bits are.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import gathered, mixed, packed, prefix_hashes, saved, signed, slices, table
@@ -92,7 +95,12 @@ def _samples(length: int):
 
 
 def _first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by anchor, context, place. Repeated contexts come out as whole; first contexts of anchors that have several, as not whole."""
+    """Rows by anchor, context, place. Repeated contexts come out as whole; first contexts of anchors that have several, as not whole.
+
+    Rows of one anchor and context are never in two tasks. The first and the last anchor of a task may have more contexts in the tasks beside it
+    and count as having several.
+    """
+    border = None  # the task's first anchor
     last = None  # anchor and context of the row before
     held = None  # the only context so far of the last anchor
     before = None  # the row before; the same row again is no copy
@@ -114,6 +122,7 @@ def _first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         anchor, context, doc, word = (x[~twice] for x in (anchor, context, doc, word))
         if not len(doc):
             continue
+        border = anchor[0] if border is None else border
         several = False  # the last anchor had several contexts before this batch
         if held is not None:
             anchor, context, doc, word = (np.r_[h, x] for h, x in zip(held, (anchor, context, doc, word), strict=True))
@@ -128,9 +137,9 @@ def _first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         run = np.cumsum(new_anchor) - 1
         contexts = np.bincount(run, weights=new_context).astype(np.int64)
         open_ = np.zeros(len(contexts), bool)
-        open_[-1] = contexts[-1] == 1 and not (several and len(contexts) == 1)
+        open_[-1] = contexts[-1] == 1 and not (several and len(contexts) == 1) and anchor[-1] != border
         many = contexts > 1
-        if several:
+        if several or anchor[0] == border:
             many[0] = True
         last = anchor[-1], context[-1]
         k = int(np.flatnonzero(new_context & open_[run])[0]) if open_[-1] else None
@@ -138,6 +147,8 @@ def _first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield out(doc[~new_context], word[~new_context], np.ones((~new_context).sum(), bool))
         part = new_context & many[run]
         yield out(doc[part], word[part], np.zeros(part.sum(), bool))
+    if held is not None:
+        yield out(held[2], held[3], np.zeros(1, bool))
 
 
 def _windows(length: int):
@@ -173,10 +184,20 @@ def _windows(length: int):
 
 
 def _last_digits(length: int):
-    """Rows by share, place: the runs of windows that came before, as (doc_id, lo, hi) in bytes."""
+    """Rows by share, place: the runs of windows that came before, as (doc_id, lo, hi) in bytes.
+
+    The first and the last share of a task may have more rows in the tasks beside it. Their windows that are new in this task come out too, as
+    (doc_id, lo, no hi, share, window's hash).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share_before, before, row_before = None, np.zeros(0, np.uint64), None
+        border, held = None, []  # the first share; the new windows of the share read last, if it isn't the first
+
+        def new_windows(doc, lo, share, h):
+            none = pa.nulls(len(doc), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(lo), none, pa.array(share), pa.array(signed(h))], names=["doc_id", "lo", "hi", "share", "window"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -190,6 +211,7 @@ def _last_digits(length: int):
                 share, doc, first = share[~twice], doc[~twice], first[~twice]
                 if not len(doc):
                     continue
+            border = share[0] if border is None else border
             data, offsets = packed(batch.column(3))
             count = np.diff(offsets) - length + 1
             sums, down = prefix_hashes(data)
@@ -204,7 +226,17 @@ def _last_digits(length: int):
                 again[own] |= np.isin(h[own], before)
             tail = h[share[row] == share[-1]]
             before = np.unique(np.r_[before, tail] if share_before == share[-1] else tail)
+            place = first[row] - offsets[row] + start
+            if share[-1] != share_before:
+                held = []
             share_before = share[-1]
+            new = ~again
+            at_border = np.flatnonzero(new & (share[row] == border))
+            if len(at_border):
+                yield new_windows(doc[row[at_border]], place[at_border], share[row[at_border]], h[at_border])
+            if share[-1] != border:
+                at_end = np.flatnonzero(new & (share[row] == share[-1]))
+                held.append((doc[row[at_end]], place[at_end], share[row[at_end]], h[at_end]))
             k = np.flatnonzero(again)
             if not len(k):
                 continue
@@ -212,8 +244,10 @@ def _last_digits(length: int):
             new[1:] = (k[1:] != k[:-1] + 1) | (row[k[1:]] != row[k[:-1]])
             b = np.flatnonzero(new)
             s, e = k[b], k[np.r_[b[1:], len(k)] - 1]
-            place = first[row[s]] - offsets[row[s]]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[row[s]]), pa.array(place + start[s]), pa.array(place + start[e] + length)], names=["doc_id", "lo", "hi"])
+            none = pa.nulls(len(s), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(doc[row[s]]), pa.array(place[s]), pa.array(place[e] + length), none, none], names=["doc_id", "lo", "hi", "share", "window"])
+        for h in held:
+            yield new_windows(*h)
 
     return run
 
@@ -257,13 +291,17 @@ def repeated_spans_removed(docs: DataFrame, length: int = 100, as_text: bool = F
         raise ValueError(f"length must be over {ANCHOR} and under 60000")
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     samples = docs.mapInArrow(_samples(length), "anchor long, context long, doc_id long, word long")
-    marks = saved(samples.repartition("anchor").sortWithinPartitions("anchor", "context", "doc_id", "word").mapInArrow(_first_digits, "doc_id long, word long, whole boolean"), "marks")
+    marks = saved(samples.repartitionByRange("anchor", "context").sortWithinPartitions("anchor", "context", "doc_id", "word").mapInArrow(_first_digits, "doc_id long, word long, whole boolean"), "marks")
     left = marks.where(~F.col("whole")).groupBy("doc_id").agg(F.collect_list("word").alias("words"))
     windows = docs.join(left, "doc_id").mapInArrow(_windows(length), "share long, doc_id long, first long, bytes binary")
-    last = windows.repartition("share").sortWithinPartitions("share", "doc_id", "first").mapInArrow(_last_digits(length), "doc_id long, lo long, hi long")
+    by_place = windows.repartitionByRange("share", "doc_id", "first").sortWithinPartitions("share", "doc_id", "first")
+    last = saved(by_place.mapInArrow(_last_digits(length), "doc_id long, lo long, hi long, share long, window long"), "runs")
+    # a window of a share that tasks have in common is new in each of them once
+    number = F.row_number().over(Window.partitionBy("share", "window").orderBy("doc_id", "lo"))
+    late = last.where("hi is null").withColumn("number", number).where("number > 1").select("doc_id", "lo", (F.col("lo") + length).alias("hi"))
     lo = F.shiftright("word", 33)
     whole = marks.where("whole").select("doc_id", lo.alias("lo"), (lo + F.shiftright("word", 17).bitwiseAND(0xFFFF) + length).alias("hi"))
-    spans = whole.union(last).groupBy("doc_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    spans = whole.union(last.where("hi is not null").select("doc_id", "lo", "hi")).union(late).groupBy("doc_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     return docs.join(spans, "doc_id", "left").mapInArrow(_cut(as_text), f"doc_id long, n_bytes long, kept {'string' if as_text else 'binary'}, spans array<struct<start: long, end: long>>")
 
 

@@ -54,3 +54,22 @@ def test_rows_that_are_there_twice(spark):
         n, removed, spans, _ = brute(list(enumerate(texts)))[r.doc_id]
         assert (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans)) == (n, removed, spans)
     assert {r.kept for r in out if r.doc_id == 1} == {"xé!"}
+
+
+def test_groups_that_are_cut_over_many_tasks(spark):
+    """One part of 30 to 99 bytes in all documents, in many contexts, some of which come back; ranges cut through these groups."""
+    rng = np.random.default_rng(5)
+    parts = ["".join(rng.choice(list("abcdefg "), n)) for n in (30, 62, 80, 99)]
+    heads = ["".join(rng.choice(list("xyz"), rng.integers(40, 90))) for _ in range(40)]
+    texts = [heads[rng.integers(40)] + parts[k % 4] + "".join(rng.choice(list("uvw"), 1 + k % 3)) + heads[rng.integers(40)] for k in range(600)]
+    names = {"spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        out = repeated_spans_removed(documents(spark, texts).union(documents(spark, texts[:50])).repartition(7)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in out}
+    assert len(out) == 650 and got == brute(list(enumerate(texts)))
