@@ -1,8 +1,10 @@
 """Licence scans: matching statistics of a generalised suffix automaton of licence words, chained into covered spans.
 
 The automaton holds all templates and is small whatever the input; files are streamed through it once. Each match that can't be longer is
-placed in every template that holds it; matches that follow one another, in the file and in the template, are one chain. A chain that covers
-COVERED of a template, or LONG of its words, gives the template's label. Phrases that name a licence give base labels.
+placed at all its places in the templates. A chain is a series of places of one template whose ends rise in the file and in the template,
+with at most SKIP words of the file between two; of all chains that end at a place, the one that covers most words is kept. A chain
+that covers COVERED of a template, or LONG words that no template of another label holds, gives the template's label; so disclaimers that licences have in
+common give none. Phrases that name a licence give base labels.
 """
 
 from __future__ import annotations
@@ -14,21 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import ALNUM, hash_of, packed, slices, table, word_hashes
+from .license_texts import TEMPLATES
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Openings and grants of well-known licences, and the lines by which files refer to them.
-TEMPLATES = [
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
-    ("mit", "Released under the MIT License."),
-    ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-]
-#: Words of a match at least; words of the file that a chain may skip; share or words of a template for a label.
+#: Words of a match at least; words of the file that a chain may skip; share of a template or own words for a label.
 MATCH, SKIP, COVERED, LONG = 3, 16, 0.7, 24
 
 
@@ -105,14 +96,15 @@ class Scanner:
         self.automaton = Automaton([np.searchsorted(self.vocabulary, np.array(h, np.uint64)).tolist() for h in hashes])
         self.phrases = [(np.array(hash_of(p, ALNUM), np.uint64), label) for p, label in PHRASES.items()]
 
-    def chains(self, h: np.ndarray) -> dict[int, int]:
-        """The most words that one chain covers, by template."""
+    def chains(self, h: np.ndarray) -> dict[int, tuple[int, int]]:
+        """By template: the most words that one chain covers, and the most that only this label's templates hold."""
         number = np.searchsorted(self.vocabulary, h)
         number[number == len(self.vocabulary)] = 0
-        known = self.vocabulary[number] == h
+        known = self.vocabulary[number] == h if len(self.vocabulary) else np.zeros(len(h), bool)
         edge = np.flatnonzero(np.diff(np.r_[False, known, False]))
-        best: dict[int, int] = {}
-        chain: dict[int, tuple[int, int, int]] = {}  # by template: end in the file, end in the template, words covered
+        best: dict[int, tuple[int, int]] = {}
+        #: by template: chains that a later match may follow, as (end in the file, end in the template, words covered, own words)
+        open_: dict[int, list[tuple[int, int, int, int]]] = {}
         for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             if e - s < MATCH:
                 continue
@@ -120,20 +112,20 @@ class Scanner:
                 if length < MATCH:
                     continue
                 end += s
-                first: dict[int, int] = {}
+                least = end - length - SKIP
+                own = len({self.labels[t] for t, _ in self.automaton.ends[state]}) == 1
+                new: dict[int, list[tuple[int, int, int, int]]] = {}
                 for t, at in self.automaton.ends[state]:
-                    file_end, template_end, _ = chain.get(t, (-1, 0, 0))
-                    follows = at > template_end and file_end >= 0 and end - length - file_end <= SKIP
-                    if t not in first or (follows and first[t] <= template_end):
-                        first[t] = at
-                for t, at in first.items():
-                    file_end, template_end, covered = chain.get(t, (-1, 0, 0))
-                    if file_end >= 0 and at > template_end and end - length - file_end <= SKIP:
-                        covered += min(length, at - template_end, end - file_end)
-                    else:
-                        covered = length
-                    chain[t] = (end, at, covered)
-                    best[t] = max(best.get(t, 0), covered)
+                    covered, mine = length, length * own
+                    for file_end, template_end, words, its_own in open_.get(t, ()):
+                        if file_end >= least and template_end < at:
+                            more = min(length, at - template_end, end - file_end)
+                            covered, mine = max((covered, mine), (words + more, its_own + more * own))
+                    new.setdefault(t, []).append((end, at, covered, mine))
+                    most, most_own = best.get(t, (0, 0))
+                    best[t] = max(most, covered), max(most_own, mine)
+                for t, chains in new.items():
+                    open_[t] = [c for c in open_.get(t, ()) if c[0] >= least] + chains
         return best
 
     def scan(self, h: np.ndarray) -> tuple:
@@ -145,8 +137,8 @@ class Scanner:
                 base.add(label)
                 places.append(at)
         best = self.chains(h)
-        share = {t: min(n / self.sizes[t], 1.0) for t, n in best.items()}
-        labels = base | {self.labels[t] for t, n in best.items() if share[t] >= COVERED or n >= LONG}
+        share = {t: min(n / self.sizes[t], 1.0) for t, (n, _) in best.items()}
+        labels = base | {self.labels[t] for t, (_, own) in best.items() if share[t] >= COVERED or own >= LONG}
         all_ = np.concatenate(places) if places else np.zeros(0, np.int64)
         first, last = (int(all_.min()), int(all_.max())) if len(all_) else (None, None)
         return len(h), len(all_), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), max(share.values(), default=0.0)
