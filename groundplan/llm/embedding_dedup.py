@@ -69,13 +69,16 @@ class Block:
         n = len(self.ids)
         q = got["q"].reshape(n, -1)
         self.unit = unit_vectors(got["full"].view(np.float32 if got["full"].nbytes == 4 * q.size else np.float64).reshape(q.shape).astype(np.float64))
-        self.near = q.astype(np.float32) * got["scale"][:, None]
+        self.q, self.scale = q, got["scale"]
 
 
 def linked(a: Block, b: Block, rows: slice, columns: slice, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Places (in a, in b) of all pairs of the tile with cosine >= least."""
-    d = min(a.near.shape[1], b.near.shape[1])
-    product = a.near[rows, :d] @ b.near[columns, :d].T
+    d = min(a.q.shape[1], b.q.shape[1])
+    # products of int8 values; single precision adds such integers exactly up to 1,040 dimensions, and the slack covers more
+    product = a.q[rows, :d].astype(np.float32) @ b.q[columns, :d].astype(np.float32).T
+    product *= a.scale[rows][:, None]
+    product *= b.scale[columns]
     ea, eb = a.error[rows], b.error[columns]
     slack = (d + 8) * 2.0**-22  # rounding of the products
     bound = lambda x, y: least - x * (1 + y) - y * (1 + x) - x * y - slack
