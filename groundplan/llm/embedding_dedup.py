@@ -77,13 +77,15 @@ def linked(a: Block, b: Block, rows: slice, columns: slice, least: float) -> tup
     d = min(a.q.shape[1], b.q.shape[1])
     # products of int8 values; single precision adds such integers exactly up to 1,040 dimensions, and the slack covers more
     product = a.q[rows, :d].astype(np.float32) @ b.q[columns, :d].astype(np.float32).T
-    product *= a.scale[rows][:, None]
-    product *= b.scale[columns]
+    sa, sb = a.scale[rows], b.scale[columns]
     ea, eb = a.error[rows], b.error[columns]
     slack = (d + 8) * 2.0**-22  # rounding of the products
     bound = lambda x, y: least - x * (1 + y) - y * (1 + x) - x * y - slack
-    some = np.flatnonzero(product.max(axis=1, initial=-2) >= bound(ea, eb.max(initial=0)))
-    r, c = np.nonzero(product[some] >= bound(ea[some][:, None], eb[None, :]))
+    if not product.size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = bound(ea, eb.max())
+    some = np.flatnonzero(product.max(axis=1) >= (low - slack) / (sa * np.where(low < slack, sb.min(), sb.max())))  # only rows that may hold a link are scaled
+    r, c = np.nonzero(product[some] * sa[some][:, None] * sb >= bound(ea[some][:, None], eb[None, :]))
     r, c = some[r] + rows.start, c + columns.start
     ok = np.zeros(len(r), bool)
     for i in range(0, len(r), 1 << 15):
