@@ -49,21 +49,6 @@ NOT_WHITE[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15
-_BYTE = np.random.default_rng(20240101).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER_BYTE = _BYTE[LOWER]
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers 0..n-1 and their inverses modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        n2 = max(n, SLICE)
-        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(n2 - 1, b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _powers[0][:n], _powers[1][:n]
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0xD6E8FEB86659FD93)
@@ -72,13 +57,40 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def prefix_hashes(buf: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(sums, inverse powers): bytes [i, j) hash to (sums[j] - sums[i]) * inverse[i], wherever they stand."""
-    n = len(buf)
-    up, down = powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER_BYTE if lower else _BYTE)[buf] * up[:n], out=sums[1:])
-    return sums, down
+#: What is left of eight bytes, by how many there are.
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+#: Longer spans are hashed in parts of so many bytes, and then their hashes.
+_PART = 1024
+
+
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, up to the end; zeros follow the last byte."""
+    buf = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray(len(buf) - 7, "<u8", buf, strides=(1,))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the bytes [start, end), wherever they stand: eight bytes after the other are mixed in, so no sum of bytes can cancel out.
+
+    Spans of equal length up to eight bytes never collide. Other seeds give independent hashes.
+    """
+    n = ends - starts
+    view = eights(buf)
+    out = mixed(n.astype(np.uint64) + np.uint64(seed))
+    long = np.flatnonzero(n > _PART)
+    at = np.flatnonzero((n > 0) & (n <= _PART)) if len(long) else np.flatnonzero(n > 0)
+    start, left = starts[at], n[at]
+    while len(at):
+        out[at] = mixed(out[at] ^ (view[start] & _TAIL[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        at, start, left = at[more], start[more] + 8, left[more] - 8
+    if len(long):
+        parts = -(-n[long] // _PART)
+        first = np.repeat(starts[long], parts) + gathered(np.zeros(len(long), np.int64), parts) * _PART
+        inner = span_hashes(buf, first, np.minimum(first + _PART, np.repeat(ends[long], parts)), seed)
+        end = 8 * np.cumsum(parts)
+        out[long] = mixed(out[long] ^ span_hashes(inner.view(np.uint8), end - 8 * parts, end, seed))
+    return out
 
 
 def packed(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +117,8 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NOT_
     """Lower-cases A-Z; (64-bit hashes, starts, ends, first word of each row and the end) for the words of rows in buf."""
     if not len(buf):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = is_word[LOWER[buf]]
+    low = LOWER[buf]
+    inside = is_word[low]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -113,8 +126,7 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NOT_
     first[offsets[filled]] = inside[offsets[filled]]
     last[offsets[filled + 1] - 1] = inside[offsets[filled + 1] - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sums, down = prefix_hashes(buf, lower=True)
-    return mixed((sums[ends] - sums[starts]) * down[starts]), starts, ends, np.searchsorted(starts, offsets)
+    return span_hashes(low, starts, ends), starts, ends, np.searchsorted(starts, offsets)
 
 
 def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -22,12 +22,14 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gathered, packed, prefix_hashes, slices, table
+from .common import gathered, packed, slices, span_hashes, table
 
 SPACE = "▁"
 END = None
 #: Parts that a worker remembers, of about 30 bytes each.
 REMEMBERED = 2_000_000
+#: Pairs of pieces of which a worker remembers whether merging keeps them apart.
+PAIRS = 1 << 20
 
 
 def model_pieces(path: str) -> tuple[list[str], list[float], list[int]]:
@@ -64,6 +66,7 @@ class Transducer:
                     node = node.setdefault(x, {})
                 node[END] = i
         self.known = np.zeros(0, np.uint64)  # sorted hashes of parts
+        self.known_check = np.zeros(0, np.uint64)  # of each, another hash
         self.known_at = np.zeros(1, np.int64)
         self.known_ids = np.zeros(0, np.int32)
 
@@ -101,6 +104,8 @@ class Transducer:
                 if q >= 0:
                     fits = apart.get(q << 16 | p)
                     if fits is None:
+                        if len(apart) >= PAIRS:
+                            apart.clear()
                         fits = apart[q << 16 | p] = self.merged(text[q] + text[p]) == [text[q], text[p]]
                     if not fits:
                         continue
@@ -133,8 +138,8 @@ class Transducer:
         starts[own[:-1][filled]] = True
         starts = np.flatnonzero(starts)
         ends = np.r_[starts[1:], len(text)][: len(starts)]
-        sums, down = prefix_hashes(text)
-        h = (sums[ends] - sums[starts]) * down[starts]
+        h = span_hashes(text, starts, ends)
+        check = span_hashes(text, starts, ends, 7)
         distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         at = np.searchsorted(self.known, distinct)
         at[at == len(self.known)] = 0
@@ -142,14 +147,20 @@ class Transducer:
         if len(missing):
             raw = text.tobytes()
             found = [self.compose(raw[starts[k] : ends[k]]) for k in first[missing]]
-            self._remember(distinct, distinct[missing], found)
+            self._remember(distinct, distinct[missing], check[first[missing]], found)
             at = np.searchsorted(self.known, distinct)
+        if (self.known_check[at][inverse] != check).any():  # different parts of equal hash: none of this comes from the table
+            raw, seen = text.tobytes(), {}
+            parts = [raw[a:b] for a, b in zip(starts, ends)]
+            lists = [seen[p] if p in seen else seen.setdefault(p, self.compose(p)) for p in parts]
+            total = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int64)
+            return np.array([i for x in lists for i in x], np.int32), total[np.searchsorted(starts, own)]
         size = (self.known_at[at + 1] - self.known_at[at])[inverse]
         ids = self.known_ids[gathered(self.known_at[at][inverse], size)]
         total = np.r_[0, np.cumsum(size)]
         return ids, total[np.searchsorted(starts, own)]
 
-    def _remember(self, needed: np.ndarray, new: np.ndarray, found: list[list[int]]) -> None:
+    def _remember(self, needed: np.ndarray, new: np.ndarray, check: np.ndarray, found: list[list[int]]) -> None:
         keep = np.arange(len(self.known))
         if len(self.known) + len(new) > REMEMBERED:
             keep = np.flatnonzero(np.isin(self.known, needed))
@@ -159,7 +170,7 @@ class Transducer:
         all_at = np.r_[self.known_at[:-1][keep], len(self.known_ids) + np.r_[0, np.cumsum(all_size[len(keep) :])[:-1]]].astype(np.int64)
         ids = np.r_[self.known_ids, np.array([i for x in found for i in x], np.int32)]
         order = np.argsort(key, kind="stable")
-        self.known, size = key[order], all_size[order]
+        self.known, size, self.known_check = key[order], all_size[order], np.r_[self.known_check[keep], check][order]
         self.known_ids = ids[gathered(all_at[order], size)]
         self.known_at = np.r_[0, np.cumsum(size)]
 

@@ -15,7 +15,8 @@ Within a task, equal contexts collapse before anything is shuffled; so a passage
 batch. Groups are dealt by ranges that may cut through them, so a common phrase with very many contexts, or a common part of very many
 windows, is split over tasks. What a task can't know of the groups at its two ends goes on: such an anchor counts as repeated, and windows that
 are new in such a group meet those of the other tasks by their whole digits. A task reads its groups as a stream.
-Digits are 64-bit hashes of their bytes, compared together with those before them; so windows count as equal if 128 bits are.
+Digits are 64-bit hashes of their bytes, eight bytes mixed in after the other, compared together with those before them; so windows count as equal if
+128 bits are, of hashes that are independent.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import gathered, mixed, packed, prefix_hashes, saved, signed, slices, table
+from .common import eights, gathered, mixed, packed, saved, signed, slices, span_hashes, table
 
 ANCHOR = 24
 
@@ -38,8 +39,10 @@ def _sampled(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     rows = np.flatnonzero(np.diff(offsets) >= length)
     if not len(rows):
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    sums, down = prefix_hashes(buf)
-    anchor = (sums[ANCHOR:] - sums[: n - ANCHOR + 1]) * down[: n - ANCHOR + 1]
+    view = eights(buf)
+    anchor = np.zeros(n - ANCHOR + 1, np.uint64)
+    for k in range(0, ANCHOR, 8):
+        anchor = mixed(anchor ^ view[k : k + len(anchor)])
     bits = np.uint64(n.bit_length())
     low = ((anchor >> bits) << bits) | np.arange(len(anchor), dtype=np.uint64)
     have = 1  # low[i] is the least of have places from i on
@@ -57,7 +60,7 @@ def _sampled(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     k = np.flatnonzero(new)
     lo, hi, at = window[k], window[np.r_[k[1:], len(window)] - 1], at[k]
     row = np.searchsorted(offsets, lo, "right") - 1
-    context = mixed((sums[hi + length] - sums[lo]) * down[lo] + mixed(((at - lo) * 65536 + (hi - lo)).astype(np.uint64)))
+    context = mixed(span_hashes(buf, lo, hi + length) + mixed(((at - lo) * 65536 + (hi - lo)).astype(np.uint64)))
     return row, lo - offsets[row], hi - lo, at - lo, anchor[at], context
 
 
@@ -169,14 +172,13 @@ def _windows(length: int):
                 start = offsets[row] - offsets[i]
                 lo = start + (word >> 33)
                 hi, at = lo + ((word >> 17) & 0xFFFF), lo + ((word >> 1) & 0xFFFF)
-                sums, down = prefix_hashes(buf)
                 cut = at - half  # windows up to here hold the half bytes before the anchor, later ones so many behind it
                 for first, final, s, e in ((lo, np.minimum(hi, cut), at - half, at + length - widest), (np.maximum(lo, cut + 1), hi, at, at + length - half + 1)):
                     ok = np.flatnonzero(first <= final)
                     if not len(ok):
                         continue
                     f, n = first[ok], final[ok] - first[ok] + length
-                    share = mixed((sums[e[ok]] - sums[s[ok]]) * down[s[ok]])
+                    share = span_hashes(buf, s[ok], e[ok], 1)
                     value = pa.Array.from_buffers(pa.large_binary(), len(ok), [None, pa.py_buffer(np.r_[0, np.cumsum(n)].astype(np.int64)), pa.py_buffer(buf[gathered(f, n)])])
                     yield pa.RecordBatch.from_arrays([pa.array(signed(share)), pa.array(ids[row[ok]]), pa.array(f - start[ok]), value.cast(pa.binary())], names=["share", "doc_id", "first", "bytes"])
 
@@ -214,10 +216,9 @@ def _last_digits(length: int):
             border = share[0] if border is None else border
             data, offsets = packed(batch.column(3))
             count = np.diff(offsets) - length + 1
-            sums, down = prefix_hashes(data)
             start = gathered(offsets[:-1], count)
             row = np.repeat(np.arange(len(doc)), count)
-            h = (sums[start + length] - sums[start]) * down[start]
+            h = span_hashes(data, start, start + length)
             _, at = np.unique(h, return_index=True)
             again = np.ones(len(h), bool)
             again[at] = False

@@ -28,3 +28,11 @@ def roots(nodes, links):
         a, b = sorted((find(a), find(b)))
         parent[b] = a
     return {n: find(n) for n in nodes}
+
+
+def morse(n=10):
+    """Two words of 2**n letters whose polynomial hashes modulo 2**64 are equal, whatever the base and the values of the letters."""
+    a = "a"
+    for _ in range(n):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))

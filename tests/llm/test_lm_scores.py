@@ -5,7 +5,7 @@ from collections import Counter
 
 from groundplan.llm.lm_scores import lm_scores, op10_lm_scores
 
-from .helpers import SF, documents, real
+from .helpers import SF, documents, morse, real
 
 
 def plain(rows):
@@ -69,3 +69,9 @@ def test_repeated_rows_count_and_rows_without_id_go(spark):
     want = plain(rows)
     for r in got:
         assert tuple(r)[1:5] == want[r.doc_id][:4] and math.isclose(r.base_score, want[r.doc_id][4], rel_tol=1e-9) and math.isclose(r.score, want[r.doc_id][5], rel_tol=1e-9)
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    a, b = morse()
+    texts = [a, b, f"{a} {a}", f"{b} x"]
+    same(lm_scores(documents(spark, texts)).collect(), plain(list(enumerate(texts))))

@@ -4,7 +4,7 @@ import re
 from groundplan.llm.common import components
 from groundplan.llm.near_dedup import near_duplicates, op4_minhash_near_dedup
 
-from .helpers import SF, documents, real, roots
+from .helpers import SF, documents, morse, real, roots
 
 
 def shingles(text, k):
@@ -56,3 +56,10 @@ def test_no_pair_at_the_threshold_is_missed(spark):
         texts += [f"{both} p{k}a", f"{both} p{k}b"]
     got = {r.doc_id: r.component_id for r in near_duplicates(documents(spark, texts), 1).collect()}
     assert [i for i in got if got[i] != i - i % 2] == []
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    a, b = morse()
+    texts = [a, b, f"{a} {b} c", f"{b} {a} c", f"{a} {b} c"]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(documents(spark, texts), 2).collect()}
+    assert got == brute(list(enumerate(texts)), 2)

@@ -4,7 +4,7 @@ import numpy as np
 
 from groundplan.llm.suffix_dedup import op2_suffix_array_dedup, repeated_spans_removed
 
-from .helpers import SF, documents, real
+from .helpers import SF, documents, morse, real
 
 
 def brute(rows, length=100):
@@ -73,3 +73,12 @@ def test_groups_that_are_cut_over_many_tasks(spark):
             spark.conf.set(k, v)
     got = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in out}
     assert len(out) == 650 and got == brute(list(enumerate(texts)))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    a, b = morse()
+    texts = [a, b, "x" + a, "y" + b + "z", b[1:] + "q"]
+    for length in (100, 1024):
+        out = repeated_spans_removed(documents(spark, texts), length).collect()
+        got = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in out}
+        assert got == brute(list(enumerate(texts)), length)
