@@ -303,10 +303,10 @@ p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x
 g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) s(k))),
 total AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
 f AS (SELECT lang, k, phrase, count(*) AS c FROM g GROUP BY lang, k, phrase HAVING count(*) >= 10),
-h AS (SELECT lang, phrase, c AS a, unnest(range(1, k)) AS at, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
-cut AS (SELECT h.lang, h.phrase, a, x.c AS l, y.c AS r, at, ((1000000::HUGEINT * a * a) // (x.c::HUGEINT * y.c))::BIGINT AS score FROM h
-  JOIN f x ON x.lang = h.lang AND x.phrase = array_to_string(w[:at], ' ') JOIN f y ON y.lang = h.lang AND y.phrase = array_to_string(w[at + 1:], ' ')),
-least AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) = 1),
+h AS (SELECT lang, phrase, c AS a, unnest(range(1, k)) AS cut_at, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT h.lang, h.phrase, a, x.c AS l, y.c AS r, cut_at, ((1000000::HUGEINT * a * a) // (x.c::HUGEINT * y.c))::BIGINT AS score FROM h
+  JOIN f x ON x.lang = h.lang AND x.phrase = array_to_string(w[:cut_at], ' ') JOIN f y ON y.lang = h.lang AND y.phrase = array_to_string(w[cut_at + 1:], ' ')),
+least AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut_at) = 1),
 longer AS (SELECT lang, phrase, max(c) AS c FROM (SELECT lang, c, array_to_string((string_split(phrase, ' '))[i:i + 1], ' ') AS phrase FROM f, (VALUES (1), (2)) s(i) WHERE k = 3) GROUP BY lang, phrase),
 kept AS (SELECT least.* FROM least LEFT JOIN longer USING (lang, phrase) WHERE coalesce(100 * c < 50 * a, true)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
