@@ -99,11 +99,3 @@ def map_ratio(table: DataFrame, a: str, b: str) -> DataFrame:
 def manifest(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The old records, and the new ones with a key not seen before, each key once."""
     return old.unionByName(new.dropDuplicates([key]).join(old.select(key), key, "left_anti"), allowMissingColumns=True)
-
-
-def isovist_perimeter(edges: DataFrame, cells: DataFrame) -> DataFrame:
-    """For each cell, the cells it sees (itself included) whose neighbour against one of four directions it does not see, over all four."""
-    seen = edges.unionByName(cells.select("map_name", "r", "c", F.col("r").alias("r2"), F.col("c").alias("c2")))
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, 0), (1, 1), (1, -1))])
-    behind = seen.withColumn("s", F.explode(steps)).select("map_name", "r", "c", (F.col("r2") - F.col("s.i")).alias("r2"), (F.col("c2") - F.col("s.j")).alias("c2"))
-    return behind.join(seen, ["map_name", "r", "c", "r2", "c2"], "left_anti").groupBy("map_name", "r", "c").agg(F.count("*").alias("perimeter"))

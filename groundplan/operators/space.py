@@ -1,8 +1,4 @@
-"""Cells that see each other, distances on their graph, integration, choice; morphology; lines and points.
-
-The graph operators work on (map, chunk of sources) in numpy; a map's graph must fit in a task (nodes * nodes / 8 bytes, and as a matrix of
-floats while its distances are computed). Many maps are many rows, and a large map is many chunks.
-"""
+"""Integration, syntax grids, islands; morphology; lines and points. What needs a map's graph is in graphs."""
 
 from __future__ import annotations
 
@@ -13,119 +9,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundplan.operators import kernels
-
-#: Sources that a kernel handles at once.
-CHUNK = 64
-
-
-def _chunks(maps: DataFrame, nodes: str, chunk: int) -> DataFrame:
-    """One row for each map and chunk of its nodes, dealt over as many tasks as there are chunks (1,000 at most, as a chunk takes a second)."""
-    total = maps.agg(F.sum(F.ceil(F.col(nodes) / chunk))).first()[0] or 1
-    starts = F.explode(F.sequence(F.lit(0), F.col(nodes) - 1, F.lit(chunk))).alias("start")
-    return maps.select("*", starts).repartition(min(int(total), 1000), "map_name", "start")
-
-
-def visibility_edges(cells: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(map_name, r, c, r2, c2): every point of the straight line from one to the other, one per step of its longer side, is walkable.
-
-    Lines are tried from both ends. A map's cells meet each other, nothing else does.
-    """
-    maps = cells.groupBy("map_name").agg(F.array_sort(F.collect_set(F.struct(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")))).alias("cells")).withColumn("n", F.size("cells"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                own = np.array([(x["r"], x["c"]) for x in row["cells"]], np.int64)
-                i, j = np.nonzero(kernels.visible(own, row["start"], min(row["start"] + chunk, len(own))))
-                a, b = own[row["start"] + i], own[j]
-                yield pa.RecordBatch.from_pydict({"map_name": pa.array([row["map_name"]] * len(i), pa.string()), "r": a[:, 0], "c": a[:, 1], "r2": b[:, 0], "c2": b[:, 1]})
-
-    return _chunks(maps, "n", chunk).mapInArrow(run, "map_name string, r long, c long, r2 long, c2 long")
-
-
-def connectivity(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("map_name", "r", "c").agg(F.count("*").alias("connectivity"))
-
-
-def _graphs(edges: DataFrame) -> DataFrame:
-    """One row per map: its nodes and the bits of its adjacency matrix. Edges go both ways."""
-
-    def run(t: pa.Table) -> pa.Table:
-        a, b = (np.stack([t.column(k).to_numpy() for k in names], axis=1) for names in (("r", "c"), ("r2", "c2")))
-        nodes, at = np.unique(np.concatenate([a, b]), axis=0, return_inverse=True)
-        at = at.reshape(-1)
-        matrix = np.zeros((len(nodes), len(nodes)), bool)
-        matrix[at[: len(a)], at[len(a) :]] = matrix[at[len(a) :], at[: len(a)]] = True
-        np.fill_diagonal(matrix, False)
-        one = lambda x: pa.array([x], pa.binary())
-        return pa.table({"map_name": t.column("map_name").slice(0, 1).cast(pa.string()), "n": pa.array([len(nodes)], pa.int64()), "nodes": one(nodes.astype(np.int64).tobytes()), "bits": one(np.packbits(matrix).tobytes())})
-
-    longs = [F.col(c).cast("long").alias(c) for c in ("r", "c", "r2", "c2")]
-    return edges.select("map_name", *longs).groupBy("map_name").applyInArrow(run, "map_name string, n long, nodes binary, bits binary")
-
+from groundplan.operators import coords, graphs, kernels
+from groundplan.operators.graphs import blocks_of, choice, choice_sampled, connectivity, distance_sums, distances, edges_of, isovist_perimeter, visibility_blocks  # noqa: F401
+from groundplan.sources.folders import written
 
-def _by_source(edges: DataFrame, kernel, schema: str, chunk: int) -> DataFrame:
-    """kernel(adjacency, nodes, sources) gives columns; map_name goes in front of them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                n = row["n"]
-                nodes = np.frombuffer(row["nodes"], np.int64).reshape(n, 2)
-                adjacency = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=n * n).reshape(n, n).astype(bool)
-                columns = kernel(adjacency, nodes, np.arange(row["start"], min(row["start"] + chunk, n)))
-                size = len(next(iter(columns.values())))
-                yield pa.RecordBatch.from_pydict({"map_name": pa.array([row["map_name"]] * size, pa.string()), **columns})
+def visibility_edges(cells: DataFrame, block: int = graphs.BLOCK) -> DataFrame:
+    """(map_name, r, c, r2, c2) of visibility_blocks, both ways."""
+    return edges_of(visibility_blocks(cells, block))
 
-    return _chunks(_graphs(edges), "n", chunk).mapInArrow(run, f"map_name string, {schema}")
 
+def hop_distance(edges: DataFrame, whole: int = graphs.WHOLE) -> DataFrame:
+    return distances(edges, None, whole)
 
-def _distance(cell: float | None):
-    """Distances by hops, or by length where cell is the side of a cell; unreachable nodes have inf."""
 
-    def run(adjacency: np.ndarray, nodes: np.ndarray, sources: np.ndarray) -> np.ndarray:
-        if cell is not None:
-            return kernels.metric(adjacency, nodes * float(cell), sources)
-        d = kernels.hops(adjacency, sources)
-        return np.where(d < 0, np.inf, d)
-
-    return run
-
-
-def distances(edges: DataFrame, cell: float | None = None, chunk: int = CHUNK) -> DataFrame:
-    """(map_name, r, c, r2, c2, d) for all pairs with a path: fewest steps, or with cell, the shortest length in its unit."""
-    distance = _distance(cell)
-
-    def pairs(adjacency: np.ndarray, nodes: np.ndarray, sources: np.ndarray) -> dict:
-        d = distance(adjacency, nodes, sources)
-        d[np.arange(len(sources)), sources] = np.inf
-        i, j = np.nonzero(np.isfinite(d))
-        a, b = nodes[sources[i]], nodes[j]
-        return {"r": a[:, 0], "c": a[:, 1], "r2": b[:, 0], "c2": b[:, 1], "d": d[i, j] if cell is not None else d[i, j].astype(np.int64)}
-
-    return _by_source(edges, pairs, f"r long, c long, r2 long, c2 long, d {'long' if cell is None else 'double'}", chunk)
-
-
-def hop_distance(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    return distances(edges, None, chunk)
-
-
-def metric_distance(edges: DataFrame, cell: float = 16, chunk: int = CHUNK) -> DataFrame:
-    return distances(edges, cell, chunk)
-
-
-def distance_sums(edges: DataFrame, cell: float | None = None, chunk: int = CHUNK) -> DataFrame:
-    """(map_name, r, c, s, m, far): the sum, number and largest of a node's distances. No pairs leave the tasks."""
-    distance = _distance(cell)
-
-    def sums(adjacency: np.ndarray, nodes: np.ndarray, sources: np.ndarray) -> dict:
-        d = distance(adjacency, nodes, sources)
-        d = np.where(np.isfinite(d), d, 0)
-        d[np.arange(len(sources)), sources] = 0
-        return {"r": nodes[sources, 0], "c": nodes[sources, 1], "s": d.sum(axis=1), "m": (d > 0).sum(axis=1), "far": d.max(axis=1)}
-
-    return _by_source(edges, sums, "r long, c long, s double, m long, far double", chunk)
+def metric_distance(edges: DataFrame, cell: float = 16, whole: int = graphs.WHOLE) -> DataFrame:
+    return distances(edges, cell, whole)
 
 
 def integration_hh(sums: DataFrame, cells: DataFrame, name: str = "integration_hh", fill: bool = True) -> DataFrame:
@@ -144,23 +43,23 @@ def integration_hh(sums: DataFrame, cells: DataFrame, name: str = "integration_h
     return x.select("map_name", "r", "c", value.alias(name))
 
 
-def choice(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(map_name, r, c, choice): for each node, its share in the shortest paths between all others, each pair once."""
-
-    def shares(adjacency: np.ndarray, nodes: np.ndarray, sources: np.ndarray) -> dict:
-        return {"r": nodes[:, 0], "c": nodes[:, 1], "share": kernels.dependencies(adjacency, sources)}
+def syntax_grid(cells: DataFrame, calibration: DataFrame, cell: int = 16, sources: int | None = None, seed: str = "") -> DataFrame:
+    """The table of all measures: one row for each walkable cell, with its bounds, as the exports round them. Maps without a calibration leave.
 
-    return _by_source(edges, shares, "r long, c long, share double", chunk).groupBy("map_name", "r", "c").agg((F.sum("share") / 2).alias("choice"))
-
-
-def syntax_grid(cells: DataFrame, edges: DataFrame, perimeter: DataFrame, cell: float = 16) -> DataFrame:
-    """All measures of each cell. edges are those of cells and are read several times: pass a saved table."""
-    key = ["map_name", "r", "c"]
-    out = cells.select(*key).join(connectivity(edges), key, "left").fillna(0, ["connectivity"]).withColumn("isovist_area", F.col("connectivity") * F.lit(cell * cell))
-    out = out.join(perimeter.withColumnRenamed("perimeter", "isovist_perimeter"), key, "left").fillna(0, ["isovist_perimeter"])
+    cells has map_name, row and col; choice_t comes from so many sources of each map, or else from all. The graph is made once and read by all measures.
+    """
+    nodes = written(cells.select("map_name", F.col("row").cast("long").alias("r"), F.col("col").cast("long").alias("c")).distinct(), "cells")
+    blocks, key = visibility_blocks(nodes), ["map_name", "r", "c"]
+    out = nodes.join(connectivity(blocks), key, "left").fillna(0, ["connectivity"])
+    out = out.join(isovist_perimeter(blocks).withColumnRenamed("perimeter", "isovist_perimeter"), key)
     for name, size in (("integration_hh_t", None), ("integration_hh_m", cell)):
-        out = out.join(integration_hh(distance_sums(edges, size), cells, name), key)
-    return out.join(choice(edges).withColumnRenamed("choice", "choice_t"), key, "left").fillna(0, ["choice_t"])
+        out = out.join(integration_hh(distance_sums(blocks, size), nodes, name), key)
+    found = choice(blocks) if sources is None else choice_sampled(blocks, sources, seed)
+    out = out.join(found.select(*key, F.col("choice").alias("choice_t")), key)
+    out = coords.cell_bounds(coords.with_calibration(out.withColumnsRenamed({"r": "row", "c": "col"}), calibration), cell)
+    measures = [F.round(F.col("connectivity") * float(cell * cell), 1).alias("isovist_area_px"), F.round(F.col("isovist_perimeter").cast("double"), 1).alias("isovist_perimeter"), *(F.round(m, 4).alias(m) for m in ("integration_hh_t", "integration_hh_m", "choice_t"))]
+    bounds = ["px_left", "px_top", "px_right", "px_bottom", "world_x_min", "world_x_max", "world_y_min", "world_y_max"]
+    return out.select("map_name", "col", "row", *bounds, F.lit(1).alias("walkable"), "connectivity", *measures)
 
 
 def islands(cells: DataFrame) -> DataFrame:

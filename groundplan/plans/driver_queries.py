@@ -124,12 +124,12 @@ def visibility_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return space.connectivity(visibility_edges(spark, sf_dir))
+    return space.connectivity(space.visibility_blocks(rec.walkable_cells(spark, sf_dir)))
 
 
 def integration(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = rec.walkable_cells(spark, sf_dir)
-    return _round(space.integration_hh(space.distance_sums(space.visibility_edges(cells)), cells), "integration_hh")
+    return _round(space.integration_hh(space.distance_sums(space.visibility_blocks(cells)), cells), "integration_hh")
 
 
 def closed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

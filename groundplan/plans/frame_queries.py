@@ -62,8 +62,7 @@ def maps_with_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def isovist_perimeter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = rec.walkable_cells(spark, sf_dir)
-    return frames.isovist_perimeter(space.visibility_edges(cells), cells)
+    return space.isovist_perimeter(space.visibility_blocks(rec.walkable_cells(spark, sf_dir)))
 
 
 _POINTS = "p AS (SELECT p_partkey AS id, p_brand AS brand, CAST(p_size AS DOUBLE) / 64 AS u, CAST(p_retailprice AS DOUBLE) / 3000 AS v FROM part)"

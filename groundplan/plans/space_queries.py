@@ -8,43 +8,38 @@ from pyspark.sql import functions as F
 from groundplan.operators import coords, frames, grid, records, space
 from groundplan.plans.driver_queries import _CELLS, _HOPS, _SEEN, _round, integration_sql
 from groundplan.sources import recordings as rec
-from groundplan.sources.folders import checkpoints, new_folder
+from groundplan.sources.folders import checkpoints, written
 
 #: Pixels of a cell, and rows and columns of the maps of nations.
 CELL, ROWS, COLS = 4, 16, 16
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return space.visibility_edges(rec.walkable_cells(spark, sf_dir))
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, for what is read several times."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return space.visibility_blocks(rec.walkable_cells(spark, sf_dir))
 
 
 # ---- graphs ----------------------------------------------------------------------------------------------------------
 
 
 def hop_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return space.hop_distance(_edges(spark, sf_dir))
+    return space.hop_distance(_graph(spark, sf_dir))
 
 
 def metric_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(space.metric_distance(_edges(spark, sf_dir), 16), "d")
+    return _round(space.metric_distance(_graph(spark, sf_dir), 16), "d")
 
 
 def choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(space.choice(_edges(spark, sf_dir)), "choice")
+    return _round(space.choice(_graph(spark, sf_dir)), "choice")
+
+
+def choice_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(_round(space.choice_sampled(_graph(spark, sf_dir), 40, "s"), "choice"), "standard_error", digits=4)
 
 
 def syntax_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = rec.walkable_cells(spark, sf_dir)
-    edges = _written(space.visibility_edges(cells), "edges")
-    out = space.syntax_grid(cells, edges, frames.isovist_perimeter(edges, cells), 16)
-    return _round(out, "isovist_area", "integration_hh_t", "integration_hh_m", "choice_t", digits=4)
+    cells = rec.walkable_cells(spark, sf_dir).withColumnsRenamed({"r": "row", "c": "col"})
+    return space.syntax_grid(cells, rec.walkable_calibrations(spark, sf_dir), 16)
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +54,7 @@ def large_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = rec.axial_lines(spark, sf_dir)
-    return _round(space.line_graph(lines, _written(space.line_contacts(lines), "contacts")), "integration_hh", "choice")
+    return _round(space.line_graph(lines, written(space.line_contacts(lines), "contacts")), "integration_hh", "choice")
 
 
 def valid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +180,7 @@ def heat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heat_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _written(_heat(spark, sf_dir), "heat")
+    found = written(_heat(spark, sf_dir), "heat")
     return _round(coords.heat_difference(found.where("side = 'CT'"), found.where("side = 'T'"), ["map_name"]), "difference")
 
 
@@ -236,10 +231,18 @@ ORACLES = {
     "metric_distance": f"WITH RECURSIVE {_SEEN}, {_METRIC} SELECT map_name, r, c, r2, c2, round(d, 6) AS d FROM met WHERE d > 0",
     "choice": f"WITH RECURSIVE {_SEEN}, {_HOPS}, {_CHOICE} SELECT map_name, r, c, round(coalesce(choice, 0), 6) AS choice FROM (SELECT DISTINCT map_name, r, c FROM edges) LEFT JOIN ch USING (map_name, r, c)",
     "syntax_grid": f"""WITH RECURSIVE {_SEEN}, {_HOPS}, {_METRIC}, {_CHOICE}, {integration_sql("hop")}, {integration_sql("met", "im")}, deg AS (SELECT map_name, r, c, count(*) AS k FROM edges GROUP BY ALL),
+mcal AS (SELECT 'm' || k AS map_name, k * -100.5::DOUBLE AS pos_x, 3000.25::DOUBLE + k AS pos_y, 4.5::DOUBLE + k % 3 AS scale FROM (SELECT DISTINCT CAST(floor(p_partkey / 1024) AS BIGINT) AS k FROM part)),
 vis AS (SELECT map_name, r, c, r2, c2 FROM edges UNION SELECT map_name, r, c, r, c FROM w), b AS (SELECT map_name, r, c, r2 - i AS r2, c2 - j AS c2 FROM vis, (VALUES (0, 1), (1, 0), (1, 1), (1, -1)) AS d(i, j)),
 per AS (SELECT map_name, r, c, count(*) AS k FROM b WHERE NOT EXISTS (SELECT 1 FROM vis s WHERE s.map_name = b.map_name AND s.r = b.r AND s.c = b.c AND s.r2 = b.r2 AND s.c2 = b.c2) GROUP BY map_name, r, c)
-SELECT w.map_name, w.r, w.c, coalesce(deg.k, 0) AS connectivity, round(coalesce(deg.k, 0) * 256.0, 4)::DOUBLE AS isovist_area, coalesce(per.k, 0) AS isovist_perimeter, round(integ.v, 4) AS integration_hh_t, round(im.v, 4) AS integration_hh_m, round(coalesce(ch.choice, 0), 4) AS choice_t
-FROM w LEFT JOIN deg USING (map_name, r, c) LEFT JOIN per USING (map_name, r, c) JOIN integ USING (map_name, r, c) JOIN im USING (map_name, r, c) LEFT JOIN ch USING (map_name, r, c)""",
+SELECT w.map_name, w.c AS col, w.r AS "row", w.c * 16 AS px_left, w.r * 16 AS px_top, (w.c + 1) * 16 AS px_right, (w.r + 1) * 16 AS px_bottom,
+round(pos_x + w.c * 16 * scale, 1) AS world_x_min, round(pos_x + (w.c + 1) * 16 * scale, 1) AS world_x_max, round(pos_y - (w.r + 1) * 16 * scale, 1) AS world_y_min, round(pos_y - w.r * 16 * scale, 1) AS world_y_max, 1 AS walkable,
+coalesce(deg.k, 0) AS connectivity, round(coalesce(deg.k, 0) * 256.0, 1)::DOUBLE AS isovist_area_px, round(coalesce(per.k, 0), 1)::DOUBLE AS isovist_perimeter, round(integ.v, 4) AS integration_hh_t, round(im.v, 4) AS integration_hh_m, round(coalesce(ch.choice, 0), 4) AS choice_t
+FROM w JOIN mcal USING (map_name) LEFT JOIN deg USING (map_name, r, c) LEFT JOIN per USING (map_name, r, c) JOIN integ USING (map_name, r, c) JOIN im USING (map_name, r, c) LEFT JOIN ch USING (map_name, r, c)""",
+    "choice_sampled": f"""WITH RECURSIVE {_SEEN}, {_HOPS}, src AS (SELECT map_name, r, c FROM w QUALIFY row_number() OVER (PARTITION BY map_name ORDER BY md5('s|' || map_name || '|' || r || '|' || c)) <= 40),
+dep AS (SELECT a.map_name, a.r AS sr, a.c AS sc, a.r2 AS r, a.c2 AS c, sum(a.p * b.p / t.p) AS dep FROM hop a SEMI JOIN src ON src.map_name = a.map_name AND src.r = a.r AND src.c = a.c JOIN hop b ON a.map_name = b.map_name AND a.r2 = b.r AND a.c2 = b.c
+JOIN hop t ON t.map_name = a.map_name AND t.r = a.r AND t.c = a.c AND t.r2 = b.r2 AND t.c2 = b.c2 WHERE a.d > 0 AND b.d > 0 AND t.d = a.d + b.d GROUP BY ALL),
+tot AS (SELECT map_name, r, c, sum(dep) AS s, sum(dep * dep) AS q FROM dep GROUP BY ALL), nk AS (SELECT map_name, count(*) AS n, least(count(*), 40) AS k FROM w GROUP BY map_name)
+SELECT map_name, r, c, round(coalesce(s, 0) * n / k / 2, 6) AS choice, round(n * sqrt((1 - k / n) * greatest((coalesce(q, 0) - coalesce(s, 0) * coalesce(s, 0) / k) / (k - 1), 0) / k) / 2, 4) AS standard_error FROM w JOIN nk USING (map_name) LEFT JOIN tot USING (map_name, r, c)""",
     "components": f"WITH RECURSIVE {_ISLANDS} SELECT map_name, r, c, island FROM comp",
     "large_islands": f"""WITH RECURSIVE {_ISLANDS}, z AS (SELECT map_name, island, count(*) AS k FROM comp GROUP BY ALL), t AS (SELECT map_name, count(*) AS n FROM w GROUP BY map_name)
 SELECT map_name, r, c FROM comp JOIN z USING (map_name, island) JOIN t USING (map_name) WHERE k >= n * 0.1""",

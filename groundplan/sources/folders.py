@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoints(spark: SparkSession) -> str:
@@ -22,3 +22,10 @@ def checkpoints(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path that does not exist yet, in the shared folder."""
     return f"{checkpoints(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, for what is read several times; lineage ends here."""
+    path = new_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

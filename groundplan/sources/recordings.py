@@ -55,6 +55,12 @@ def walkable_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.where("NOT (r % 6 = 3 AND c % 8 NOT IN (1, 5))").distinct()
 
 
+def walkable_calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One for each map of walkable_cells."""
+    maps = read(spark, sf_dir, "part").selectExpr("cast(floor(p_partkey / 1024) AS bigint) AS k").distinct()
+    return maps.selectExpr("concat('m', cast(k AS string)) AS map_name", "k * -100.5D AS pos_x", "3000.25D + k AS pos_y", "4.5D + k % 3 AS scale")
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct lines that parts draw on two maps."""
     keys = read(spark, sf_dir, "part").selectExpr("cast(p_size AS bigint) AS s", "cast(p_partkey % 100 AS bigint) AS k").distinct()

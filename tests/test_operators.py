@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from groundplan.operators import coords, frames, grid, kernels, records, space, statistics
+from groundplan.operators import coords, frames, graphs, grid, kernels, records, space, statistics
 from groundplan.plans import QUERIES
 from groundplan.sources import tables
 from groundplan.sources.folders import checkpoints
@@ -77,6 +77,56 @@ def test_rooms(shapes):
     assert math.isclose(min(x.integration_hh for x in got.values()), 9.4975, abs_tol=1e-4)
 
 
+def test_maps_larger_than_a_task_give_the_same(spark):
+    """Maps of over 60 nodes go by parts of their matrix, step by step; no task has more than a part of the sources and a part of the rows."""
+    mask = np.ones((18, 17), bool)
+    mask[5, :12] = mask[11, 5:] = mask[12:16, 8] = False
+    mask[3, 15] = mask[2, 15] = False
+    rows = [("big", int(r), int(c)) for r, c in zip(*np.nonzero(mask))] + [("big", 40, 40), ("big", 40, 41)] + [("small", 0, c) for c in range(9)] + [("one", 3, 3)]
+    blocks = space.visibility_blocks(spark.createDataFrame(rows, "map_name string, r long, c long"), 4)
+    same = lambda f: [sorted((tuple(round(v, 7) if isinstance(v, float) else v for v in x) for x in f(w).collect()), key=str) for w in (graphs.WHOLE, 60)]
+    for f in (
+        lambda w: space.hop_distance(blocks, w), lambda w: space.metric_distance(blocks, 16, w), lambda w: space.distance_sums(blocks, None, w), lambda w: space.distance_sums(blocks, 16, w),
+        lambda w: space.choice(blocks, w), lambda w: space.choice_sampled(blocks, 50, "x", w),
+    ):
+        whole, parts = same(f)
+        assert whole == parts and len(whole) > 100
+    n = len(rows) - 10
+    large = graphs.Large(blocks.where("n > 60"))
+    parts = large.rows.selectExpr("octet_length(bits) AS b", "at").collect()
+    row = -(-n // 8)
+    blocks_in_map = -(-n // graphs.BLOCK)
+    assert len(parts) == min(graphs.GROUPS, blocks_in_map) and sum(x.b for x in parts) == n * row and max(x.b for x in parts) <= row * graphs.BLOCK * -(-blocks_in_map // graphs.GROUPS)
+    state = graphs._hop_states(large)[0]
+    assert state.count() == graphs.GROUPS and state.selectExpr("max(octet_length(x)) AS b").first().b <= row * -(-n // graphs.GROUPS)
+
+
+def test_all_sources_give_the_choice_itself(spark):
+    cells = spark.createDataFrame([("m", r, c) for r in range(7) for c in range(7) if (r, c) != (3, 3)], "map_name string, r long, c long")
+    blocks = space.visibility_blocks(cells)
+    exact = {(x.r, x.c): x.choice for x in space.choice(blocks).collect()}
+    for k in (48, 1000):
+        got = space.choice_sampled(blocks, k).collect()
+        assert all(math.isclose(x.choice, exact[x.r, x.c], abs_tol=1e-9) and x.standard_error == 0 for x in got) and len(got) == 48
+    some = space.choice_sampled(blocks, 12, "a").collect()
+    assert any(x.standard_error > 0 for x in some) and sum(x.choice for x in some) > 0
+    assert {x.standard_error for x in space.choice_sampled(blocks, 1).collect()} == {None}
+
+
+def test_shortest_lengths_equal_plain_relaxation():
+    rng = np.random.default_rng(4)
+    for k in range(6):
+        mask = rng.random((9, 11)) > 0.12 * k
+        cells = np.argwhere(mask)
+        a = kernels.visible(cells, 0, len(cells), 50)
+        want = np.where(a, np.hypot(*(cells[:, None] - cells[None]).transpose(2, 0, 1)), np.inf)
+        np.fill_diagonal(want, 0)
+        for v in range(len(cells)):
+            want = np.minimum(want, want[:, v, None] + want[v])
+        got = kernels.Turns(a, cells).distances(np.arange(len(cells)))
+        assert (np.isinf(got) == np.isinf(want)).all() and np.allclose(np.where(np.isinf(got), 0, got), np.where(np.isinf(want), 0, want), atol=1e-9)
+
+
 def test_a_chain_of_many_hops(spark):
     n = 90
     chain = spark.createDataFrame([("a", i, 0, j, 0) for i in range(n) for j in (i - 1, i + 1) if 0 <= j < n], "map_name string, r long, c long, r2 long, c2 long")
