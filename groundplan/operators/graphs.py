@@ -511,5 +511,5 @@ def choice_sampled(edges: DataFrame, sources: int, seed: str = "", whole: int =
     found = _shares(blocks, whole, written(chosen.mapInArrow(run, "map_name string, sources binary"), "sources")).groupBy(*KEY).agg(F.sum("share").alias("share"), F.sum("square").alias("square"))
     sizes = blocks.where("start = 0").select("map_name", "n", F.least("n", F.lit(sources)).alias("k"))
     n, k = F.col("n"), F.col("k")
-    variance = F.greatest((F.col("square") - F.col("share") * F.col("share") / k) / F.nullif(k - 1, F.lit(0)), F.lit(0.0))
+    variance = F.when(k > 1, F.greatest((F.col("square") - F.col("share") * F.col("share") / k) / (k - 1), F.lit(0.0)))
     return found.join(sizes, "map_name").select(*KEY, (F.col("share") * n / k / 2).alias("choice"), (n * F.sqrt((1 - k / n) * variance / k) / 2).alias("standard_error"))
