@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundplan.operators import statistics
+from groundplan.operators.ordering import with_places
 
 #: Axis forms, fixed values: which of u, v, 1-u and 1-v gives the column and which the row.
 FORMS = ["uv", "1-uv", "u1-v", "1-u1-v", "vu", "1-vu", "v1-u", "1-v1-u"]
@@ -61,10 +62,7 @@ def configuration(df: DataFrame, metric: str, density: str, tie: str, by: list[s
 
     With choice and count, also rho and r of metric and density, rho of choice and density, and of metric and count.
     """
-    ranked = df.withColumns({
-        "place": F.row_number().over(Window.partitionBy(*by).orderBy(metric, tie)),
-        "n": F.count("*").over(Window.partitionBy(*by)),
-    }).withColumn("k", F.greatest(F.floor(F.col("n") / 5), F.lit(1)))
+    ranked = with_places(df.select(*dict.fromkeys([*by, metric, density, tie])), by, [metric, tie]).withColumn("k", F.greatest(F.floor(F.col("n") / 5), F.lit(1)))
     low, high = F.avg(F.when(F.col("place") <= F.col("k"), F.col(density))), F.avg(F.when(F.col("place") > F.col("n") - F.col("k"), F.col(density)))
     out = ranked.groupBy(*by).agg(F.count("*").alias("n"), low.alias("low"), high.alias("high")).withColumn("ratio", F.try_divide("high", "low"))
     if choice is None or count is None:

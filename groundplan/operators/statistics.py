@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundplan.operators import kernels
+from groundplan.operators.ordering import columns_as_rows, quantile_columns, quantiles, tile, with_places
 
 
 def corr(x: str, y: str) -> Column:
@@ -94,16 +95,17 @@ def intelligibility(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 def hotspots(df: DataFrame, metric: str, behaviour: str, by: list[str], q: float = 0.9) -> DataFrame:
     """Cells at or above the q-quantile of both, how many to expect if they were independent, and medians over hot and all cells."""
-    at = df.groupBy(*by).agg(F.percentile(metric, q).alias("mq"), F.percentile(behaviour, q).alias("bq"))
-    a, b = F.col(metric) >= F.col("mq"), F.col(behaviour) >= F.col("bq")
-    median = lambda c, on=None: F.percentile(F.when(on, F.col(c)) if on is not None else F.col(c), 0.5)
-    medians = [median(metric, b).alias("metric_in_hot"), median(metric).alias("metric_in_all"), median(behaviour, a).alias("behaviour_in_hot"), median(behaviour).alias("behaviour_in_all")]
-    out = df.join(at, by).groupBy(*by).agg(F.count("*").alias("n"), F.count_if(a).alias("hot_metric"), F.count_if(b).alias("hot_behaviour"), F.count_if(a & b).alias("overlap"), *medians)
+    at = quantile_columns(df, by, {"m": F.col(metric), "b": F.col(behaviour)}, {"q": q, "median": 0.5})
+    marked = df.join(at, by)
+    a, b = F.col(metric) >= F.col("m_q"), F.col(behaviour) >= F.col("b_q")
+    hot = quantile_columns(marked, by, {"m": F.when(b, F.col(metric)), "b": F.when(a, F.col(behaviour))}, {"hot": 0.5})
+    counts = marked.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(a).alias("hot_metric"), F.count_if(b).alias("hot_behaviour"), F.count_if(a & b).alias("overlap"), F.first("m_median").alias("metric_in_all"), F.first("b_median").alias("behaviour_in_all"))
+    out = counts.join(hot.withColumnsRenamed({"m_hot": "metric_in_hot", "b_hot": "behaviour_in_hot"}), by)
     return out.withColumn("expected", F.col("hot_metric") * F.col("hot_behaviour") / F.col("n"))
 
 
 def top_share(df: DataFrame, value: str, tie: str, by: list[str], share: float = 0.05) -> DataFrame:
-    ranked = df.withColumns({"place": F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value), tie)), "n": F.count("*").over(Window.partitionBy(*by))})
+    ranked = with_places(df.select(*dict.fromkeys([*by, value, tie])), by, [F.desc(value), F.asc(tie)])
     top = F.col("place") <= F.greatest(F.floor(F.col("n") * share), F.lit(1))
     return ranked.groupBy(*by).agg(F.count_if(top).alias("k"), (F.sum(F.when(top, F.col(value))) / F.sum(value)).alias("share"))
 
@@ -111,29 +113,29 @@ def top_share(df: DataFrame, value: str, tie: str, by: list[str], share: float =
 def decile_curve(df: DataFrame, x: str, y: str, tie: str, by: list[str], n: int = 10, sample: bool = True) -> DataFrame:
     """Means of n equal groups by rising x, with the standard error of y: of a sample, or else of all rows."""
     spread = F.stddev_samp if sample else F.stddev_pop
-    tiles = df.withColumn("tile", F.ntile(n).over(Window.partitionBy(*by).orderBy(x, tie)).cast("long"))
+    tiles = with_places(df.select(*dict.fromkeys([*by, x, y, tie])), by, [x, tie]).withColumn("tile", tile(n).cast("long"))
     return tiles.groupBy(*by, "tile").agg(F.count("*").alias("n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), (spread(y) / F.sqrt(F.count("*"))).alias("se"))
 
 
 def cumulative_share(df: DataFrame, x: str, y: str, tie: str, by: list[str], percents: tuple[int, ...] = (10, 20, 30, 50)) -> DataFrame:
     """The share of y that the first p percent of rows by falling x hold."""
-    w = Window.partitionBy(*by).orderBy(F.desc(x), tie)
-    run = df.withColumns({"place": F.row_number().over(w), "run": F.sum(y).over(w.rowsBetween(Window.unboundedPreceding, 0)), "n": F.count("*").over(Window.partitionBy(*by)), "total": F.sum(y).over(Window.partitionBy(*by))})
+    run = with_places(df.select(*dict.fromkeys([*by, x, y, tie])), by, [F.desc(x), F.asc(tie)], y)
     run = run.withColumn("percent", F.explode(F.array(*map(F.lit, percents))))
     return run.where(F.col("place") == F.greatest(F.rint(F.col("n") * F.col("percent") / 100), F.lit(1))).select(*by, F.col("percent").cast("long"), (F.col("run") / F.col("total")).alias("share"))
 
 
 def metric_summary(df: DataFrame, metrics: list[str], by: list[str]) -> DataFrame:
-    long = df.select(*by, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics))).alias("m"))
-    v = F.col("m.v")
-    return long.groupBy(*by, F.col("m.metric").alias("metric")).agg(F.min(v).alias("min"), F.percentile(v, 0.5).alias("median"), F.avg(v).alias("mean"), F.percentile(v, 0.95).alias("p95"), F.max(v).alias("max"))
+    long = columns_as_rows(df, by, {m: F.col(m) for m in metrics}).withColumnRenamed("name", "metric")
+    plain = long.groupBy(*by, "metric").agg(F.min("v").alias("min"), F.avg("v").alias("mean"), F.max("v").alias("max"))
+    return plain.join(quantiles(long, "v", [*by, "metric"], {"median": 0.5, "p95": 0.95}), [*by, "metric"], "left").select(*by, "metric", "min", "median", "mean", "p95", "max")
 
 
 def compare_maps(df: DataFrame, metrics: list[str], pair: tuple[str, str], share_of: str, tie: str, by: list[str]) -> DataFrame:
     """One row per map: its cells, median, mean and p95 of each metric, the correlation of a pair, and the share of share_of that its top 5 % hold."""
-    three = [f(m).alias(f"{m}_{k}") for m in metrics for k, f in (("median", lambda c: F.percentile(c, 0.5)), ("mean", F.avg), ("p95", lambda c: F.percentile(c, 0.95)))]
-    out = df.groupBy(*by).agg(F.count("*").alias("cells"), *three, corr(*pair).alias("pair_corr"))
-    return out.join(top_share(df, share_of, tie, by).select(*by, F.col("share").alias("top_share")), by)
+    out = df.groupBy(*by).agg(F.count("*").alias("cells"), *(F.avg(m).alias(f"{m}_mean") for m in metrics), corr(*pair).alias("pair_corr"))
+    out = out.join(quantile_columns(df, by, {m: F.col(m) for m in metrics}, {"median": 0.5, "p95": 0.95}), by)
+    out = out.join(top_share(df, share_of, tie, by).select(*by, F.col("share").alias("top_share")), by)
+    return out.select(*by, "cells", *(f"{m}_{k}" for m in metrics for k in ("median", "mean", "p95")), "pair_corr", "top_share")
 
 
 def histogram(df: DataFrame, x: str, by: list[str], bins: int = 40, log_shift: bool = False) -> DataFrame:

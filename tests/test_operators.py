@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from groundplan.operators import coords, frames, graphs, grid, kernels, records, space, statistics
+from groundplan.operators import coords, frames, graphs, grid, kernels, ordering, records, space, statistics
 from groundplan.plans import QUERIES
 from groundplan.sources import tables
 from groundplan.sources.folders import checkpoints
@@ -216,6 +216,33 @@ def test_sums_of_flow_and_territory(spark):
     assert 2 * sum(x.moves for x in moves) == sum(x.flow for x in cells)
 
 
+def test_places_in_one_group_that_is_spread_over_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    v = rng.choice([*np.round(rng.normal(size=40), 2)], 3000)
+    rows = [("a", int(k), float(x), float(k % 7)) for k, x in enumerate(v)] + [(None, -1, 2.0, 1.0), (None, -2, 1.0, None), ("b", -3, None, 5.0)]
+    df = spark.createDataFrame(rows, "g string, id long, v double, w double").repartition(6)
+    seen, real_one = [], ordering.written
+    monkeypatch.setattr(ordering, "written", lambda d, n: seen.append(real_one(d, n)) or seen[-1])
+    names = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, x in names.items():
+            spark.conf.set(k, x)
+        got = ordering.with_places(df, ["g"], [F.desc("v"), "id"], "w").withColumn("tile", ordering.tile(11)).collect()
+        q = {x.g: (x.low, x.mid, x.top) for x in ordering.quantiles(df, "v", ["g"], {"low": 0.0, "mid": 0.5, "top": 0.937}).collect()}
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x)
+    ranges = seen[0].where("g = 'a'").groupBy("_range").count().collect()
+    assert len(ranges) >= 7 and max(x["count"] for x in ranges) < 1000
+    order = sorted((r for r in rows if r[0] == "a"), key=lambda r: (-r[2], r[1]))
+    tiles = [k for k, part in enumerate(np.array_split(np.arange(len(order)), 11), 1) for _ in part]
+    want = {r[1]: (k, len(order), sum(x[3] for x in order[:k]), t) for k, (r, t) in enumerate(zip(order, tiles), 1)}
+    assert {x.id: (x.place, x.n, x.run, x.tile) for x in got if x.g == "a"} == want and {x.total for x in got if x.g == "a"} == {sum(r[3] for r in order)}
+    assert sorted((x.id, x.place, x.n, x.run) for x in got if x.g is None) == [(-2, 2, 2, 1.0), (-1, 1, 2, 1.0)]
+    assert set(q) == {"a", None} and np.allclose(q["a"], np.quantile(v, [0, 0.5, 0.937])) and np.allclose(q[None], [1, 1.5, 1.937])
+
+
 # ---- coordinates -----------------------------------------------------------------------------------------------------
 
 
