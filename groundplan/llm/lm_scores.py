@@ -244,7 +244,9 @@ def bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
     spark = df.sparkSession
     key = f"{name}_{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("path", f"{shared_folder(spark)}/{key}").bucketBy(buckets, "block").format("parquet").saveAsTable(key)
-    return spark.table(key)
+    out = spark.table(key)
+    spark.sql(f"DROP TABLE {key}")  # the name goes; the files and the buckets of out stay
+    return out
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
