@@ -140,48 +140,3 @@ def smoothed(counts: np.ndarray, sigma: float) -> np.ndarray:
         wide = np.pad(counts, [(reach, reach) if k == axis else (0, 0) for k in (0, 1)], "symmetric")
         counts = np.apply_along_axis(np.convolve, axis, wide, weight, "valid")
     return counts
-
-
-def simplified(points: np.ndarray, tolerance: float) -> np.ndarray:
-    """Which points of a polyline stay: the ends, and wherever it is more than tolerance off, the furthest point between two that stay."""
-    keep = np.zeros(len(points), bool)
-    keep[[0, -1]] = True
-    open_ = [(0, len(points) - 1)]
-    while open_:
-        a, b = open_.pop()
-        if b - a < 2:
-            continue
-        line, off = points[b] - points[a], points[a + 1 : b] - points[a]
-        d = np.abs(line[0] * off[:, 1] - line[1] * off[:, 0]) / (np.hypot(*line) or 1.0)
-        k = int(d.argmax())
-        if d[k] > tolerance:
-            keep[a + 1 + k] = True
-            open_ += [(a, a + 1 + k), (a + 1 + k, b)]
-    return keep
-
-
-def two_sided_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """Student's t: the chance of a larger absolute value, by the continued fraction of the incomplete beta function."""
-    from math import lgamma
-
-    t, df = np.asarray(t, float), np.asarray(df, float)
-    out = np.full(t.shape, np.nan)
-    ok = (df > 0) & ~np.isnan(t)
-    x, a, b = df[ok] / (df[ok] + t[ok] ** 2), df[ok] / 2, np.full(ok.sum(), 0.5)
-    swap = x > (a + 1) / (a + b + 2)
-    x1, a1, b1 = np.where(swap, 1 - x, x), np.where(swap, b, a), np.where(swap, a, b)
-    tiny = 1e-300
-    c, d = np.ones(len(x1)), 1 - (a1 + b1) * x1 / (a1 + 1)
-    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-    h = d.copy()
-    for m in range(1, 300):
-        for term in (m * (b1 - m) * x1 / ((a1 + 2 * m - 1) * (a1 + 2 * m)), -(a1 + m) * (a1 + b1 + m) * x1 / ((a1 + 2 * m) * (a1 + 2 * m + 1))):
-            d, c = 1 + term * d, 1 + term / c
-            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            h *= d * c
-    log_beta = np.array([lgamma(p) + lgamma(q) - lgamma(p + q) for p, q in zip(a1, b1, strict=True)])
-    with np.errstate(divide="ignore"):
-        part = np.exp(a1 * np.log(x1) + b1 * np.log1p(-x1) - log_beta) * h / a1
-    out[ok] = np.where(swap, 1 - part, part)
-    return out

@@ -128,10 +128,20 @@ def inventory(geometry: DataFrame, behaviour: DataFrame) -> DataFrame:
     return geometry.join(behaviour, "map_name", "left")
 
 
+#: Rows that Spark's window limit keeps on the map side at most; of more, groups are first cut into SALTS parts.
+LIMITED, SALTS = 1000, 64
+
+
 def sample_rows(df: DataFrame, key: str, by: list[str], k: int, seed: int = 1) -> DataFrame:
-    """k rows of each group (all, if it has no more), by a seeded hash of key, the same ones in every run."""
-    order = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), key), key)
-    return df.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k).drop("_place")
+    """k rows of each group (all, if it has no more): those with the least md5 of `seed|key`, the same ones in every run and at every partitioning.
+
+    The least k of parts make the least k of all: each task hands on k rows of a group at most.
+    """
+    named = df.withColumn("_hash", F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))))
+    least = lambda d, *on: d.withColumn("_place", F.row_number().over(Window.partitionBy(*on).orderBy("_hash", key))).where(F.col("_place") <= k).drop("_place")
+    if k > LIMITED:
+        named = least(named.withColumn("_salt", F.pmod(F.xxhash64("_hash"), F.lit(SALTS))), *by, "_salt").drop("_salt")
+    return least(named, *by).drop("_hash")
 
 
 def first_rows(df: DataFrame, columns: list[str], order: list[str], n: int = 6) -> DataFrame:
@@ -147,7 +157,7 @@ def extract_links(html: str, pattern: str = r'href="(/matches/\d+/[^"]+)"') -> C
     return F.array_distinct(F.regexp_extract_all(html, F.lit(pattern), 1))
 
 
-def slug(url: str) -> Column:
+def slug(url: Column | str) -> Column:
     """The last part of an address, with runs of other characters than letters, digits and underscores as one dash, cut to 60."""
     return F.substring(F.regexp_replace(F.substring_index(url, "/", -1), r"(?U)[^\w]+", "-"), 1, 60)
 

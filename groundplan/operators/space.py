@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundplan.operators import coords, graphs, kernels
+from groundplan.operators import coords, graphs
 from groundplan.operators.graphs import blocks_of, choice, choice_sampled, connectivity, distance_sums, distances, edges_of, isovist_perimeter, visibility_blocks  # noqa: F401
 from groundplan.sources.folders import written
 
@@ -147,15 +145,39 @@ def line_density(lines: DataFrame, assigned: DataFrame, scale: float = 0.01905)
     return out.select("line_id", "crossfire", "length_m", (F.col("crossfire") / F.col("length_m")).alias("crossfire_per_m"))
 
 
-def line_contacts(lines: DataFrame, size: float = 16) -> DataFrame:
+def _squares(lines: DataFrame, size: float) -> DataFrame:
+    """lines with (gx, gy): the squares of size units that a segment passes, column by column. With low_x and so on, only those within."""
+    x1, x2, y1, y2 = (F.col(c) for c in ("x1", "x2", "y1", "y2"))
+    clip = "low_x" in lines.columns
+    part = lambda c: F.floor(c / size)
+    first, last = part(F.least(x1, x2)), part(F.greatest(x1, x2))
+    if clip:
+        first, last = F.greatest(first, F.col("low_x")), F.least(last, F.col("high_x"))
+    columns = lines.where(first <= last).withColumn("gx", F.explode(F.sequence(first, last)))
+    at = lambda x: y1 + (x - x1) * (y2 - y1) / F.nullif(x2 - x1, F.lit(0.0))
+    left, right = F.greatest(F.col("gx") * size, F.least(x1, x2)), F.least((F.col("gx") + 1) * size, F.greatest(x1, x2))
+    slack = 1e-9 * (1 + F.abs(y1) + F.abs(y2))
+    low = F.greatest(F.coalesce(F.least(at(left), at(right)), F.least(y1, y2)) - slack, F.least(y1, y2))
+    high = F.least(F.coalesce(F.greatest(at(left), at(right)), F.greatest(y1, y2)) + slack, F.greatest(y1, y2))
+    bottom, top = part(low), part(high)
+    if clip:
+        bottom, top = F.greatest(bottom, F.col("low_y")), F.least(top, F.col("high_y"))
+    return columns.where(bottom <= top).withColumn("gy", F.explode(F.sequence(bottom, top)))
+
+
+def line_contacts(lines: DataFrame, size: float = 16, crowd: int = 256, finer: int = 8) -> DataFrame:
     """(map_name, r, c, r2, c2) as of graphs, with r the line's id and c 0: lines of a map whose segments cross or touch.
 
-    Lines meet only within squares that both of their bounding boxes touch.
+    Lines meet only within squares that both pass. A square that over crowd lines pass is cut into finer times finer ones first.
     """
-    span = lambda a, b: F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size))
-    spread = lines.select("map_name", "line_id", "x1", "y1", "x2", "y2", F.explode(span("x1", "x2")).alias("gx"), span("y1", "y2").alias("ys")).withColumn("gy", F.explode("ys")).drop("ys")
+    own, square = ["map_name", "line_id", "x1", "y1", "x2", "y2"], ["map_name", "gx", "gy"]
+    spread = written(_squares(lines.select(*own), size), "squares")
+    crowded = spread.groupBy(*square).count().where(F.col("count") > crowd).drop("count")
+    fine = spread.join(crowded, square).selectExpr(*own, f"gx * {finer} AS low_x", f"gx * {finer} + {finer - 1} AS high_x", f"gy * {finer} AS low_y", f"gy * {finer} + {finer - 1} AS high_y")
+    fine = _squares(fine, size / finer).select(*own, "gx", "gy", F.lit(True).alias("fine"))
+    spread = spread.join(crowded, square, "left_anti").select(*own, "gx", "gy", F.lit(False).alias("fine")).union(fine)
     a, b = spread.alias("a"), spread.alias("b")
-    both = a.join(b, ["map_name", "gx", "gy"]).where("a.line_id < b.line_id")
+    both = a.join(b, [*square, "fine"]).where("a.line_id < b.line_id")
 
     def turn(p: str, q: str, r: str) -> Column:
         """Sign of the turn p -> q -> r; points are named by line and end."""
@@ -187,25 +209,47 @@ def line_graph(lines: DataFrame, contacts: DataFrame) -> DataFrame:
 
 
 def simplify(points: DataFrame, tolerance: float) -> DataFrame:
-    """(polyline, place, x, y): the points of each polyline that stay. A polyline must fit in a task."""
+    """(polyline, place, x, y): the points of each polyline that stay: its ends, and wherever it is more than tolerance off, the furthest point between two that stay.
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("place")
-        xy = np.stack([t.column("x").to_numpy(), t.column("y").to_numpy()], axis=1)
-        return t.filter(pa.array(kernels.simplified(xy, tolerance)))
-
-    own = points.select("polyline", F.col("place").cast("long").alias("place"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null")
-    return own.groupBy("polyline").applyInArrow(run, own.schema)
+    Every round splits all open stretches of all polylines at once, at the point furthest off (of equals, the first); a stretch is a
+    group that is summed up on the map side, so a polyline of any length is spread over tasks. Each round is written. Points without a place leave;
+    of points of equal place, any one counts.
+    """
+    own = points.select("polyline", F.col("place").cast("long").alias("place"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("place is not null and x is not null and y is not null")
+    own = written(own.dropDuplicates(["polyline", "place"]), "points")
+    point = F.struct("place", "x", "y")
+    ends = own.groupBy("polyline").agg(F.min_by(point, "place").alias("a"), F.max_by(point, "place").alias("b"))
+    kept = [ends.select("polyline", "a.*"), ends.where("a.place < b.place").select("polyline", "b.*")]
+    inner = (F.col("place") > F.col("a.place")) & (F.col("place") < F.col("b.place"))
+    open_ = written(own.join(ends, "polyline").where(inner), "stretches")
+    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+    length = F.sqrt(dx * dx + dy * dy)
+    off = F.abs(dx * (F.col("y") - F.col("a.y")) - dy * (F.col("x") - F.col("a.x"))) / F.when(length > 0, length).otherwise(1.0)
+    while True:
+        far = open_.withColumn("off", off).groupBy("polyline", F.col("a.place").alias("from"), F.col("b.place").alias("to")).agg(F.max_by(point, F.struct("off", -F.col("place"))).alias("k"), F.max("off").alias("off"))
+        far = written(far.where(F.col("off") > tolerance).drop("off"), "splits")
+        if far.isEmpty():
+            break
+        kept.append(far.select("polyline", "k.*"))
+        met = open_.withColumns({"from": F.col("a.place"), "to": F.col("b.place")}).join(far, ["polyline", "from", "to"]).where(F.col("place") != F.col("k.place"))
+        before = F.col("place") < F.col("k.place")
+        open_ = written(met.select("polyline", "place", "x", "y", F.when(before, F.col("a")).otherwise(F.col("k")).alias("a"), F.when(before, F.col("k")).otherwise(F.col("b")).alias("b")), "stretches")
+    return reduce(DataFrame.union, kept)
 
 
 def rasterise(polygons: DataFrame, cell: float) -> DataFrame:
-    """(map_name, r, c): cells whose centre is within a polygon, by even and odd crossings. polygons has map_name and corners, an array of (x, y) in pixels."""
-    axis = lambda k: F.transform("corners", lambda p: p[k])
-    first = lambda k: F.floor(F.array_min(axis(k)) / cell)
-    last = lambda k: F.floor(F.array_max(axis(k)) / cell)
-    cells = polygons.where(F.size("corners") > 2).select("map_name", "corners", F.explode(F.sequence(first("y"), last("y"))).alias("r"), first("x").alias("lo"), last("x").alias("hi"))
-    cells = cells.select("map_name", "corners", "r", F.explode(F.sequence("lo", "hi")).alias("c"))
-    x, y = (F.col("c") + 0.5) * cell, (F.col("r") + 0.5) * cell
+    """(map_name, r, c): cells whose centre is within a polygon, by even and odd crossings. polygons has map_name and corners, an array of (x, y) in pixels.
+
+    By scan lines: each edge gives its crossing with each row of cell centres that it passes; a row's crossings, sorted, are the ends of its spans.
+    """
     after = F.concat(F.slice("corners", 2, F.size("corners") - 1), F.slice("corners", 1, 1))
-    crossed = F.filter(F.arrays_zip(F.col("corners").alias("p"), after.alias("q")), lambda e: ((e.p.y > y) != (e.q.y > y)) & (x < e.p.x + (y - e.p.y) * (e.q.x - e.p.x) / F.nullif(e.q.y - e.p.y, F.lit(0.0))))
-    return cells.where(F.size(crossed) % 2 == 1).select("map_name", "r", "c").distinct()
+    edges = polygons.where(F.size("corners") > 2).withColumn("_id", F.monotonically_increasing_id()).select("map_name", "_id", F.explode(F.arrays_zip(F.col("corners").alias("p"), after.alias("q"))).alias("e")).select("map_name", "_id", "e.p", "e.q")
+    low, high = F.least("p.y", "q.y"), F.greatest("p.y", "q.y")
+    rows = edges.where(low < high).withColumn("r", F.explode(F.sequence(F.floor(low / cell) - 1, F.floor(high / cell) + 1)))
+    y = (F.col("r") + 0.5) * cell
+    at = F.col("p.x") + (y - F.col("p.y")) * (F.col("q.x") - F.col("p.x")) / (F.col("q.y") - F.col("p.y"))
+    lines = rows.where(((F.col("p.y") > y) != (F.col("q.y") > y))).groupBy("map_name", "_id", "r").agg(F.array_sort(F.collect_list(at)).alias("at"))
+    spans = lines.select("map_name", "r", F.explode(F.transform(F.sequence(F.lit(1), F.size("at") - 1, F.lit(2)), lambda k: F.struct(F.get("at", k - 1).alias("from"), F.get("at", k).alias("to")))).alias("s")).select("map_name", "r", "s.*")
+    cells = spans.withColumn("c", F.explode(F.sequence(F.floor(F.col("from") / cell) - 1, F.floor(F.col("to") / cell) + 1)))
+    x = (F.col("c") + 0.5) * cell
+    return cells.where((x >= F.col("from")) & (x < F.col("to"))).select("map_name", "r", "c").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundplan.operators import grid, rounds, space, statistics
+from groundplan.operators import grid, records, rounds, space, statistics
 from groundplan.sources import recordings as rec
 
 
@@ -85,11 +85,11 @@ def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linregress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(statistics.linregress(_parts(spark, sf_dir), "x", "y", ["brand"]), "slope", "intercept", "r", "r2", "stderr")
+    return _round(statistics.linregress(_parts(spark, sf_dir), "x", "y", ["brand"]), "slope", "intercept", "r", "r2", "stderr", "p")
 
 
 def intelligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(statistics.intelligibility(_parts(spark, sf_dir), "x", "y", ["brand"]), "r", "log_r", "r2", "log_r2", "slope", "intercept")
+    return _round(statistics.intelligibility(_parts(spark, sf_dir), "x", "y", ["brand"]), "r", "log_r", "r2", "log_r2", "slope", "intercept", "p")
 
 
 def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,9 +155,9 @@ def line_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links of each page, distinct and in order, and the slug of its address."""
-    links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), 1))
-    last = F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), "([^/]*)/?$", 1)
-    return rec.read(spark, sf_dir, "pages").select("page_id", F.size(links).cast("long").alias("n_links"), F.array_join(links, " ").alias("links"), F.substring(F.regexp_replace(last, r"(?U)[^\w]+", "-"), 1, 60).alias("slug"))
+    links = records.extract_links("html", r'href="(/[^"]*)"')
+    address = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "/$", "")
+    return rec.read(spark, sf_dir, "pages").select("page_id", F.size(links).cast("long").alias("n_links"), F.array_join(links, " ").alias("links"), records.slug(address).alias("slug"))
 
 
 # ---- SQL -------------------------------------------------------------------------------------------------------------
@@ -198,6 +198,13 @@ def integration_sql(dist: str, name: str = "integ") -> str:
 {name} AS (SELECT map_name, r, c, CASE WHEN n < 4 THEN 'nan'::DOUBLE WHEN ra = 0 THEN 'inf'::DOUBLE ELSE dn / ra END AS v FROM {name}_v)"""
 
 
+def tail_sql(r: str, free: str) -> str:
+    """The two-sided p of a correlation r with so many degrees of freedom."""
+    term = lambda top, low: f"list_sum(list_transform(range(0, CAST(({free}) // 2 AS BIGINT)), lambda j: exp(lgamma(j + {top}) - lgamma({top}) - lgamma(j + {low}) + lgamma({low}) + j * ln(greatest(1 - ({r}) ** 2, 1e-300)))))"
+    odd = f"2 / pi() * (asin(least(abs({r}), 1)) + CASE WHEN {free} > 1 THEN abs({r}) * sqrt(1 - ({r}) ** 2) * {term(1, 1.5)} ELSE 0 END)"
+    return f"CASE WHEN {r} IS NOT NULL AND {free} >= 1 THEN greatest(1 - CASE WHEN ({free}) % 2 = 0 THEN abs({r}) * {term(0.5, 1)} ELSE {odd} END, 0) END"
+
+
 _INTEGRATION = integration_sql("hop")
 _ERODE = "SELECT map_name, r, c FROM (SELECT map_name, r + i AS r, c + j AS c FROM {} , (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)) GROUP BY ALL HAVING count(*) = 9"
 _NEAR = f"""{_EV}, pt AS (SELECT map_id, event_id AS point_id, (x + (x * 7 + 13) % 100) / 2 AS px, (y + y / 2) / 2 AS py FROM ev WHERE event_type = 'purchase' AND x IS NOT NULL AND y IS NOT NULL),
@@ -227,8 +234,8 @@ count(*) FILTER (l_returnflag = 'R') AS occ_t, count(DISTINCT l_orderkey) AS vis
     "correlations": f"""WITH {_PARTS}, k AS (SELECT *, rank() OVER (PARTITION BY brand ORDER BY x) + (count(*) OVER (PARTITION BY brand, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY brand ORDER BY y) + (count(*) OVER (PARTITION BY brand, y) - 1) / 2 AS ry FROM p)
 SELECT brand, count(*) AS n, CASE WHEN count(*) >= 8 THEN round(corr(x, y), 6) END AS pearson_r, CASE WHEN count(*) >= 8 THEN round(corr(rx, ry), 6) END AS spearman_rho FROM k GROUP BY brand""",
     "linregress": f"""WITH {_PARTS} SELECT brand, count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(corr(x, y), 6) AS r, round(corr(x, y) ** 2, 6) AS r2,
-round(sqrt((1 - corr(x, y) ** 2) * regr_syy(y, x) / regr_sxx(y, x) / (count(*) - 2)), 6) AS stderr FROM p GROUP BY brand""",
-    "intelligibility": f"WITH {_PARTS} SELECT brand, count(*) AS n, round(corr(x, y), 6) AS r, round(corr(ln(x), ln(y)), 6) AS log_r, round(corr(x, y) ** 2, 6) AS r2, round(corr(ln(x), ln(y)) ** 2, 6) AS log_r2, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept FROM p WHERE x > 0 AND y > 0 GROUP BY brand",
+round(sqrt((1 - corr(x, y) ** 2) * regr_syy(y, x) / regr_sxx(y, x) / (count(*) - 2)), 6) AS stderr, round({tail_sql('corr(x, y)', 'count(*) - 2')}, 6) AS p FROM p GROUP BY brand""",
+    "intelligibility": f"WITH {_PARTS} SELECT brand, count(*) AS n, round(corr(x, y), 6) AS r, round(corr(ln(x), ln(y)), 6) AS log_r, round(corr(x, y) ** 2, 6) AS r2, round(corr(ln(x), ln(y)) ** 2, 6) AS log_r2, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round({tail_sql('corr(x, y)', 'count(*) - 2')}, 6) AS p FROM p WHERE x > 0 AND y > 0 GROUP BY brand",
     "hotspots": f"""WITH {_PARTS}, q AS (SELECT brand, quantile_cont(x, 0.9) AS mq, quantile_cont(y, 0.9) AS bq FROM p GROUP BY brand)
 SELECT brand, count(*) AS n, count(*) FILTER (x >= mq) AS hot_metric, count(*) FILTER (y >= bq) AS hot_behaviour, count(*) FILTER (x >= mq AND y >= bq) AS overlap,
 round(quantile_cont(x, 0.5) FILTER (y >= bq), 6) AS metric_in_hot, round(quantile_cont(x, 0.5), 6) AS metric_in_all, round(quantile_cont(y, 0.5) FILTER (x >= mq), 6) AS behaviour_in_hot, round(quantile_cont(y, 0.5), 6) AS behaviour_in_all,

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundplan.operators import frames, grid, records, rounds, statistics
-from groundplan.plans.driver_queries import _GRID, _PARTS, _PLACED, _ROUNDS, _parts, _placed, _round, _rounds, behaviour_grid
+from groundplan.operators import coords, frames, grid, records, rounds, statistics
+from groundplan.plans.driver_queries import _GRID, _PARTS, _PLACED, _ROUNDS, _parts, _placed, _round, _rounds, behaviour_grid, tail_sql
 from groundplan.sources import recordings as rec
 from groundplan.sources import tables
 from groundplan.sources.folders import new_folder
@@ -173,7 +173,40 @@ def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def correlation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = statistics.correlation_matrix(_metrics(spark, sf_dir), ["a", "b"], ["u", "v", "flat"], ["map_name"])
-    return statistics.with_p_value(statistics.with_p_value(found, "spearman_rho", "n", "spearman_p"), "pearson_r", "n", "pearson_p")
+    found = statistics.with_p_value(statistics.with_p_value(found, "spearman_rho", "n", "spearman_p"), "pearson_r", "n", "pearson_p")
+    return _round(found, "spearman_rho", "pearson_r", "spearman_p", "pearson_p")
+
+
+def correlation_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns with nulls: each pair goes over the rows where both are known."""
+    holes = _metrics(spark, sf_dir).withColumns({"u": F.expr("CASE WHEN id % 3 <> 0 THEN u END"), "b": F.expr("CASE WHEN id % 5 <> 0 THEN b END")})
+    return _round(statistics.correlation_matrix(holes, ["a", "b"], ["u", "v"], ["map_name"]), "spearman_rho", "pearson_r")
+
+
+def source_comparison_r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = ["ECONOMY", "SMALL"]
+    found = statistics.correlation_matrix(_metrics(spark, sf_dir).where(F.col("source").isin(kinds)), ["a", "b"], ["u", "v"], ["map_name", "source"])
+    out = statistics.source_comparison(found, ["map_name"], kinds, values={"spearman_rho": "rho", "pearson_r": "r"})
+    return _round(out, *(f"{k}_{v}" for k in kinds for v in ("rho", "r")))
+
+
+def flow_in_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow and visits of samples in walkable cells only: the others leave before samples are paired."""
+    placed = _placed(rec.game_events(spark, sf_dir)).withColumn("map_name", F.col("map_id").cast("string"))
+    cells = rec.event_cells(spark, sf_dir)
+    inside = coords.in_grid(placed, cells)
+    return grid.visits(inside).join(grid.flow(inside), ["map_id", "row", "col"], "left").fillna(0, ["flow"])
+
+
+def prefixed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = "p_partkey AS CCSPlayerPawn_X, p_size AS pawn_Y, p_size + 1 AS other_Y, p_partkey % 7 AS Z, p_partkey % 5 AS body_Z, p_partkey % 100 AS m_iHealth_health, p_brand AS name"
+    return records.unprefix(rec.read(spark, sf_dir, "part").selectExpr(*names.split(", ")))
+
+
+def one_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of one map, with the guard that fails at any other."""
+    tracks = rec.tracks(spark, sf_dir).select("id", "map_name", "x", "y")
+    return records.assert_same_map(records.only_map(tracks, "n7"), "n7")
 
 
 def source_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,10 +247,15 @@ def _ranks(columns: str, by: str = "map_name") -> str:
     return f"rk AS (SELECT *, {', '.join(map(rank, columns))} FROM me)"
 
 
-def _pairs(pairs: list[tuple[str, str]], by: str = "map_name") -> str:
+def _pairs(pairs: list[tuple[str, str]], by: str = "map_name", exact: bool = False) -> str:
+    if exact:
+        return _pairs(pairs, by).replace("round(corr(", "(corr(").replace("), 6)", "))")
     return " UNION ALL ".join(f"SELECT {by}, '{b}' AS behaviour, '{m}' AS metric, count(*) AS n, " + ("NULL::DOUBLE AS spearman_rho, NULL::DOUBLE AS pearson_r" if m == "flat" else f"CASE WHEN count(*) >= 8 THEN round(corr(r{b}, r{m}), 6) END AS spearman_rho, CASE WHEN count(*) >= 8 THEN round(corr({b}, {m}), 6) END AS pearson_r") + f" FROM rk GROUP BY {by}" for b, m in pairs)
 
 
+#: Columns of _METRICS with nulls.
+_HOLES = {"u": "CASE WHEN id % 3 <> 0 THEN u END", "b": "CASE WHEN id % 5 <> 0 THEN b END"}
+
 ORACLES = {
     "sample_lattice": f"WITH {_PLACED} SELECT event_id, p.demo, p.round, p.tick FROM placed p JOIN rounds r ON p.demo = r.demo AND p.round = r.round WHERE (p.tick - r.start) % 4 = 0",
     "post_freeze_ticks": f"WITH {_ROUNDS} SELECT demo, round, unnest(range(freeze_tick + 4, freeze_tick + 4 + 15, 4)) AS tick FROM rounds WHERE freeze_tick IS NOT NULL",
@@ -249,6 +287,19 @@ SELECT match_id, array_to_string(list_sort(list(map_name)), ',') AS wanted FROM
     "csv_round_trip": "SELECT p_partkey, p_name AS p_name_x, p_retailprice FROM part",
     "json_round_trip": f"WITH {_LABELLED} SELECT map_name, top || '/' || o_orderkey || '_x' AS demo_id, rounds, size_bytes FROM re",
     "correlation_matrix": f"WITH {_METRICS}, {_ranks('abuv')} {_pairs([(b, m) for b in 'ab' for m in ('u', 'v', 'flat')])}",
+    "correlation_nulls": f"WITH {_METRICS}, " + ", ".join(f"h{b}{m} AS (SELECT map_name, x, y, rank() OVER (PARTITION BY map_name ORDER BY x) + (count(*) OVER (PARTITION BY map_name, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY map_name ORDER BY y) + (count(*) OVER (PARTITION BY map_name, y) - 1) / 2 AS ry FROM (SELECT map_name, {_HOLES.get(b, b)} AS x, {_HOLES.get(m, m)} AS y FROM me) WHERE x IS NOT NULL AND y IS NOT NULL)" for b in "ab" for m in "uv")
+    + " " + " UNION ALL ".join(f"SELECT map_name, '{b}' AS behaviour, '{m}' AS metric, count(*) AS n, CASE WHEN count(*) >= 8 THEN round(corr(rx, ry), 6) END AS spearman_rho, CASE WHEN count(*) >= 8 THEN round(corr(x, y), 6) END AS pearson_r FROM h{b}{m} GROUP BY map_name" for b in "ab" for m in "uv"),
+    "correlation_p": f"WITH {_METRICS}, {_ranks('abuv')}, c AS ({_pairs([(b, m) for b in 'ab' for m in ('u', 'v', 'flat')], exact=True)}) SELECT map_name, behaviour, metric, n, round(spearman_rho, 6) AS spearman_rho, round(pearson_r, 6) AS pearson_r, round({tail_sql('spearman_rho', 'n - 2')}, 6) AS spearman_p, round({tail_sql('pearson_r', 'n - 2')}, 6) AS pearson_p FROM c",
+    "source_comparison_r": f"""WITH {_METRICS}, {_ranks('abuv', 'map_name, source')}, p AS ({_pairs([(b, m) for b in 'ab' for m in 'uv'], 'map_name, source')})
+SELECT map_name, behaviour, metric, max(spearman_rho) FILTER (source = 'ECONOMY') AS ECONOMY_rho, max(pearson_r) FILTER (source = 'ECONOMY') AS ECONOMY_r, max(spearman_rho) FILTER (source = 'SMALL') AS SMALL_rho, max(pearson_r) FILTER (source = 'SMALL') AS SMALL_r
+FROM p WHERE source IN ('ECONOMY', 'SMALL') GROUP BY map_name, behaviour, metric""",
+    "flow_in_grid": f"""WITH {_PLACED}, gc AS (SELECT DISTINCT map_id, "row", col FROM kil WHERE "row" IS NOT NULL AND col IS NOT NULL), ins AS (SELECT placed.* FROM placed SEMI JOIN gc USING (map_id, "row", col)),
+lg AS (SELECT *, tick - lag(tick) OVER w AS gap, lag("row") OVER w AS from_row, lag(col) OVER w AS from_col FROM ins WINDOW w AS (PARTITION BY demo, player, round ORDER BY tick, event_id)),
+st AS (SELECT * FROM lg WHERE gap > 0 AND gap <= 480 AND (from_row <> "row" OR from_col <> col)), fl AS (SELECT map_id, "row", col, count(*) AS flow FROM (SELECT map_id, "row", col FROM st UNION ALL SELECT map_id, from_row, from_col FROM st) GROUP BY ALL),
+vi AS (SELECT map_id, "row", col, count(DISTINCT (demo, round)) AS visits_rounds FROM ins GROUP BY ALL) SELECT map_id, "row", col, visits_rounds, coalesce(flow, 0) AS flow FROM vi LEFT JOIN fl USING (map_id, "row", col)""",
+    "sample_rows": "SELECT p_partkey, p_brand FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY md5('1|' || p_partkey), p_partkey) <= 12",
+    "prefixed_columns": 'SELECT p_partkey AS "X", p_size AS "Y", p_size + 1 AS "other_Y", p_partkey % 7 AS "Z", p_partkey % 5 AS "body_Z", p_partkey % 100 AS health, p_brand AS name FROM part',
+    "one_map": "SELECT c_custkey AS id, 'n7' AS map_name, c_acctbal AS x, (c_custkey * 37 % 9973)::DOUBLE AS y FROM customer WHERE c_nationkey = 7",
     "source_comparison": f"""WITH {_METRICS}, {_ranks('abuv', 'map_name, source')}, p AS ({_pairs([(b, m) for b in 'ab' for m in 'uv'], 'map_name, source')})
 SELECT map_name, behaviour, metric, max(spearman_rho) FILTER (source = 'ECONOMY') AS ECONOMY, max(spearman_rho) FILTER (source = 'SMALL') AS SMALL FROM p WHERE source IN ('ECONOMY', 'SMALL') GROUP BY map_name, behaviour, metric""",
     "metric_correlations": f"WITH {_METRICS} SELECT map_name, count(*) AS n, round(corr(a, u), 6) AS a_vs_u, round(corr(a, v), 6) AS a_vs_v, round(corr(b, u), 6) AS b_vs_u FROM me GROUP BY map_name HAVING count(*) > 75",
@@ -262,5 +313,4 @@ SELECT map_name, n, round(low, 6) AS low, round(high, 6) AS high, round(high / n
 SELECT brand, CAST(least(floor((x - lo) / ((hi - lo) / 17)), 16) AS BIGINT) AS bin, count(*) AS "count", round(count(*) / n / ((hi - lo) / 17), 6) AS density FROM l JOIN s USING (brand) GROUP BY brand, bin, n, hi, lo""",
 }
 
-#: Without SQL: correlation_p needs the tail of Student's t, sample_rows goes by Spark's own hash; both are tested.
-QUERIES = {name: globals()[name] for name in [*ORACLES, "correlation_p", "sample_rows"]}
+QUERIES = {name: globals()[name] for name in ORACLES}

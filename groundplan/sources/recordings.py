@@ -49,6 +49,12 @@ def kills(ev: DataFrame) -> DataFrame:
     return ev.where("event_type = 'purchase'").selectExpr("event_id", "demo", "map_id", "tick", "x", "y", "(x * 7 + 13) % 100 AS vx", "y / 2 AS vy", "cast(2 + event_id % 3 AS int) AS team_num")
 
 
+def event_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with kills, as the walkable ones of the maps of events: (map_name, row, col)."""
+    at = kills(game_events(spark, sf_dir)).selectExpr("cast(map_id AS string) AS map_name", "floor(y / 20) AS row", "floor(x / 10) AS col")
+    return at.where("row is not null and col is not null").distinct()
+
+
 def walkable_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of 16 x 16 maps with walls, 1024 parts a map, so the number of maps grows with the table."""
     part = read(spark, sf_dir, "part").selectExpr("concat('m', cast(floor(p_partkey / 1024) AS string)) AS map_name", "cast(p_size % 16 AS bigint) AS r", "cast(p_partkey % 16 AS bigint) AS c")

@@ -162,6 +162,47 @@ def test_nearest_segment_equals_brute_force(spark):
     assert got == want
 
 
+def test_long_lines_pass_few_squares_and_crowded_ones_are_cut(spark):
+    schema = "map_name string, line_id long, x1 double, y1 double, x2 double, y2 double"
+    long = spark.createDataFrame([("m", 1, 0.0, 0.0, 4096.0, 4096.0), ("m", 2, 0.0, 0.0, 0.0, 4096.0), ("m", 3, 7.0, -3.0, 7.0, -3.0)], schema)
+    count = {x.line_id: x["count"] for x in space._squares(long, 16).groupBy("line_id").count().collect()}
+    assert count[1] <= 3 * 257 and count[2] == 257 and count[3] == 1
+    rng = np.random.default_rng(9)
+    lines = [("m", int(i), *map(float, np.round(rng.normal(100, 60, 4) if i % 3 else rng.integers(90, 120, 4)))) for i in range(150)]
+    lines += [("m", 900, 16.0, 16.0, 32.0, 16.0), ("m", 901, 32.0, 16.0, 32.0, 64.0), ("m", 902, 24.0, 16.0, 24.0, 16.0), ("m", 903, 16.0, 16.0, 48.0, 16.0), ("n", 904, 16.0, 16.0, 48.0, 16.0)]
+
+    def turn(p, q, r):
+        v = (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+        return (v > 0) - (v < 0)
+
+    def meet(s, t):
+        a, b, c, d = s[:2], s[2:], t[:2], t[2:]
+        box = all(min(a[k], b[k]) <= max(c[k], d[k]) and min(c[k], d[k]) <= max(a[k], b[k]) for k in (0, 1))
+        return box and turn(a, b, c) * turn(a, b, d) <= 0 and turn(c, d, a) * turn(c, d, b) <= 0
+
+    want = {(p[1], q[1]) for p in lines for q in lines if p[1] != q[1] and p[0] == q[0] and meet(p[2:], q[2:])}
+    df = spark.createDataFrame(lines, schema)
+    for crowd in (256, 20):
+        assert {(x.r, x.r2) for x in space.line_contacts(df, 16, crowd).collect()} == want
+
+
+def test_scan_lines_equal_crossing_counts(spark):
+    rng = np.random.default_rng(11)
+    shapes = [[tuple(map(float, p)) for p in np.round(rng.uniform(-8, 30, (n, 2)), rng.integers(0, 3))] for n in (3, 4, 5, 9, 30, 2)]
+    shapes += [[(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0)], [(0.5, 0.5), (4.5, 0.5), (4.5, 3.5), (0.5, 3.5)], [(1.0, 1.0), (5.0, 1.0), (9.0, 1.0)]]
+    df = spark.createDataFrame([(f"m{k}", s) for k, s in enumerate(shapes)], "map_name string, corners array<struct<x: double, y: double>>")
+    for cell in (1.0, 2.5):
+        want = set()
+        for k, s in enumerate(shapes):
+            for r in range(-20, 40):
+                for c in range(-20, 40):
+                    x, y = (c + 0.5) * cell, (r + 0.5) * cell
+                    odd = sum((p[1] > y) != (q[1] > y) and x < p[0] + (y - p[1]) * (q[0] - p[0]) / (q[1] - p[1]) for p, q in zip(s, s[1:] + s[:1])) % 2
+                    if odd and len(s) > 2:
+                        want.add((f"m{k}", r, c))
+        assert {tuple(x) for x in space.rasterise(df, cell).collect()} == want
+
+
 def test_simplify_equals_a_plain_recursion(spark):
     def plain(p):
         if len(p) < 3:
@@ -184,13 +225,38 @@ def test_simplify_equals_a_plain_recursion(spark):
 
 
 def test_p_values(spark):
-    t, n = 20.679044253704944 / 13.912414050907168, 156
-    assert math.isclose(kernels.two_sided_p(np.array([t]), np.array([n - 2.0]))[0], 0.1392247594525253, rel_tol=1e-9)
-    # one degree of freedom: the arctangent
-    assert np.allclose(kernels.two_sided_p(np.array([0.0, 0.5, 3.0, 50.0]), np.ones(4)), [1 - 2 / math.pi * math.atan(x) for x in (0, 0.5, 3, 50)])
-    df = spark.createDataFrame([(0.0, 10), (1.0, 10), (None, 10), (0.5, 2), (-0.5, 3)], "r double, n long")
+    def p(t, free):
+        r = t / math.sqrt(t * t + free)
+        return spark.range(1).select(statistics.correlation_tail(F.lit(r), F.lit(free)).alias("p")).first().p
+
+    t, n = 20.679044253704944 / 13.912414050907168, 156  # a fixed value: slope, its error and p of a regression of the goldens
+    assert math.isclose(p(t, n - 2), 0.1392247594525253, rel_tol=1e-9)
+    # one degree of freedom: the arctangent; two: a root
+    assert np.allclose([p(x, 1) for x in (0.0, 0.5, 3.0, 50.0)], [1 - 2 / math.pi * math.atan(x) for x in (0, 0.5, 3, 50)])
+    assert np.allclose([p(x, 2) for x in (0.0, 0.5, 3.0, 50.0)], [1 - x / math.sqrt(2 + x * x) for x in (0, 0.5, 3, 50)])
+    # many degrees: the sum, and the normal tail of a transformed t beside it
+    for x in (0.3, 1.7, 4.2):
+        assert abs(p(x, statistics.SUMMED) - p(x, statistics.SUMMED + 2)) < 1e-8 and abs(p(x, 10**9) - math.erfc(x / math.sqrt(2))) < 1e-9
+    assert p(40.0, 10**6) == 0
+    df = spark.createDataFrame([(0.0, 10), (1.0, 10), (None, 10), (0.5, 2), (-0.5, 3), (-1.0, 4)], "r double, n long")
     got = [x.p for x in statistics.with_p_value(df, "r", "n", "p").collect()]
-    assert got[:4] == [1.0, 0.0, None, None] and math.isclose(got[4], 1 - 2 / math.pi * math.atan(0.5 / math.sqrt(0.75)))
+    assert got[0] == 1 and got[1] < 1e-15 and got[5] < 1e-15 and got[2:4] == [None, None] and math.isclose(got[4], 1 - 2 / math.pi * math.atan(0.5 / math.sqrt(0.75)))
+
+
+def test_correlations_of_columns_with_nulls(spark):
+    rng = np.random.default_rng(7)
+    rows = [("g", k, float(rng.integers(0, 9)), float(rng.normal()), None if k % 2 else float(rng.integers(0, 5)), 3.0) for k in range(40)] + [("h", k, 1.0 * k, 2.0 * k, None, 1.0) for k in range(9)]
+    df = spark.createDataFrame(rows, "g string, k long, a double, b double, c double, flat double")
+    got = {(x.g, x.behaviour, x.metric): (x.n, x.spearman_rho, x.pearson_r) for x in statistics.correlation_matrix(df, ["a", "c"], ["b", "c", "flat"], ["g"]).collect()}
+    import pandas as pd
+
+    frame = pd.DataFrame(rows, columns=["g", "k", "a", "b", "c", "flat"])
+    assert len(got) == 12 and got["g", "a", "b"][0] == 40 and got["h", "a", "c"] == (0, None, None) and got["g", "a", "flat"][1:] == (None, None)
+    for x, y in (("a", "b"), ("a", "c"), ("c", "b")):
+        own = frame[frame.g == "g"][[x, y]].dropna()
+        n, rho, r = got["g", x, y]
+        assert n == len(own) and math.isclose(r, own[x].corr(own[y])) and math.isclose(rho, own[x].rank().corr(own[y].rank()))
+    assert math.isclose(got["h", "a", "b"][1], 1)
 
 
 def test_correlation_p_query(spark):
@@ -205,10 +271,15 @@ def test_constant_sides_and_few_rows(spark):
     assert {x.g: x.r for x in statistics.linregress(df, "x", "y", ["g"]).collect()}["a"] is None
 
 
-def test_seeded_sample_is_the_same_and_whole(spark):
+def test_seeded_sample_is_the_same_and_whole(spark, monkeypatch):
     df = spark.range(200).selectExpr("id", "id % 3 AS g")
     a, b = (sorted(tuple(x) for x in records.sample_rows(d, "id", ["g"], 7).collect()) for d in (df, df.repartition(5)))
     assert a == b and len(a) == 21 and records.sample_rows(df, "id", ["g"], 500).count() == 200
+    assert "WindowGroupLimit" in records.sample_rows(df, "id", ["g"], 7)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(records, "LIMITED", 3)
+    assert sorted(tuple(x) for x in records.sample_rows(df, "id", ["g"], 7).collect()) == a
+    least = sorted((hashlib.md5(f"1|{i}".encode()).hexdigest(), i) for i in range(0, 200, 3))[:7]
+    assert sorted(i for _, i in least) == [i for i, g in a if g == 0]
 
 
 def test_sums_of_flow_and_territory(spark):
@@ -292,8 +363,13 @@ def test_file_inventory(spark, tmp_path):
     (tmp_path / "a.dem").write_bytes(b"z")
     (tmp_path / "empty.dem").write_bytes(b"")
     (tmp_path / "b" / "y.txt").write_bytes(b"no")
-    got = [(x.path.rsplit("/", 1)[1], x.size_bytes, x.sha256) for x in tables.file_inventory(spark, f"file://{tmp_path}").collect()]
-    assert got == [("a.dem", 1, hashlib.sha256(b"z").hexdigest()), ("x.dem", 3, hashlib.sha256(b"abc").hexdigest())]
+    (tmp_path / "b" / "é x.dem").write_bytes(b"\x00" * 5000)
+    want = [("a.dem", b"z"), ("x.dem", b"abc"), ("é x.dem", b"\x00" * 5000), ("empty.dem", b"")]
+    for limit in (1 << 30, 2):  # all at once, or all but one in parts
+        out = tables.file_inventory(spark, f"file://{tmp_path}", limit=limit).collect()
+        assert [(x.path.rsplit("/", 1)[1], x.size_bytes, x.sha256) for x in out] == [(n, len(b), hashlib.sha256(b).hexdigest()) for n, b in want]
+    sizes = [(x.path.rsplit("/", 1)[1], x.size_bytes, x.sha256) for x in tables.file_inventory(spark, f"file://{tmp_path}", hashed=False).collect()]
+    assert sizes == [(n, len(b), None) for n, b in want]
 
 
 # ---- records ---------------------------------------------------------------------------------------------------------
