@@ -3,22 +3,64 @@ import itertools
 import random
 import re
 
-from groundplan.llm.html_text import common_lines, extract_text, lines_of, op3_html_extraction
+import pandas as pd
+
+from groundplan.llm.html_text import all_lines, common_lines, extract_text, lines_of, main_text, op3_html_extraction
 
 from .helpers import SF, real
 
 
+def article(page):
+    body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    blocks = [html.unescape(re.sub(r"<[^>]*>", "", re.sub("<br>", " ", b))) for b in re.split(r"</?(?:p|h1)>", body)]
+    return "\n\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
+
+
 def test_query_equals_a_plain_version(spark):
     got = {r.page_id: (r.url, r.text, r.n_chars) for r in op3_html_extraction(spark, SF).collect()}
     pages = real("pages")
     assert len(got) == len(pages)
     for p in pages.itertuples():
-        body = re.search(r"<article>(.*?)</article>", p.html, re.S)[1]
-        blocks = [html.unescape(re.sub(r"<[^>]*>", "", re.sub("<br>", " ", b))) for b in re.split(r"</?(?:p|h1)>", body)]
-        text = "\n\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
+        text = article(p.html)
         assert got[p.page_id] == (p.url, text, len(text))
 
 
+def test_structure_alone_finds_the_texts_of_the_given_pages():
+    """Without names of tags and classes, and without the article mark: differencing of structure decides. All pages that have a neighbour are exact here."""
+    address = lambda url: re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)", url).groups()
+    pages = sorted((address(p.url)[0].lower(), address(p.url)[1], p.page_id, p.html) for p in pd.read_parquet(f"{SF}/../sf0.01/pages.parquet").itertuples())
+    lines = [all_lines(p[3], names=False) for p in pages]
+    exact = alone = 0
+    for k, p in enumerate(pages):
+        beside = [lines[j] for j in (k - 1, k + 1) if 0 <= j < len(pages) and pages[j][0] == p[0]]
+        alone += not beside
+        exact += bool(beside) and main_text(lines[k], beside) == article(p[3])
+    assert exact == len(pages) - alone and alone < 10
+
+
+def test_frames_whose_text_and_names_say_nothing(spark):
+    """Containers that stand in the same place on both neighbours, beside the one with most unshared text, are frame."""
+    words = lambda k, n: " ".join(f"w{(k * 7919 + j * j) % 997}" for j in range(n))
+    page = "<body><div class='x1'><p>{}</p></div><div class='x2'><h1>{}</h1><p>{}</p><ul><li>{}</li></ul></div><div class='x3'><span>{}</span></div>{}</body>"
+    rows = [(k, f"http://h.com/{k}", page.format(words(k, 5), words(k + 50, 3), words(k + 100, 60), words(k + 150, 9), words(k + 200, 8), f"<div class='once'><p>{words(7, 9)}</p></div>" if k == 3 else "")) for k in range(6)]
+    want = {k: "\n\n".join([words(k + 50, 3), words(k + 100, 60), words(k + 150, 9), *([words(7, 9)] if k == 3 else [])]) for k in range(6)}
+    two = "<body><div class='a'><p>{}</p></div><div class='b'><p>{}</p></div></body>"  # both parts are text
+    rows += [(10 + k, f"http://t.com/{k}", two.format(words(k + 300, 40), words(k + 400, 28))) for k in range(4)]
+    want |= {10 + k: f"{words(k + 300, 40)}\n\n{words(k + 400, 28)}" for k in range(4)}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (1 << 20, 500):
+        assert {r.page_id: r.text for r in extract_text(df.repartition(3), size).collect()} == want
+
+
+def test_names_of_comments_and_notices_within_the_article():
+    kept = lambda inner: [text for text, _ in lines_of(f"<article><p>Text</p>{inner}<p>End</p></article>")]
+    for name in ("class='user-comment'", "class='comment-thread'", "class='post-comments'", "id='disqus_thread'", "class='share-buttons'", "class='cookie-notice-text'", "class='advertisement-label'", "role='complementary'", "class='topbar'"):
+        assert kept(f"<div {name}><p>Own</p>more</div>") == ["Text", "End"], name
+        frame = [x.text for x in all_lines(f"<article><p>Text</p><div {name}><p>Own</p>more<script>no</script></div></article>") if x.named]
+        assert frame == ["Own", "more"]
+    assert kept("<label>Name</label>") == ["Text", "End"] and kept("<div class='post-text'>Own</div>") == ["Text", "Own", "End"]
+
+
 def test_frames_and_edges(spark):
     frame = "<html><head><title>t</title></head><body><div>Top line</div>{}<div>Bottom line</div></body>"
     rows = [
@@ -42,6 +84,7 @@ def test_common_lines_are_longest():
     for _ in range(200):
         a, b = ([rng.choice("abc") for _ in range(rng.randrange(8))] for _ in range(2))
         got = common_lines(a, b)
+        assert all(len(common_lines(a, b, most)) == len(got) for most in (0, 4, 12))
         best = max(n for n in range(len(a) + 1) for c in itertools.combinations(a, n) if all(x in it for it in [iter(b)] for x in c))
         it = iter(b)
         assert len(got) == best and all(a[i] in it for i in sorted(got))
