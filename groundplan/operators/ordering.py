@@ -15,22 +15,28 @@ from pyspark.sql import functions as F
 from groundplan.sources.folders import written
 
 
-def with_places(df: DataFrame, by: list[str], order: list[Column | str], value: str | None = None) -> DataFrame:
+def with_places(df: DataFrame, by: list[str], order: list[Column | str], value: str | None = None, only: Column | None = None) -> DataFrame:
     """Adds place (from 1) and n, the size of the group; with value, also run, the sum of value up to the row, and total.
 
-    order must decide between all rows of a group, or else the places of equal ones are any. Null is a group of its own.
+    order must decide between all rows of a group, or else the places of equal ones are any. Null is a group of its own. only is a condition on n, first_place
+    and last_place of a group's part in a range: rows of other parts leave before they are sorted.
     """
     ranged = written(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     sums = [F.count("*").alias("_rows"), *([F.sum(value).alias("_sum")] if value else [])]
     parts = ranged.groupBy(*by, "_range").agg(*sums)
     before, all_ = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
     earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    parts = parts.select(*(F.col(c).alias(f"_{k}") for k, c in enumerate(by)), F.col("_range").alias("_at"), earlier("_rows").alias("_earlier"), F.sum("_rows").over(all_).alias("n"), *([earlier("_sum").alias("_run"), F.sum("_sum").over(all_).alias("total")] if value else []))
+    parts = parts.select(*(F.col(c).alias(f"_{k}") for k, c in enumerate(by)), F.col("_range").alias("_at"), earlier("_rows").alias("_earlier"), "_rows", F.sum("_rows").over(all_).alias("n"), *([earlier("_sum").alias("_run"), F.sum("_sum").over(all_).alias("total")] if value else []))
+    parts = parts.withColumns({"first_place": F.col("_earlier") + 1, "last_place": F.col("_earlier") + F.col("_rows")})
+    same = reduce(lambda x, y: x & y, [F.col("_range") == F.col("_at"), *(F.col(c).eqNullSafe(F.col(f"_{k}")) for k, c in enumerate(by))])
+    rows = ranged
+    if only is not None:
+        parts = parts.where(only)
+        rows = ranged.join(parts.select("_at", *(f"_{k}" for k in range(len(by)))), same, "left_semi")
     own = Window.partitionBy(*by, "_range").orderBy(*order)
-    rows = ranged.withColumn("_in", F.row_number().over(own))
+    rows = rows.withColumn("_in", F.row_number().over(own))
     if value:
         rows = rows.withColumn("_in_sum", F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    same = reduce(lambda x, y: x & y, [F.col("_range") == F.col("_at"), *(F.col(c).eqNullSafe(F.col(f"_{k}")) for k, c in enumerate(by))])
     out = rows.join(parts, same).select(*df.columns, (F.col("_in") + F.col("_earlier")).alias("place"), "n", *([(F.coalesce("_in_sum", F.lit(0)) + F.col("_run")).alias("run"), "total"] if value else []))
     return out
 
@@ -44,11 +50,13 @@ def tile(tiles: int) -> Column:
 
 def quantiles(df: DataFrame, value: str, by: list[str], qs: dict[str, float]) -> DataFrame:
     """By group, the quantiles of value by their names, between the two nearest values in proportion; nulls do not count. A group of nulls has no row."""
-    placed = with_places(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")), by, ["_v"])
     at = {name: (F.col("n") - 1) * q for name, q in qs.items()}
     low = {name: F.floor(c) + 1 for name, c in at.items()}
     high = {name: F.ceil(c) + 1 for name, c in at.items()}
-    needed = placed.where(reduce(lambda a, b: a | b, [F.col("place").between(low[k], high[k]) for k in qs]))
+    either = lambda conditions: reduce(lambda a, b: a | b, conditions)
+    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    placed = with_places(known, by, ["_v"], only=either([(F.col("first_place") <= high[k]) & (F.col("last_place") >= low[k]) for k in qs]))
+    needed = placed.where(either([F.col("place").between(low[k], high[k]) for k in qs]))
     pick = lambda c: F.max(F.when(F.col("place") == c, F.col("_v")))
     found = needed.groupBy(*by).agg(F.max("n").alias("n"), *(pick(low[k]).alias(f"_low_{k}") for k in qs), *(pick(high[k]).alias(f"_high_{k}") for k in qs))
     value_of = lambda k: F.col(f"_low_{k}") + (F.col(f"_high_{k}") - F.col(f"_low_{k}")) * (at[k] - F.floor(at[k]))
