@@ -35,6 +35,11 @@ def test_edges(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_leave(spark):
+    rows = [(1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [1.0, 0.01]), (None, None)]
+    assert got(near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))) == brute([rows[0], rows[2]])
+
+
 def test_many_blocks_and_a_large_group(spark, monkeypatch):
     rng = np.random.default_rng(5)
     hub = rng.normal(size=8)

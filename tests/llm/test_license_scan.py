@@ -127,3 +127,10 @@ def test_whole_texts_and_shared_disclaimers(spark):
     assert len(words_of(shared)) > LONG and 0 < got[5].score < COVERED and all(got[i].score == 1 for i in (0, 1, 2, 3, 4, 6))
     no_id = scan_licenses(documents(spark, [MIT, None]).selectExpr("cast(null as long) as doc_id", "text")).collect()
     assert sorted(r.labels for r in no_id) == ["", "mit"]
+
+
+def test_repeated_rows_and_rows_without_an_id(spark):
+    rows = [(1, "the MIT License, and"), (1, "the MIT License, and"), (2, None), (2, None), (None, "apache license"), (3, "x" * 200_000 + " general public license")]
+    out = scan_licenses(documents(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(3)).collect()
+    got = sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.base_labels) for r in out), key=str)
+    assert got == sorted([(1, 4, 1, 1, "mit")] * 2 + [(2, 0, 0, None, "")] * 2 + [(None, 2, 1, 0, "apache"), (3, 4, 1, 1, "gpl")], key=str)

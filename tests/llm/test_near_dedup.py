@@ -63,3 +63,12 @@ def test_words_that_polynomial_hashes_confuse(spark):
     texts = [a, b, f"{a} {b} c", f"{b} {a} c", f"{a} {b} c"]
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(documents(spark, texts), 2).collect()}
     assert got == brute(list(enumerate(texts)), 2)
+
+
+def test_repeated_rows_and_rows_without_an_id(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, base), (1, base), (2, base + " x"), (2, base + " x"), (3, "something else here"), (4, None), (4, None), (None, base), (None, None)]
+    out = near_duplicates(documents(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(3), 2).collect()
+    want = brute([(i, t) for i, t in dict(rows).items() if i is not None], 2)
+    assert sorted(r.doc_id for r in out) == [1, 1, 2, 2, 3, 4, 4]
+    assert all((r.n_shingles, r.component_id, r.kept) == want[r.doc_id] for r in out)
