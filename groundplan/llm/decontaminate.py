@@ -4,8 +4,8 @@ An alignment with m equal words and e words changed, put in or left out scores m
 next, at most e / 2 cross more than one such edit, so at least score - 1 steps cross one or none: both words are within two places of
 each other in the item and in the passage. A pair with a score of threshold * words therefore shares, whatever the edits are, the pair
 (word, next word) or (word, next but one) of at least threshold * words - 1 of the item's places. That many, c, must be shared, so k of any
-places - c + k places are: each item is looked up by so many of its rarest places, counted in a sample of the documents. The sample
-decides only how many pairs are looked at, not which are found. Passages are long enough to hold such an alignment whole, and overlap by half.
+places - c + k places are: each item is looked up by so many of its rarest places, counted in all documents. Passages are long enough to hold
+such an alignment whole, and overlap by half.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ LEAST = 4
 HALF = 64
 #: Bits of the bitmap of seeds, 1 MB whatever the number of items.
 BITS = 1 << 23
-#: One of so many documents is in the sample that tells rare seeds.
-SAMPLE = 64
 
 
 def pairs(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,6 +209,15 @@ def _bitmap(seeds: DataFrame) -> bytes:
     return bytes(out)
 
 
+def rare_places(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """item, at, gram, k: the places of each item whose pairs are rarest in all documents, so many that k of them must be shared."""
+    counts = docs.select("text").mapInArrow(_counts(_bitmap(seeds)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    places = seeds.join(counts, "gram", "left").groupBy("item", "at").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.first("n_words").alias("n_words"), F.first("need").alias("need"))
+    # items are short, and this is one row for each of their words
+    places = places.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("n", "at"))).withColumn("k", F.greatest(F.floor(F.col("need") / 4), F.lit(1)))
+    return seeds.select("item", "at", "gram").join(places.where("r <= n_words - 1 - need + k").select("item", "at", "k"), ["item", "at"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row per document and test item that it holds, whole or edited: doc_id, item_id, score, n_passages.
 
@@ -225,11 +232,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5)
     longest = seeds.agg(F.max("n_words")).first()[0] or 0
     half = max(HALF, math.ceil(longest * max(1, 3 - 2 * threshold)))  # all words equal, and as many put in as the threshold allows
 
-    common = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_counts(_bitmap(seeds)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    places = seeds.join(common, "gram", "left").groupBy("item", "at").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.first("n_words").alias("n_words"), F.first("need").alias("need"))
-    # items are short, and this is one row for each of their words
-    places = places.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("n", "at"))).withColumn("k", F.greatest(F.floor(F.col("need") / 4), F.lit(1)))
-    rare = saved(seeds.select("item", "at", "gram").join(places.where("r <= n_words - 1 - need + k").select("item", "at", "k"), ["item", "at"]), "rare")
+    rare = saved(rare_places(docs, seeds), "rare")
     passages = saved(docs.mapInArrow(_passages(_bitmap(rare), half), "doc_id long, passage long, grams array<long>, text string"), "passages")
 
     held = passages.select("doc_id", "passage", F.explode("grams").alias("gram"))
