@@ -102,22 +102,30 @@ def test_items_of_one_to_three_words_equal_brute_force(spark):
     assert {d for d, k in got if k == 8} == {d for d, t in rows if words(t) and plain(words(t), words(items[8])) >= 2}
 
 
-def test_rare_places_are_counted_in_all_documents(spark):
-    rng = random.Random(11)
-    items = [[f"i{k}w{j}" for j in range(n)] for k, n in enumerate((9, 12, 20, 33))]
-    texts = [None, "", *(" ".join(rng.choice(items)[rng.randint(0, 6) :][: rng.randint(2, 12)]) for _ in range(400))]
+def rare(texts, item, threshold=0.5):
+    """(at, k) of an item whose words differ, by counting its pairs in all texts."""
     seen = {}
     for t in map(words, texts):
-        for d in (1, 2):
-            for pair in zip(t, t[d:]):
-                seen[pair] = seen.get(pair, 0) + 1
+        for pair in [*zip(t, t[1:]), *zip(t, t[2:])]:
+            seen[pair] = seen.get(pair, 0) + 1
+    count = [sum(seen.get((item[j], x), 0) for x in item[j + 1 : j + 3]) for j in range(len(item) - 1)]
+    need = needed(len(item), threshold)
+    k = max(need // 4, 1)
+    return {(j, k) for j in sorted(range(len(count)), key=lambda j: (count[j], j))[: len(count) - need + k]}
+
+
+def scraps(rng):
+    """Items, and texts that hold parts of them, so often that the rarest places aren't the first."""
+    items = [[f"i{k}w{j}" for j in range(n)] for k, n in enumerate((9, 12, 20, 33))]
+    return items, [None, "", *(" ".join(rng.choice(items)[rng.randint(0, 6) :][: rng.randint(2, 12)]) for _ in range(400))]
+
+
+def test_rare_places_are_counted_in_all_documents(spark):
+    items, texts = scraps(random.Random(11))
     bench = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item long, text string")
     seeds = bench.mapInArrow(_item_pairs(0.5), "item long, at long, gram long, n_words long, need long")
     got = rare_places(documents(spark, texts), seeds).collect()
     for k, item in enumerate(items):
-        count = [seen.get((item[j], item[j + 1]), 0) + (seen.get((item[j], item[j + 2]), 0) if j + 2 < len(item) else 0) for j in range(len(item) - 1)]
-        need = needed(len(item), 0.5)
-        few = max(need // 4, 1)
-        rare = sorted(range(len(count)), key=lambda j: (count[j], j))[: len(count) - need + few]
-        assert {r.at for r in got if r.item == k} == set(rare) and {r.k for r in got if r.item == k} == {few}
-        assert set(rare) != set(range(len(rare)))  # the choice does depend on the counts
+        expect = rare(texts, item)
+        assert {(r.at, r.k) for r in got if r.item == k} == expect
+        assert {at for at, _ in expect} != set(range(len(expect)))  # the choice does depend on the counts

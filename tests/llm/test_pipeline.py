@@ -1,6 +1,9 @@
+import random
+
 import sentencepiece
 
 import corpus_pipeline
+from groundplan.llm import decontaminate
 from groundplan.llm.common import saved
 from groundplan.llm.quality import classify
 
@@ -46,3 +49,16 @@ def test_stages_on_odd_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
         docs = saved(out, name)
     assert [r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()] == [2]
+
+
+def test_decontamination_counts_in_all_documents(spark, tmp_path, monkeypatch):
+    items, texts = test_decontaminate.scraps(random.Random(12))
+    spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    taken, own = [], decontaminate.rare_places
+    monkeypatch.setattr(decontaminate, "rare_places", lambda docs, seeds: taken.append(own(docs, seeds)) or taken[-1])
+    corpus_pipeline.benchmark_decontamination(spark, documents(spark, texts), str(tmp_path)).collect()
+    got = {}
+    for r in taken[0].collect():
+        got.setdefault(r.item, set()).add((r.at, r.k))
+    expect = [test_decontaminate.rare(texts, item) for item in items]
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, expect))
