@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from groundplan.llm.token_files import BASE, Words, compressed, decode, lengths, op6_token_files, read_documents, write_shards
+from groundplan.llm.token_files import BASE, FREQUENT, Words, compressed, decode, frequent_pairs, lengths, op6_token_files, read_documents, write_shards
 
 from .helpers import SF, documents, real
 
@@ -63,3 +63,33 @@ def test_words_one_by_one_give_the_ids_of_the_text():
     for _ in range(3000):
         text = "".join(rng.choices(parts, k=rng.randrange(12)))
         assert np.frombuffer(words.ids([text])[0], np.uint32).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_plain_words_are_split_as_the_tokenizer_does_it():
+    words, whole, rng = Words(PATH), Tokenizer.from_file(PATH), random.Random(6)
+    assert words.splits
+    parts = [*map(chr, range(0x100)), *"  \n''ssT", "'ll", "'RE", "'ve", "'D", "!'", "é", "\u0301", "ſ", "K", "Abc", "the"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randrange(20)))
+        assert np.frombuffer(words.ids([text])[0], np.uint32).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    words.splits = False  # as for a tokenizer that splits otherwise
+    text = "It's a 12-word text, isn't it? é\n" * 3
+    assert np.frombuffer(words.ids([text])[0], np.uint32).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_the_model_is_given_each_part_once():
+    words, given = Words(PATH), []
+    tokenize = words.parts.tokenize
+    words.parts.tokenize = lambda part: given.append(part) or tokenize(part)
+    words.encode = None  # plain words don't go through the whole tokenizer
+    words.ids(["Zyxomat zyxomat, (zyxomat) ZYXOMAT! Çqzyxé\nzyxomat."] * 3)
+    assert given.count("zyxomat") == 1 and len(given) == len(set(given))
+
+
+@pytest.mark.parametrize("kinds", [5, 300, 60_000])
+def test_frequent_pairs_equal_sorting(kinds):
+    pair = np.random.default_rng(kinds).zipf(1.3, 150_000) % kinds << 32 | 7
+    pairs, count, at, which = frequent_pairs(pair, FREQUENT)
+    expect = {p: n for p, n in zip(*np.unique(pair, return_counts=True)) if n >= FREQUENT}
+    assert {p: n for p, n in zip(pairs, count) if n >= FREQUENT} == expect and (np.diff(pairs) > 0).all()
+    assert (pairs[which] == pair[at]).all() and np.isin(pair, list(expect)).sum() == np.isin(pair[at], list(expect)).sum()
