@@ -13,14 +13,16 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import gathered, packed, saved, table
 
 #: Ids of a shard, about; a longer document is a shard of its own.
 SHARD = 1 << 17
@@ -28,13 +30,14 @@ BASE = 1 << 24
 END = 1
 #: A pair must occur this often in a shard to become a rule.
 FREQUENT = 16
-#: Characters given to the tokenizer at once; longer texts are cut at a space, which never stands within a token.
-PIECE = 1 << 16
-#: Words whose ids a task keeps; then it begins anew.
+#: Characters encoded at once; longer texts are cut at a space, which never stands within a token.
+PIECE = 1 << 23
+#: Odd words whose ids a worker keeps from task to task; then it begins anew.
 KEPT_WORDS = 1 << 18
+#: Parts of words whose ids it keeps, at most (some 200 bytes each).
+KEPT_PARTS = 3 << 18
 #: Shards whose starts are sent to all tasks at most (32 MB).
 FEW = 2_000_000
-_HASHED = (1 << 17) - 1
 
 #: Stands between words that are encoded in one call, and the words of a call.
 MARK, MARK_ID, CALL = "<|startoftext|>", 49406, 256
@@ -53,54 +56,75 @@ SCHEMA = "part int, seq int, n_ids long, rules binary, lengths binary, symbols b
 
 
 def frequent_pairs(pair: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(pairs in ascending order, their counts, places, which pair stands at each place); all pairs that occur at least so often are among them.
-
-    Pairs are counted by slots of a hash. In most slots that are frequent stands one pair alone; only the others are sorted.
-    """
-    slot = (pair * 0x9E3779B1 >> 20) & _HASHED
-    counts = np.bincount(slot, minlength=_HASHED + 1)
-    at = np.flatnonzero((counts >= least)[slot])
-    own, slot = pair[at], slot[at]
-    one, state = np.empty(_HASHED + 1, np.int64), np.zeros(_HASHED + 1, np.int8)
-    one[slot], state[slot] = own, 1
-    state[slot[one[slot] != own]] = 2
-    single = np.flatnonzero(state == 1)
-    several = np.flatnonzero(state[slot] == 2)
-    sorted_pairs, which_sorted, count = np.unique(own[several], return_inverse=True, return_counts=True)
-    pairs, count = np.concatenate([one[single], sorted_pairs]), np.concatenate([counts[single], count])
-    order = np.argsort(pairs)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    one[single] = place[: len(single)]
-    which = one[slot]
-    which[several] = place[len(single) + which_sorted]
-    return pairs[order], count[order], at, which
+    """(the pairs that occur at least so often, in ascending order, their counts, places, which pair stands at each place)."""
+    a, b, n = pair >> 32, pair & 0xFFFFFFFF, len(pair)
+    high, low, bits = (int(x.max()).bit_length() if n else 0 for x in (a, b, np.array([n])))
+    if high + low + bits < 64:  # pairs and places in one number are sorted sooner than places by pairs
+        key = np.sort((a << low | b) << bits | np.arange(n))
+        place, key = key & ((1 << bits) - 1), key >> bits
+    else:
+        place = np.argsort(pair)
+        key = pair[place]
+    first = np.flatnonzero(np.r_[n > 0, key[1:] != key[:-1]])
+    count = np.diff(np.r_[first, n])
+    often = np.flatnonzero(count >= least)
+    first, count = first[often], count[often]
+    return pair[place[first]], count, place[gathered(first, count)], np.repeat(np.arange(len(often)), count)
 
 
 def compressed(ids: np.ndarray, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """(rules as rows of two symbols, symbols). The threshold of frequency is halved from round to round."""
-    seq, rules = ids.astype(np.int64), []
+    """(rules as rows of two symbols, symbols). The threshold of frequency is halved from round to round.
+
+    Frequent pairs are numbered (0: none, or a rare one). No pair of symbols that are there is more frequent in a later round, so only the pairs that new
+    symbols make are looked up.
+    """
+    both, rules = np.zeros((len(ids), 2), np.int32), []
+    seq, own = both.T
+    seq[:] = ids
+    known = np.zeros(1, np.int64)
+
+    def number(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pairs, n, near, which = frequent_pairs(seq[at].astype(np.int64) << 32 | seq[at + 1], frequent)
+        left = count - np.bincount(own[at], minlength=len(count))
+        own[at] = 0
+        own[at[near]] = len(known) + which
+        return np.concatenate([known, pairs]), np.concatenate([left, n])
+
+    count = np.zeros(1, np.int64)
+    known, count = number(np.arange(len(seq) - 1))
     least = max(frequent, len(seq) // 128)
     while len(seq) > 1:
-        found, count, at, which = frequent_pairs(seq[:-1] << 32 | seq[1:], least)
-        value = np.where(count >= least, count * len(found) + np.arange(len(found)), 0)[which]
-        rank = np.zeros(len(seq) + 1, np.int64)  # of the pair that begins here; 0: not frequent
-        rank[at + 1] = value
-        # a place is taken if no place beside it has a more frequent pair; of equal ones (aaa), the first
-        ok = np.flatnonzero((value > 0) & (value > rank[at]) & (value >= rank[at + 2]))
-        if not len(ok):
+        found = np.flatnonzero(count[1:] >= least) + 1
+        if not len(found):
             if least <= frequent:
                 break
             least = max(frequent, least // 2)
             continue
-        taken, which = at[ok], which[ok]
+        found = found[np.argsort(known[found])]
+        order = np.argsort(count[found], kind="stable")
+        rank = np.zeros(len(known), np.int32)  # 0: not frequent
+        rank[found[order]] = np.arange(1, len(found) + 1)
+        value = np.zeros(len(seq) + 2, np.int32)
+        rank.take(own, out=value[1:-1], mode="clip")
+        # a place is taken if no place beside it has a more frequent pair; of equal ones (aaa), the first
+        taken = np.flatnonzero((value[1:-1] > value[:-2]) & (value[1:-1] >= value[2:]))
+        which = order[value[taken + 1] - 1]
         used = np.zeros(len(found), bool)
         used[which] = True
         seq[taken] = BASE + len(rules) - 1 + np.cumsum(used)[which]
-        rules += [(p >> 32, p & 0xFFFFFFFF) for p in found[used].tolist()]
+        rules += [(p >> 32, p & 0xFFFFFFFF) for p in known[found[used]].tolist()]
         keep = np.ones(len(seq), bool)
         keep[taken + 1] = False
-        seq = seq[keep]
+        count -= np.bincount(own[taken + 1], minlength=len(count))
+        both = both.view(np.int64)[keep[:, None]].view(np.int32).reshape(-1, 2)
+        seq, own = both.T
+        new = np.zeros(len(seq) + 1, bool)
+        at = taken - np.arange(len(taken))
+        new[at] = new[at - 1] = True  # -1 is behind the end
+        if new[len(seq) - 1]:  # no pair begins at the end
+            count[own[-1]] -= 1
+            own[-1] = 0
+        known, count = number(np.flatnonzero(new[: len(seq) - 1]))
         if len(taken) * 256 < len(seq):
             if least <= frequent:
                 break
@@ -116,7 +140,15 @@ def lengths(rules: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def expanded(rules: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+def expanded(rules: np.ndarray, size: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """All ids of the symbols. Rules are expanded once, if that makes less than the symbols do."""
+    rule = symbols >= BASE
+    which = symbols[rule] - BASE
+    if len(rules) < len(symbols) and size.sum() < len(symbols) - len(which) + size[which].sum():
+        start, width = np.cumsum(size) - size, np.ones(len(symbols), np.int64)
+        at = size.sum() + np.arange(len(symbols))
+        at[rule], width[rule] = start[which], size[which]
+        return np.concatenate([expanded(rules, size, BASE + np.arange(len(rules))), symbols])[gathered(at, width)]
     while True:
         rule = symbols >= BASE
         if not rule.any():
@@ -142,7 +174,7 @@ def decode(rules: np.ndarray, size: np.ndarray, symbols: np.ndarray, start: int
         return np.zeros(0, np.int64)
     first, last = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left")
     skip = start - int(ends[first] - width[first])
-    return expanded(rules, symbols[first : last + 1])[skip : skip + stop - start]
+    return expanded(rules, size, symbols[first : last + 1])[skip : skip + stop - start]
 
 
 # ---- writing and reading ---------------------------------------------------------------------------------------------
@@ -160,19 +192,26 @@ def pieces(text: str) -> list[str]:
 
 
 class Parts(dict):
-    """The ids, as bytes, of parts met so far: the strings that the tokenizer's model is given one by one."""
+    """The ids, as bytes, of parts met so far: the strings that the tokenizer's model is given one by one.
+
+    When half of KEPT_PARTS are there, they become old; old ones that are met again stay, the others go when the next half is full.
+    """
 
     def __init__(self, tokenize):
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
-        self.tokenize = tokenize
+        self.tokenize, self.old = tokenize, {}
         by_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes = {ord(c): by_bytes.pre_tokenize_str(c)[0][0] for c in LATIN}
 
     def __missing__(self, part: str) -> bytes:
-        ids = array("I", [token.id for token in self.tokenize(part if part.isascii() else part.translate(self.bytes))]).tobytes()
-        if len(self) >= KEPT_WORDS:
+        ids = self.old.get(part)
+        if ids is None:
+            ids = array("I", [token.id for token in self.tokenize(part if part.isascii() else part.translate(self.bytes))]).tobytes()
+        if 2 * len(self) >= KEPT_PARTS:
+            self.old.clear()
+            self.old.update(self)
             self.clear()
         if len(part) <= 64:
             self[part] = ids
@@ -180,10 +219,11 @@ class Parts(dict):
 
 
 class Words(dict):
-    """The ids, as bytes, of words met so far. The tokenizer drops spaces before it looks for tokens, so words are encoded one by one.
+    """The ids, as bytes, of odd words met so far. The tokenizer drops spaces before it looks for tokens, so words are encoded one by one.
 
-    Words of ASCII and Latin-1 letters are lower-cased and split as the tokenizer does it, and its model is given each distinct part once. Other new words
-    go to the tokenizer many at once, with a token between them; words that may hold such a token themselves go alone.
+    Arrow splits texts at spaces and numbers their distinct words; each is encoded once. Words of ASCII and Latin-1 letters are lower-cased and split
+    as the tokenizer does it, and its model is given each distinct part once. Other new words go to the tokenizer many at once, with a token between
+    them; words that may hold such a token themselves go alone.
     """
 
     def __init__(self, path: str):
@@ -220,18 +260,33 @@ class Words(dict):
             at = j
         return [*out, text[at:]]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        split = [self.cut(t) for t in texts]
-        distinct = {w for s in split for w in s[1::2]}
-        new = [w for w in distinct if w not in self]
+    def encoded(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words without spaces."""
+        odd = set(self.cut(" ".join(words))[1::2])
+        new = [w for w in odd if w not in self]
         if len(self) + len(new) > KEPT_WORDS:
             self.clear()
-            new = list(distinct)
+            new = list(odd)
         once = {}
         for w, ids in self.learned(new):
             (self if len(w) <= 64 else once)[w] = ids
-        return [b"".join([(self[x] if x in self else once[x]) if k % 2 else self.by_parts(x) for k, x in enumerate(s)]) for s in split]
+        parts = self.parts
+        return [(self[w] if w in self else once[w]) if w in odd else parts[w.lower()] if w.isalpha() else self.by_parts(w) for w in words]
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        found = self.encoded(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        out, ends = packed(pa.array(found, pa.large_binary()).take(coded.indices))
+        at = ends[split.offsets.to_numpy()] // 4
+        return [out.view(np.uint32)[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+@lru_cache(1)
+def words_of(path: str) -> Words:
+    """One for all tasks of a worker."""
+    return Words(path)
 
 
 def _shards(path: str, size: int):
@@ -242,7 +297,7 @@ def _shards(path: str, size: int):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part = TaskContext.get().partitionId()
-        words, end = Words(path), np.array([END], np.uint32).tobytes()
+        words, end = words_of(path), np.array([END], np.uint32)
         docs: list[int] = []
         held: list[np.ndarray] = []
         seq = n = 0
@@ -258,7 +313,7 @@ def _shards(path: str, size: int):
                         chars += sum(map(len, cut[-1]))
                     found = iter(words.ids([p for parts in cut for p in parts]) if len(cut) > 1 else [x for p in cut[0] for x in words.ids([p])])
                     for parts in cut:
-                        yield ids[i], np.frombuffer(b"".join([*(next(found) for _ in parts), end]), np.uint32)
+                        yield ids[i], np.concatenate([*(next(found) for _ in parts), end])
                         i += 1
 
         def shard() -> pa.RecordBatch:

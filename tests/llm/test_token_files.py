@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from groundplan.llm import token_files
 from groundplan.llm.token_files import BASE, FREQUENT, Words, compressed, decode, frequent_pairs, lengths, op6_token_files, read_documents, write_shards
 
 from .helpers import SF, documents, real
@@ -93,3 +94,50 @@ def test_frequent_pairs_equal_sorting(kinds):
     expect = {p: n for p, n in zip(*np.unique(pair, return_counts=True)) if n >= FREQUENT}
     assert {p: n for p, n in zip(pairs, count) if n >= FREQUENT} == expect and (np.diff(pairs) > 0).all()
     assert (pairs[which] == pair[at]).all() and np.isin(pair, list(expect)).sum() == np.isin(pair[at], list(expect)).sum()
+
+
+def test_each_distinct_word_is_split_once():
+    words, whole, given = Words(PATH), Tokenizer.from_file(PATH), []
+    own = words.by_parts
+    words.by_parts = lambda text: given.append(text) or own(text)
+    texts = ["(Qua), it's (Qua),  é́ x\n", "", "日本 (Qua), 日本", " ", "\n(Qua),"] * 4
+    got = words.ids(texts)
+    assert [list(np.frombuffer(x, np.uint32)) for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(given) == len(set(given)) and "(Qua)," in given
+
+
+def test_pairs_are_looked_up_when_they_are_new(monkeypatch):
+    seen, ids = [], np.random.default_rng(3).zipf(1.3, 60_000) % 5000
+    monkeypatch.setattr(token_files, "frequent_pairs", lambda pair, least: seen.append(len(pair)) or frequent_pairs(pair, least))
+    rules, symbols = compressed(ids)
+    assert (decode(rules, lengths(rules), symbols) == ids).all() and len(symbols) < 0.9 * len(ids)
+    assert sum(seen) < 3 * len(ids)  # all places once, then those beside new symbols
+
+
+@pytest.mark.parametrize("times", [1, 3, 2000])
+def test_rules_of_any_length_are_expanded(times):
+    rules = np.array([[1, 2], *([BASE + k, k] for k in range(400))], np.int64)
+    size, symbols = lengths(rules), np.array([7, BASE + 400, BASE, 8, BASE + 3, 9] * times)
+    expect = [7, 1, 2, *range(400), 1, 2, 8, 1, 2, 0, 1, 2, 9] * times
+    assert decode(rules, size, symbols).tolist() == expect and decode(rules, size, symbols, 2, len(expect) - 2).tolist() == expect[2:-2]
+
+
+def test_rules_are_expanded_once(monkeypatch):
+    asked, own = [], token_files.expanded
+    monkeypatch.setattr(token_files, "expanded", lambda rules, size, symbols: asked.append(len(symbols)) or own(rules, size, symbols))
+    ids = np.tile(np.arange(50), 400)
+    rules, symbols = compressed(ids)
+    assert (decode(rules, lengths(rules), np.tile(symbols, 20)) == np.tile(ids, 20)).all() and asked == [20 * len(symbols), len(rules)]
+
+
+def test_parts_stay_from_task_to_task(monkeypatch):
+    assert token_files.words_of(PATH) is token_files.words_of(PATH)
+    monkeypatch.setattr(token_files, "KEPT_PARTS", 12)
+    words, whole, given = Words(PATH), Tokenizer.from_file(PATH), []
+    tokenize = words.parts.tokenize
+    words.parts.tokenize = lambda part: given.append(part) or tokenize(part)
+    for k in range(20):
+        text = f"often again new{'abcdefghijklmnopqrst'[k]} " + "once" * (k + 1)
+        assert np.frombuffer(words.ids([text])[0], np.uint32).tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert len(words.parts) + len(words.parts.old) <= 12
+    assert given.count("often") == given.count("again") == 1
