@@ -35,9 +35,9 @@ KEY = ["map_name", "r", "c"]
 # ---- blocks ----------------------------------------------------------------------------------------------------------
 
 
-def _tasks(spark, rows: int) -> int:
-    """Tasks for so many rows that take about a second each."""
-    return max(1, min(rows, max(2 * spark.sparkContext.defaultParallelism, rows // 16)))
+def _tasks(spark, rows: int, weight: float | None = None) -> int:
+    """Tasks for so many rows that take about a second each. weight counts rows that are less work by less than one."""
+    return max(1, min(rows, max(2 * spark.sparkContext.defaultParallelism, int(rows if weight is None else weight) // 16)))
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -107,7 +107,8 @@ def blocks_of(edges: DataFrame, block: int = BLOCK) -> DataFrame:
 
     at = maps.mapInArrow(places, "map_name string, n long, r long, c long, i long")
     other = at.select("map_name", F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("i").alias("j"))
-    pairs = both.where("r <> r2 or c <> c2").join(at, KEY).join(other, ["map_name", "r2", "c2"]).select("map_name", "n", "i", "j", (F.col("i") - F.col("i") % block).alias("start"))
+    # merged: Spark takes the places for no larger than the compressed nodes that they are read from, and would broadcast them
+    pairs = both.where("r <> r2 or c <> c2").join(at.hint("merge"), KEY).join(other.hint("merge"), ["map_name", "r2", "c2"]).select("map_name", "n", "i", "j", (F.col("i") - F.col("i") % block).alias("start"))
 
     def run(t: pa.Table) -> pa.Table:
         n, start = t.column("n")[0].as_py(), t.column("start")[0].as_py()
@@ -123,7 +124,7 @@ def blocks_of(edges: DataFrame, block: int = BLOCK) -> DataFrame:
             n = row["n"]
             yield _block(row, row["start"], _bits(row["bits"], n) if row["bits"] is not None else np.zeros((min(block, n - row["start"]), n), bool))
 
-    return written(starts.join(rows, ["map_name", "start"], "left").mapInArrow(fill, BLOCKS), "graph")
+    return written(starts.join(rows.hint("merge"), ["map_name", "start"], "left").mapInArrow(fill, BLOCKS), "graph")
 
 
 def _by_row(blocks: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, int], dict], schema: str) -> DataFrame:
@@ -149,6 +150,16 @@ def edges_of(blocks: DataFrame) -> DataFrame:
     return _by_row(blocks, pairs, "r long, c long, r2 long, c2 long")
 
 
+def nodes_of(blocks: DataFrame) -> DataFrame:
+    """(map_name, i, r, c): all nodes and their places."""
+
+    def listed(rows: np.ndarray, nodes: np.ndarray, start: int) -> dict:
+        own = nodes[start : start + len(rows)]
+        return {"i": np.arange(start, start + len(rows)), "r": own[:, 0], "c": own[:, 1]}
+
+    return _by_row(blocks, listed, "i long, r long, c long")
+
+
 def connectivity(blocks: DataFrame) -> DataFrame:
     """The number of nodes beside each node that has any."""
 
@@ -188,7 +199,9 @@ def _by_source(small: DataFrame, prepare: Callable, schema: str, sources: DataFr
     count, as bytes of long numbers.
     """
     groups = F.least(F.lit(groups), F.ceil(F.col("n") / BLOCK))
-    total = small.where("start = 0").agg(F.sum(groups)).first()[0] or 0
+    # the groups of maps of under 1,024 nodes count less, so that many small maps don't take as many tasks
+    weight = groups * F.greatest(F.lit(1 / 16), F.least(F.lit(1.0), F.col("n") / 1024))
+    total, weight = (x or 0 for x in small.where("start = 0").agg(F.sum(groups), F.sum(weight)).first())
     copies = small.withColumn("groups", groups).withColumn("nodes", F.when(F.col("start") == 0, F.col("nodes")))
     copies = copies.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
     if sources is not None:
@@ -208,7 +221,7 @@ def _by_source(small: DataFrame, prepare: Callable, schema: str, sources: DataFr
             out.append(pa.table({"map_name": pa.array([t.column("map_name")[0].as_py()] * size, pa.string()), **columns}))
         return pa.concat_tables(out)
 
-    return copies.repartition(_tasks(small.sparkSession, total), "map_name", "part").groupBy("map_name", "part").applyInArrow(run, f"map_name string, {schema}")
+    return copies.repartition(_tasks(small.sparkSession, total, weight), "map_name", "part").groupBy("map_name", "part").applyInArrow(run, f"map_name string, {schema}")
 
 
 # ---- larger maps -----------------------------------------------------------------------------------------------------
@@ -217,7 +230,10 @@ STATE = "map_name string, n long, part int, sources binary, x binary, known bina
 
 
 class Large:
-    """Steps of the sources of large maps. State: x, what each source hands on (sources x n), and known, what it has so far."""
+    """Steps of the sources of large maps. State: x, what each source hands on (sources x n), and known, what it has so far.
+
+    Bits and states are written far smaller than they are, so they are merged, never broadcast; a map's nodes meet them part by part.
+    """
 
     def __init__(self, blocks: DataFrame, sources: DataFrame | None = None):
         self.spark = blocks.sparkSession
@@ -230,13 +246,17 @@ class Large:
             return pa.table({"map_name": t.column("map_name").slice(0, 1).cast(pa.string()), "at": t.column("at").slice(0, 1), "first": t.column("start").slice(0, 1), "bits": one(b"".join(x.as_py() for x in t.column("bits")), pa.binary())})
 
         parts = blocks.select("map_name", "start", "bits", of.alias("at")).groupBy("map_name", "at").applyInArrow(join_rows, "map_name string, at int, first long, bits binary")
-        self.rows = written(parts.join(self.maps, "map_name"), "parts")
+        self.rows = written(parts.join(self._by_part("at").hint("merge"), ["map_name", "at"]).select("map_name", "at", "first", "bits", "n", "nodes"), "parts")
         self.tiles = _tasks(self.spark, 16 * self.rows.count() * GROUPS)
         self.sources = sources
 
+    def _by_part(self, name: str) -> DataFrame:
+        """The maps once for each part."""
+        return self.maps.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
+
     def begin(self, make: Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
         """The first state: make(sources, n) gives x and known."""
-        own = self.maps if self.sources is None else self.maps.join(self.sources, "map_name")
+        own = self.maps if self.sources is None else self.maps.join(self.sources.hint("merge"), "map_name")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in _each(batches):
@@ -253,7 +273,7 @@ class Large:
         """multiply(x as bytes, rows of booleans, first row, nodes, sources) gives the columns of these rows; merge(columns of all rows, known as bytes, sources, n) the next x, known and whether there is more."""
         wide = state.select("map_name", "part", "sources", "x", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("at"))
         tall = self.rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
-        met = wide.join(tall, ["map_name", "part", "at"]).repartition(self.tiles, "map_name", "part", "at")
+        met = wide.join(tall.hint("merge"), ["map_name", "part", "at"]).repartition(self.tiles, "map_name", "part", "at")
 
         def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in _each(batches):
@@ -293,7 +313,7 @@ class Large:
                 yield pa.RecordBatch.from_pydict({"map_name": pa.array([row["map_name"]] * size, pa.string()), **columns})
 
         # a state's row is large; few of them go to a task
-        return every.join(self.maps.select("map_name", "nodes"), "map_name").repartition(self.tiles, "map_name", "part", "d").mapInArrow(run, f"map_name string, {schema}")
+        return every.join(self._by_part("part").drop("n").hint("merge"), ["map_name", "part"]).repartition(self.tiles, "map_name", "part", "d").mapInArrow(run, f"map_name string, {schema}")
 
 
 def _state(name: str, n: int, part: int, sources: np.ndarray, x: np.ndarray, known: np.ndarray, more: bool) -> pa.RecordBatch:
@@ -458,7 +478,7 @@ def _shares(edges: DataFrame, whole: int, sources: DataFrame | None = None) -> D
 
     def add_known(state: DataFrame, before: DataFrame) -> DataFrame:
         """state with the paths of the step before it as known."""
-        return state.drop("known").join(before.select("map_name", "part", F.col("x").alias("known")), ["map_name", "part"]).select("map_name", "n", "part", "sources", "x", "known", "more")
+        return state.drop("known").join(before.select("map_name", "part", F.col("x").alias("known")).hint("merge"), ["map_name", "part"]).select("map_name", "n", "part", "sources", "x", "known", "more")
 
     def handed(paths: np.ndarray, share: np.ndarray) -> np.ndarray:
         return np.divide(1 + share, paths, out=np.zeros(paths.shape), where=paths > 0)
@@ -498,7 +518,7 @@ def choice_sampled(edges: DataFrame, sources: int, seed: str = "", whole: int =
     The sources are those with the least md5 of `seed|map_name|r|c`. The error is that of a sample without replacement; null for one source.
     """
     blocks = blocks_of(edges)
-    nodes = _by_row(blocks, lambda rows, at, start: {"i": np.arange(start, start + len(rows)), "r": at[start : start + len(rows), 0], "c": at[start : start + len(rows), 1]}, "i long, r long, c long")
+    nodes = nodes_of(blocks)
     name = F.md5(F.concat_ws("|", F.lit(seed), "map_name", "r", "c"))
     # the least k of k chosen in each of several parts of a map: no map's nodes meet in one task
     kept = nodes.select("map_name", "i", name.alias("name")).groupBy("map_name", (F.col("i") % 64).alias("salt")).agg(F.slice(F.array_sort(F.collect_list(F.struct("name", "i"))), 1, sources).alias("some"))

@@ -32,7 +32,7 @@ def integration_hh(sums: DataFrame, cells: DataFrame, name: str = "integration_h
     """
     n = cells.groupBy("map_name").agg(F.count("*").alias("n"))
     far = sums.groupBy("map_name").agg(F.max("far").alias("far"))
-    x = cells.join(sums.drop("far"), ["map_name", "r", "c"], "left").join(n, "map_name").join(far, "map_name", "left").fillna(0, ["s", "m", "far"])
+    x = cells.join(sums.drop("far").hint("merge"), ["map_name", "r", "c"], "left").join(n, "map_name").join(far, "map_name", "left").fillna(0, ["s", "m", "far"])
     missing = (F.col("n") - 1 - F.col("m")) * F.col("far") if fill else F.lit(0.0)
     md = (F.col("s") + missing) / F.nullif(F.col("n") - 1, F.lit(0))
     ra = 2 * (md - 1) / F.nullif(F.col("n") - 2, F.lit(0))
@@ -177,7 +177,8 @@ def line_contacts(lines: DataFrame, size: float = 16, crowd: int = 256, finer: i
     fine = _squares(fine, size / finer).select(*own, "gx", "gy", F.lit(True).alias("fine"))
     spread = spread.join(crowded, square, "left_anti").select(*own, "gx", "gy", F.lit(False).alias("fine")).union(fine)
     a, b = spread.alias("a"), spread.alias("b")
-    both = a.join(b, [*square, "fine"]).where("a.line_id < b.line_id")
+    # merged: Spark would broadcast all squares wherever their compressed file is small
+    both = a.join(b.hint("merge"), [*square, "fine"]).where("a.line_id < b.line_id")
 
     def turn(p: str, q: str, r: str) -> Column:
         """Sign of the turn p -> q -> r; points are named by line and end."""
@@ -199,12 +200,14 @@ def line_contacts(lines: DataFrame, size: float = 16, crowd: int = 256, finer: i
 def line_graph(lines: DataFrame, contacts: DataFrame) -> DataFrame:
     """connectivity, integration_hh and choice of each line on the graph of contacts; lines without a contact have -1 in all.
 
-    Integration counts the lines of the map that have contacts. contacts is read several times: pass a saved table.
+    Integration counts the lines of the map that have contacts. contacts is read several times: pass a saved table. The graph is made
+    once and read by all measures; tables with a row for each line are merged, never broadcast.
     """
-    nodes = contacts.select("map_name", "r", "c").distinct()
-    key = ["map_name", "r", "c"]
-    found = connectivity(contacts).join(integration_hh(distance_sums(contacts), nodes), key).join(choice(contacts), key)
-    out = lines.select("map_name", F.col("line_id").alias("r")).join(found.drop("c"), ["map_name", "r"], "left").fillna(-1, ["connectivity", "integration_hh", "choice"])
+    blocks, key = blocks_of(contacts), ["map_name", "r", "c"]
+    sums = written(distance_sums(blocks), "sums")
+    integration = integration_hh(sums, graphs.nodes_of(blocks).drop("i"))
+    found = connectivity(blocks).join(integration.hint("merge"), key).join(choice(blocks).hint("merge"), key)
+    out = lines.select("map_name", F.col("line_id").alias("r")).join(found.drop("c").hint("merge"), ["map_name", "r"], "left").fillna(-1, ["connectivity", "integration_hh", "choice"])
     return out.withColumnRenamed("r", "line_id")
 
 

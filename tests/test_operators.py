@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from groundplan.operators import coords, frames, graphs, grid, kernels, ordering, records, space, statistics
 from groundplan.plans import QUERIES
 from groundplan.sources import tables
-from groundplan.sources.folders import checkpoints
+from groundplan.sources.folders import checkpoints, written
 
 
 # ---- graphs: five shapes ---------------------------------------------------------------------------------------------
@@ -186,6 +186,56 @@ def test_long_lines_pass_few_squares_and_crowded_ones_are_cut(spark):
         assert {(x.r, x.r2) for x in space.line_contacts(df, 16, crowd).collect()} == want
 
 
+@pytest.fixture
+def broadcast_rows(spark):
+    """A function that gives the rows of each broadcast since it was last called."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    every = lambda found: [found.apply(k) for k in range(found.size())]
+    seen = set()
+
+    def since():
+        bus.waitUntilEmpty()
+        out = []
+        for k in {e.executionId() for e in every(store.executionsList())} - seen:
+            seen.add(k)
+            values = store.executionMetrics(k)
+            rows = [m for n in every(store.planGraph(k).allNodes()) if n.name() == "BroadcastExchange" for m in every(n.metrics()) if m.name() == "number of output rows"]
+            out += [int(values.apply(m.accumulatorId()).replace(",", "")) for m in rows if values.contains(m.accumulatorId())]
+        return out
+
+    since()
+    return since
+
+
+def test_line_graph_broadcasts_no_table_of_lines_or_contacts(spark, broadcast_rows):
+    """What a file or the output of a task's Python unpacks to is far larger than Spark takes it for; the driver must not get these rows."""
+    maps, own = 320, 4
+    lines = [(f"m{k}", own * k + i, float(i), 0.0, float(i % 3), 9.0) for k in range(maps) for i in range(own)]
+    df = spark.createDataFrame(lines, "map_name string, line_id long, x1 double, y1 double, x2 double, y2 double")
+    got = space.line_graph(df, written(space.line_contacts(df), "contacts")).collect()
+    sent = broadcast_rows()
+    assert all(x <= maps for x in sent), sent
+    # line 3 touches line 0 and crosses 1 and 2, which are parallel
+    assert len(got) == maps * own and {(x.line_id % own, x.connectivity) for x in got} == {(0, 1), (1, 1), (2, 1), (3, 3)}
+
+
+def test_states_of_larger_maps_are_not_broadcast(spark, broadcast_rows):
+    n = 80
+    band = [(m, i, 0, j, 0) for m in ("a", "b") for i in range(n) for j in (*range(i - 30, i), *range(i + 1, i + 31)) if 0 <= j < n]
+    blocks = written(graphs.blocks_of(spark.createDataFrame(band, "map_name string, r long, c long, r2 long, c2 long"), 16), "blocks")
+    broadcast_rows()
+    for found in (space.distance_sums(blocks, None, 60), space.choice(blocks, 60)):
+        assert found.count() == 2 * n
+    assert broadcast_rows() == []
+
+
+def test_many_small_maps_take_few_tasks(spark):
+    edges = spark.createDataFrame([(f"m{k}", 0, 0, 1, 0) for k in range(1600)], "map_name string, r long, c long, r2 long, c2 long")
+    blocks = written(graphs.blocks_of(edges), "blocks")
+    for found in (space.distance_sums(blocks), graphs._shares(blocks, graphs.WHOLE)):
+        assert found.rdd.getNumPartitions() <= 8 and found.count() == 3200
+
+
 def test_scan_lines_equal_crossing_counts(spark):
     rng = np.random.default_rng(11)
     shapes = [[tuple(map(float, p)) for p in np.round(rng.uniform(-8, 30, (n, 2)), rng.integers(0, 3))] for n in (3, 4, 5, 9, 30, 2)]
